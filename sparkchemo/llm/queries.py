@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sparkchemo.llm import quality_rules, url_filter
+from sparkchemo.llm import line_dedup, packing, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_packing": packing.op6_packing,
+    "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
-ORACLE_SQL = {**url_filter.ORACLE, **quality_rules.ORACLE}
+ORACLE_SQL = {**url_filter.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE}
