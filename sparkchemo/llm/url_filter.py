@@ -154,7 +154,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, def
         raise ValueError("a host and path are listed twice")
     lengths = sorted({len(path) for _, path, _ in rules})
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    listed = {v: spark.createDataFrame([(f"{h} {p}",) for h, p, w in rules if w == v] or [], "key string") for v in ("allow", "block")}
+    listed = {v: spark.range(1).select(F.explode(F.array(*[F.lit(f"{h} {p}") for h, p, w in rules if w == v]).cast("array<string>")).alias("key")) for v in ("allow", "block")}
     cascades = {v: build_cascade(parts, listed[v], lengths) for v in ("allow", "block")}
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     # Longest first: a longer host suffix, then a longer path.
