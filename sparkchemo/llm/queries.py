@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkchemo.llm import language, line_dedup, packing, quality_rules, sharding, url_filter
+from sparkchemo.llm import language, line_dedup, lm_score, packing, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
 
 ORACLE_SQL = {**url_filter.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE}
