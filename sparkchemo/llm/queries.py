@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkchemo.llm import language, line_dedup, lm_score, packing, quality_rules, sharding, url_filter
+from sparkchemo.llm import language, line_dedup, lm_score, near_dedup, packing, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_language_id": language.op2_language_id,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_packing": packing.op6_packing,
