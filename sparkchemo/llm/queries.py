@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkchemo.llm import language, line_dedup, lm_score, near_dedup, packing, quality_rules, sharding, url_filter
+from sparkchemo.llm import decontaminate, language, line_dedup, lm_score, near_dedup, packing, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_language_id": language.op2_language_id,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_packing": packing.op6_packing,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
 
-ORACLE_SQL = {**url_filter.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE}
+ORACLE_SQL = {**url_filter.ORACLE, **decontaminate.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE}
