@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkchemo.llm import decontaminate, language, line_dedup, lm_score, near_dedup, packing, quality_rules, sharding, url_filter
+from sparkchemo.llm import decontaminate, language, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_language_id": language.op2_language_id,
+    "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_packing": packing.op6_packing,
