@@ -9,6 +9,7 @@ empties bins. A group is at most about one sequence short of its ideal.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -24,10 +25,17 @@ from sparkchemo.llm.textkit import Words, slices, texts
 END_ID, MAX_TOKENS = 1, 4096
 #: Pieces packed together in one task.
 GROUP = 8192
-#: Words whose ids a worker remembers, and bytes of text worked on at a time.
-MEMORY, SLICE = 400_000, 2 << 20
+#: Words whose ids a worker remembers (about 20 bytes each), bytes of text worked on at a time, words encoded at a time.
+MEMORY, SLICE, AT_ONCE = 2_000_000, 4 << 20, 1000
+#: Between words that are encoded together; it is one id, and a word that has it is encoded alone.
+MARK = b"\x01"
 
-_known: dict[str, tuple[object, dict[bytes, np.ndarray]]] = {}
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -37,44 +45,83 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space: words are encoded apart and remembered."""
+    """Ids of whole texts by a tokenizer that drops white space and case: words are encoded apart and remembered.
 
-    def __init__(self, path: str):
-        if path not in _known:
-            from tokenizers import Tokenizer
+    A word is also cut where a sign follows a letter, which this kind of tokenizer does
+    anyway, so that a word is remembered once for all signs that follow it.
+    """
 
-            _known[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.memory = _known[path]
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids[0]
+        self.forget()
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """A worker's encoder of this file."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def forget(self) -> None:
+        self.keys, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Remember ``words`` under ``keys`` (ascending, all new)."""
+        parts, sizes = [], []
+        for k in range(0, len(words), AT_ONCE):
+            own = words[k : k + AT_ONCE]
+            if any(MARK in x for x in own):
+                got = [np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, np.uint32) for x in own]
+                parts += got
+                sizes += map(len, got)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + MARK + b" ").join(own).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            sizes += (np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1).tolist()
+            parts.append(np.delete(ids, cuts))
+        size = np.array(sizes, np.int64)
+        at = np.searchsorted(self.keys, keys)
+        place = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *parts])
+        self.keys, self.place, self.size = np.insert(self.keys, at, keys), np.insert(self.place, at, place), np.insert(self.size, at, size)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of texts i..j-1 in order, places where each text begins and the end)."""
-        w = Words(data, offsets, i, j, lower=False)
+        w = Words(data, offsets, i, j)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
-        _, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        buffer, start, end = w.data.tobytes(), w.start[first].tolist(), w.end[first].tolist()
-        words = [buffer[a:b] for a, b in zip(start, end, strict=True)]
-        new = [x for x in words if x not in self.memory]
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-            new = words
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.memory[x] = np.array(e.ids, np.uint32)
-        ids = [self.memory[x] for x in words]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
-        place = np.cumsum(size) - size
-        count = size[back]
+        buffer = w.data.tobytes()
+        if any(x in buffer for x in self.special):  # a special token counts only as it is written
+            w = Words(data, offsets, i, j, lower=False)
+            buffer = w.data.tobytes()
+        else:
+            w.split(np.flatnonzero(_LETTER[w.data[:-1]] & _SIGN[w.data[1:]]) + 1)
+        keys, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > MEMORY:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            start, end = w.start[first[new]].tolist(), w.end[first[new]].tolist()
+            self._learn(keys[new], [buffer[a:b] for a, b in zip(start, end, strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        count = self.size[at][back]
         ends = np.cumsum(count)
-        at = np.repeat(place[back] - (ends - count), count) + np.arange(int(ends[-1]))
-        return flat[at], np.concatenate([[0], ends])[w.first]
+        places = np.repeat(self.place[at][back] - (ends - count), count) + np.arange(int(ends[-1]))
+        return self.ids[places], np.concatenate([[0], ends])[w.first]
 
 
 def _cut(path: str, end_id: int, limit: int, with_ids: bool) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder(path), np.array([end_id], np.uint32)
+        encoder, tail = WordEncoder.of(path), np.array([end_id], np.uint32)
         for batch in batches:
             data, offsets = texts(batch.column("text"))
             doc_id = batch.column("doc_id").to_pylist()

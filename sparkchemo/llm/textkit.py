@@ -96,6 +96,14 @@ class Words:
         self.start, self.end = start, end
         self.first = np.searchsorted(start, edges, "left")
 
+    def split(self, at: np.ndarray) -> None:
+        """Also end a word before each place of ``at`` (ascending) that lies inside one."""
+        k = np.searchsorted(self.start, at, "right") - 1
+        at = at[(k >= 0) & (at > self.start[np.maximum(k, 0)]) & (at < self.end[np.maximum(k, 0)])]
+        edges = np.concatenate([self.start, self.end[-1:]])[self.first]
+        self.start, self.end = np.sort(np.concatenate([self.start, at])), np.sort(np.concatenate([self.end, at]))
+        self.first = np.searchsorted(self.start, edges, "left")
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash per word, the same for the same bytes everywhere."""
         n = len(self.data)
