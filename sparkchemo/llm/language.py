@@ -111,6 +111,7 @@ class CrossParser:
             part[rows, np.fromiter((c for x in go for c in x), np.int64)] = np.fromiter((s for x in go for s in x.values()), np.int64)
             root = np.where(part[0] < 0, 0, part[0])
             full = np.where(part < 0, ~((root[None, :] + at) * width), (part + at) * width)
+            full[0] = ~((root + at) * width)  # whatever follows the root begins a phrase
             full[:, -1] = (np.arange(len(go)) + at) * width
             parts.append(full)
             starts.append(at * width)
@@ -125,7 +126,7 @@ class CrossParser:
         if not len(text):
             return out
         for k, start in enumerate(self.starts):
-            state, count = np.full(len(text), start, np.int32), np.ones(len(text), np.int32)
+            state, count = np.full(len(text), start, np.int32), np.zeros(len(text), np.int32)
             for row in grid:
                 got = self.table[state + row]
                 over = got >> 31

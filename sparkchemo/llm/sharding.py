@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from sparkchemo.llm.common import stored
 
 
+#: A link's rows are looked up in parts of at most this fraction of all link rows.
+SPREAD = 256
+
+
 def _quotas(wanted: dict[tuple[int, int], int], load: list[int], capacity: float) -> dict[tuple[int, int], float]:
     """The share of each wanted move (from, to) -> bytes that may happen.
 
@@ -40,7 +44,7 @@ def _sums(df: DataFrame, *keys: str) -> dict:
     return {tuple(r)[:-1]: r["size"] for r in df.groupBy(*keys).agg(F.sum("size").alias("size")).collect()}
 
 
-def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 6, slack: float = 0.02) -> DataFrame:
+def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 10, slack: float = 0.1) -> DataFrame:
     """``nodes`` (doc_id, size) with a column ``label``; in ``links`` (doc_id, link) rows of one link are neighbours.
 
     A document may have many links or none; without, it keeps its first label. A document
@@ -53,13 +57,18 @@ def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: in
     for (s,), size in _sums(nodes.select(first.alias("s"), "size"), "s").items():
         load[s] = size
     capacity = sum(load) / shards * (1 + slack)
+    # A link with more than a share of all rows meets its sums in several tasks, whole as it is.
+    sizes = links.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
+    ways = F.ceil(F.col("n") * SPREAD / max(1, links.count())).cast("int")
+    links = stored(links.join(sizes.select("link", ways.alias("ways")), "link"), "shard-links")
     state = stored(nodes.join(links.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "size", first.alias("label")), "shard-labels")
     for step in range(rounds):
         held = [F.sum(F.when(F.col("label") == s, F.col("size")).otherwise(0)) for s in range(shards)]
         # Below one byte, a number that depends on link and shard: equal weights don't leave two copies apart.
         tie = [F.pmod(F.xxhash64("link", F.lit(s)), F.lit(1024)) for s in range(shards)]
-        by_link = links.join(state, "doc_id").groupBy("link").agg(*[(1024 * h + F.when(h > 0, t).otherwise(0)).alias(f"w{s}") for s, (h, t) in enumerate(zip(held, tie, strict=True))])
-        by_doc = links.join(by_link, "link").groupBy("doc_id").agg(*[F.sum(f"w{s}").alias(f"w{s}") for s in range(shards)])
+        by_link = links.join(state, "doc_id").groupBy("link").agg(F.max("ways").alias("ways"), *[(1024 * h + F.when(h > 0, t).otherwise(0)).alias(f"w{s}") for s, (h, t) in enumerate(zip(held, tie, strict=True))])
+        spread = by_link.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+        by_doc = links.withColumn("way", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")).join(spread, ["link", "way"]).groupBy("doc_id").agg(*[F.sum(f"w{s}").alias(f"w{s}") for s in range(shards)])
         choice = F.array_max(F.array(*[F.struct(F.col(f"w{s}").alias("w"), (F.col("label") == s).alias("own"), F.lit(-s).alias("s")) for s in range(shards)]))
         wishes = stored(state.join(by_doc, "doc_id").select("doc_id", "size", "label", (-choice["s"]).alias("want")), "shard-wishes")
         wanted = _sums(wishes.where("label <> want"), "label", "want")
@@ -93,7 +102,7 @@ def running_totals(df: DataFrame, order: list[str], size: str, name: str) -> Dat
     return inside.join(ahead, "part").withColumn("before", F.col("ahead") + F.col("inside")).drop("part", "inside", "ahead")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) in one of ``shards`` shards of near equal bytes, equal texts together.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('bytes'), shard, slot (from 0

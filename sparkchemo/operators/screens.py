@@ -38,7 +38,7 @@ def red_flags(df: DataFrame, columns: Sequence[str], label: str, least: int = 5,
     out = out.union(rows(by_class, "min_distinct", F.col("cls"), lambda c: F.col(f"kinds_{c}") < least))
     guarded = lambda c: ~F.col(f"nan_{c}") & ~F.col(f"inf_{c}") & F.coalesce(F.col(f"std_{c}") < tol, F.lit(False))
     out = out.union(rows(by_class, "zero_class_variance", F.col("cls"), guarded))
-    twice = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("found"))
+    twice = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows")).agg(F.coalesce(F.max("_rows") > 1, F.lit(False)).alias("found"))
     return out.union(twice.select(F.lit("duplicates"), none, none, "found"))
 
 
