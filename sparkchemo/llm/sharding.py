@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sparkchemo.llm.common import stored
 
-
 #: A link's rows are looked up in parts of at most this fraction of all link rows.
 SPREAD = 256
 
@@ -48,7 +47,8 @@ def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: in
     """``nodes`` (doc_id, size) with a column ``label``; in ``links`` (doc_id, link) rows of one link are neighbours.
 
     A document may have many links or none; without, it keeps its first label. A document
-    wants the label that holds most bytes of its links' documents; a tie goes by the link.
+    wants the label that holds most bytes of its links' documents, of those with room left;
+    a tie goes by the link.
     Rounds end early when no document wants to move. The sums per link are partial before
     they are shuffled, so a link with a third of all rows sends a row per task.
     """
@@ -56,7 +56,8 @@ def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: in
     load = [0] * shards
     for (s,), size in _sums(nodes.select(first.alias("s"), "size"), "s").items():
         load[s] = size
-    capacity = sum(load) / shards * (1 + slack)
+    mean = sum(load) / shards
+    capacity = mean * (1 + slack)
     # A link with more than a share of all rows meets its sums in several tasks, whole as it is.
     sizes = links.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
     ways = F.ceil(F.col("n") * SPREAD / max(1, links.count())).cast("int")
@@ -69,8 +70,10 @@ def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: in
         by_link = links.join(state, "doc_id").groupBy("link").agg(F.max("ways").alias("ways"), *[(1024 * h + F.when(h > 0, t).otherwise(0)).alias(f"w{s}") for s, (h, t) in enumerate(zip(held, tie, strict=True))])
         spread = by_link.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
         by_doc = links.withColumn("way", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")).join(spread, ["link", "way"]).groupBy("doc_id").agg(*[F.sum(f"w{s}").alias(f"w{s}") for s in range(shards)])
-        choice = F.array_max(F.array(*[F.struct(F.col(f"w{s}").alias("w"), (F.col("label") == s).alias("own"), F.lit(-s).alias("s")) for s in range(shards)]))
-        wishes = stored(state.join(by_doc, "doc_id").select("doc_id", "size", "label", (-choice["s"]).alias("want")), "shard-wishes")
+        # A shard that has used half its slack is closed: what it shares with open shards leaves it.
+        choice = F.array_max(F.array(*[F.struct(F.col(f"w{s}").alias("w"), (F.col("label") == s).alias("own"), F.lit(-s).alias("s")) for s in range(shards) if load[s] <= (capacity + mean) / 2]))
+        want = F.when(choice["w"] > 0, -choice["s"]).otherwise(F.col("label"))
+        wishes = stored(state.join(by_doc, "doc_id").select("doc_id", "size", "label", want.alias("want")), "shard-wishes")
         wanted = _sums(wishes.where("label <> want"), "label", "want")
         if not wanted:
             break
@@ -118,11 +121,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10) -> DataF
         F.md5(text).alias("link"),
     )
     rows = stored(rows, "shard-rows")
-    groups = rows.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link")
-    links = rows.join(groups, "link").select("doc_id", "link")
+    total = rows.agg(F.sum("size")).first()[0] or 1
+    # A group larger than a shard can't stay whole: its parts, each a quarter of a shard, do.
+    parts = F.when(F.col("bytes") * shards > total, F.ceil(F.col("bytes") * (4 * shards) / total)).otherwise(1).cast("int")
+    groups = rows.groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("link", parts.alias("parts"))
+    links = rows.join(groups, "link").select("doc_id", F.concat("link", F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("link"))
     labelled = propagate_labels(rows, links, shards, rounds)
     placed = running_totals(labelled, ["label", "link", "doc_id"], "size", "shard-order")
-    total = rows.agg(F.sum("size")).first()[0] or 1
     shard = F.least(F.lit(shards - 1), F.floor((F.col("before") + F.col("size") / 2) * shards / total)).cast("int")
     placed = stored(placed.withColumn("shard", shard).withColumn("one", F.lit(1).cast("bigint")), "shard-placed")
     # The shards cut the same order, so a document's slot is its place less the rows of earlier shards.
