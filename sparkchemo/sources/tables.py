@@ -18,12 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, schema: str, skip: int = 0, sep: str = ",", header: bool = False) -> DataFrame:
-    """A CSV file read with its schema given; the first ``skip`` lines of each file are left out. 'NA' is null."""
+    """A CSV file read with its schema given; the first ``skip`` lines of each file are left out. 'NA' is null.
+
+    With ``skip`` a file is read in one piece, so each should fit in a task; without, large files are split.
+    """
     reader = spark.read.schema(schema).option("sep", sep).option("header", header).option("nullValue", "NA")
     if not skip:
         return reader.csv(path)
-    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.split("value", "\n"), skip + 1, 1 << 30)).alias("value")).where("trim(value) <> ''")
-    fields = F.from_csv("value", F.lit(schema), {"sep": sep})
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", "\n"), skip + 1, 1 << 30)).alias("value")).where("trim(value) <> ''")
+    fields = F.from_csv("value", F.lit(schema), {"sep": sep, "nullValue": "NA"})
     return lines.select(fields.alias("r")).select("r.*")
 
 
