@@ -36,6 +36,11 @@ def _seed(tokens: Column, at: Column, mask: str, salt: int) -> Column:
     return F.xxhash64(F.lit(salt), *[F.get(tokens, at + k) for k, c in enumerate(mask) if c == "1"])
 
 
+def tokenised(rows: DataFrame, key: str) -> DataFrame:
+    """(key, tokens) of the texts with a token; the generator keeps filters from computing the tokens again."""
+    return rows.select(key, F.explode(F.array(token_hashes(F.col("text")))).alias("tokens")).where(F.size("tokens") > 0)
+
+
 def seeds(rows: DataFrame, short: list[int]) -> DataFrame:
     """A row per place and mask: ``rows`` (with ``tokens``) with ``at`` and ``seed``.
 
@@ -50,18 +55,22 @@ def seeds(rows: DataFrame, short: list[int]) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*found))).where(F.col("seed").isNotNull())
 
 
-def overlap(doc: Column, item: Column, at: Column, pos: Column, window: int, percent: int) -> Column:
-    """Around a hit (document place ``at``, item place ``pos``): the most equal tokens in a window, null if too few."""
+def overlap(doc: Column, item: Column, at: Column, pos: Column, window: int) -> Column:
+    """Around a hit (document place ``at``, item place ``pos``): the most equal tokens in a window.
+
+    One walk along the alignment: each step counts the token that enters the window and takes off the one that leaves.
+    """
     begin = F.greatest(F.lit(0), pos - window, pos - at)
     end = F.least(F.size(item), pos + window + SPAN, pos - at + F.size(doc))
     size = F.least(F.lit(window), F.size(item))
-    equal = F.transform(F.sequence(begin, end - 1), lambda k: F.when(F.get(doc, at - pos + k) == F.get(item, k), 1).otherwise(0))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), end - begin - size)),
-        lambda k: F.get(F.transform(F.array(equal), lambda e: F.aggregate(F.slice(e, k + 1, size), F.lit(0), lambda a, x: a + x)), 0),
-    )
-    most = F.array_max(sums)
-    return F.when(100 * most >= percent * size, most)
+    equal = lambda k: F.when(F.get(doc, at - pos + k) == F.get(item, k), 1).otherwise(0)
+
+    def step(seen: Column, k: Column) -> Column:
+        left = F.when(k - size >= begin, equal(k - size)).otherwise(0)
+        # [equal tokens in the window that ends here, the most so far]
+        return F.array(seen[0] + equal(k) - left, F.greatest(seen[1], seen[0] + equal(k) - left))
+
+    return F.aggregate(F.sequence(begin, end - 1), F.array(F.lit(0), F.lit(0)), step)[1]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -77,7 +86,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, perc
     Items shorter than a seed are looked for whole. Repeated rows change nothing. Empty tables
     give an empty result.
     """
-    items = stored(benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).distinct(), "leak-items")
+    items = stored(tokenised(benchmark, "item_id").distinct(), "leak-items")
     short = sorted(r["n"] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < SPAN).distinct().collect())
     # A whole short item is a seed; longer items have no seeds of those lengths.
     own = seeds(items, short).select("item_id", F.col("at").alias("pos"), "seed", F.size("tokens").alias("n"))
@@ -85,7 +94,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, perc
     for n in short:
         whole = whole | ((F.col("n") == n) & (F.col("pos") == 0))
     own = stored(own.where((F.col("n") >= SPAN) | whole).select("item_id", "pos", "seed").distinct(), "leak-seeds")
-    texts = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    texts = tokenised(docs, "doc_id")
     items = items.withColumnRenamed("tokens", "item")
     few = own.count() <= broadcast_seeds
     if few:
@@ -93,12 +102,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, perc
     else:
         places = seeds(texts, short).select("doc_id", "at", "seed").join(own, "seed").select("doc_id", "item_id", "at", "pos").distinct()
         hits = places.join(texts, "doc_id").join(items, "item_id")
-    n_equal = overlap(F.col("tokens"), F.col("item"), F.col("at"), F.col("pos"), window, percent)
-    found = hits.select("doc_id", "item_id", n_equal.alias("n_equal"), "at", "pos").where(F.col("n_equal").isNotNull())
-    best = F.max(F.struct("n_equal", (-F.col("at")).alias("at"), (-F.col("pos")).alias("pos")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
-        "doc_id", "item_id", F.col("b.n_equal").alias("n_equal"), (-F.col("b.at")).alias("doc_token"), (-F.col("b.pos")).alias("item_token")
-    )
+    n_equal = overlap(F.col("tokens"), F.col("item"), F.col("at"), F.col("pos"), window)
+    found = hits.select("doc_id", "item_id", n_equal.alias("n_equal"), "at", "pos", F.least(F.lit(window), F.size("item")).alias("size"))
+    # Too few equal tokens are told apart only after the grouping, so each overlap is computed once.
+    best = F.max(F.struct("n_equal", (-F.col("at")).alias("at"), (-F.col("pos")).alias("pos"), "size"))
+    leaks = found.groupBy("doc_id", "item_id").agg(best.alias("b")).where(100 * F.col("b.n_equal") >= percent * F.col("b.size"))
+    return leaks.select("doc_id", "item_id", F.col("b.n_equal").alias("n_equal"), (-F.col("b.at")).alias("doc_token"), (-F.col("b.pos")).alias("item_token"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
