@@ -3,9 +3,10 @@
 Training counts every run of DEPTH + 1 bytes of the training texts (numpy in Arrow tasks,
 summed by Spark). A context stays in the tree if its next-byte distribution diverges from
 that of the context one byte shorter. Distributions are smoothed towards the shorter
-context's. The tree, with the states between its contexts, becomes a table, and scoring
-steps through many blocks of text at once, always in the longest state that is a suffix
-of what was read.
+context's. The tree is a Spark table that grows with the corpus. A run's log probability
+comes from its longest context in the tree: tasks hold those of the commonest runs, and
+the other runs of a text meet the tree in joins. ``SuffixTree`` is the same model as an
+automaton, for a tree that fits one machine.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from sparkchemo.llm.textkit import Words, slices, texts
 
 #: Longest context in bytes (so a run is 48 bits), the byte that ends a text and stands before it.
 DEPTH, END = 5, 10
-#: A context stays if n * KL(own || shorter) in nats exceeds the test's value; the value doubles until at most
-#: MAX_CONTEXTS stay, which bounds the table that every task holds.
-DIVERGENCE, MAX_CONTEXTS = 8.0, 12_000
+#: A context stays if n * KL(own || shorter) in nats exceeds this, at any size of the corpus.
+DIVERGENCE = 8.0
 #: Weight of the shorter context's distribution, in observations.
 SMOOTHING = 4.0
-BLOCK, SLICE = 512, 2 << 20
-#: Words whose counts every task holds; the others are looked up by a join.
+BLOCK, SLICE = 512, 1 << 19
+#: Words whose counts, and runs whose log probabilities, every task holds; the others are looked up by a join.
 FREQUENT = 1 << 20
+#: Places where a held run is looked for; one that finds them all taken is looked up by the join.
+PROBES = 16
 #: Different runs or words that a task gathers before it passes them on.
 GATHER = 1 << 21
 
@@ -180,7 +182,34 @@ def count_training(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return got.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def grow_tree(runs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, max_contexts: int = MAX_CONTEXTS) -> SuffixTree:
+@dataclass(frozen=True)
+class Tree:
+    """The suffix tree as tables: ``contexts`` (d, ctx, back), ``seen`` (d, ctx, byte, over), the empty context left out of ``contexts``.
+
+    ``back`` is what falling back from a context to the empty one adds to a log10
+    probability; ``over`` is the log10 probability of a byte that the context was seen
+    with, less ``back``. ``unseen`` is that of a byte that training never saw.
+    """
+
+    contexts: DataFrame
+    seen: DataFrame
+    unseen: float
+    depth: int
+
+    def log_probabilities(self, keys: DataFrame) -> DataFrame:
+        """(key, logp) of different runs ``keys`` (key), whether training saw them or not."""
+        levels = lambda least: F.explode(F.sequence(F.lit(least), F.lit(self.depth))).alias("d")
+        mask = F.expr("shiftleft(1L, 8 * d) - 1")
+        byte = F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte")
+        above = keys.select(F.shiftright("key", 8).alias("above")).distinct().select("above", levels(1))
+        backs = above.withColumn("ctx", F.col("above").bitwiseAND(mask)).join(self.contexts, ["d", "ctx"]).groupBy("above").agg(F.max_by("back", "d").alias("back"))
+        placed = keys.select("key", F.shiftright("key", 8).alias("above"), byte, levels(0)).withColumn("ctx", F.col("above").bitwiseAND(mask))
+        overs = placed.join(self.seen, ["d", "ctx", "byte"]).groupBy("key").agg(F.max_by("over", "d").alias("over"))
+        out = keys.select("key", F.shiftright("key", 8).alias("above")).join(overs, "key", "left").join(backs, "above", "left")
+        return out.select("key", (F.coalesce("over", F.lit(self.unseen)) + F.coalesce("back", F.lit(0.0))).alias("logp"))
+
+
+def grow_tree(runs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
     """The suffix tree of all ``runs`` (key, n), its tests made by joins.
 
     A context is kept if its test or that of a longer kept context below it passes, so
@@ -198,20 +227,66 @@ def grow_tree(runs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENC
     gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("un") / F.col("ut"))))
     tests = counts.where("d > 0").withColumn("up", up).join(shorter, ["d", "up", "byte"]).groupBy("d", "ctx").agg(gain.alias("gain"), F.count(F.lit(1)).alias("kinds"))
     # Each further symbol of a distribution is a parameter that fits noise: half a unit by chance.
-    tests = stored(tests.withColumn("surplus", F.col("gain") - F.col("kinds")), "suffix-tests")
-    while True:
-        passed = tests.where(F.col("surplus") > divergence).select("d", "ctx")
-        parts = [passed.where(F.col("d") >= e).select(F.lit(e).alias("d"), F.col("ctx").bitwiseAND(F.lit((1 << 8 * e) - 1)).alias("ctx")) for e in range(1, depth + 1)]
-        kept = parts[0]
-        for part in parts[1:]:
-            kept = kept.union(part)
-        kept = kept.distinct()
-        if kept.count() <= max_contexts:
-            break
-        divergence *= 2
-    rows = counts.join(kept, ["d", "ctx"], "left_semi").union(counts.where("d = 0")).select("d", "ctx", "byte", "n")
-    # At most (max_contexts + 1) * 256 rows come to the driver.
-    return SuffixTree.build([tuple(r) for r in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True)])
+    passed = tests.where(F.col("gain") - F.col("kinds") > divergence).select("d", "ctx")
+    ends = passed.select(F.explode(F.sequence(F.lit(1), F.col("d"))).alias("d"), "ctx")
+    kept = ends.select("d", F.col("ctx").bitwiseAND(mask).alias("ctx")).distinct()
+    rows = stored(counts.where("d > 0").join(kept, ["d", "ctx"], "left_semi"), "suffix-kept")
+    total = counts.where("d = 0").agg(F.max("total")).first()[0] or 0
+    # Root: add-half over all 256 bytes. Each level is smoothed towards the one before.
+    level = counts.where("d = 0").select("d", "ctx", "byte", ((F.col("n") + 0.5) / (total + 128.0)).alias("p"), F.lit(0.0).alias("back"))
+    seen = level
+    for d in range(1, depth + 1):
+        shorter = level.select(F.col("ctx").alias("up"), "byte", F.col("p").alias("up_p"), F.col("back").alias("up_back"))
+        own = rows.where(F.col("d") == d).withColumn("up", up).join(shorter, ["up", "byte"])
+        weight = F.col("total") + smoothing
+        level = stored(own.select("d", "ctx", "byte", ((F.col("n") + smoothing * F.col("up_p")) / weight).alias("p"), (F.col("up_back") + F.log10(smoothing / weight)).alias("back")), "suffix-level")
+        seen = seen.union(level)
+    contexts = stored(seen.where("d > 0").groupBy("d", "ctx").agg(F.first("back").alias("back")), "suffix-contexts")
+    seen = stored(seen.select("d", "ctx", "byte", (F.log10("p") - F.col("back")).alias("over")), "suffix-seen")
+    return Tree(contexts, seen, math.log10(0.5 / (total + 128.0)), depth)
+
+
+@dataclass(frozen=True)
+class Held:
+    """Log probabilities of runs by open addressing; a free place holds -1."""
+
+    keys: np.ndarray
+    logp: np.ndarray
+    bits: int
+
+    @staticmethod
+    def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    @classmethod
+    def build(cls, keys: np.ndarray, logp: np.ndarray) -> Held:
+        bits = max(4, (3 * len(keys) // 2).bit_length())
+        table, value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        at = cls._place(keys, bits)
+        for _ in range(PROBES):
+            free = table[at] < 0
+            table[at[free]] = keys[free]
+            inside = table[at] == keys
+            value[at[inside]] = logp[inside]
+            keys, logp, at = keys[~inside], logp[~inside], (at[~inside] + 1) & ((1 << bits) - 1)
+        return cls(table, value, bits)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability or 0, whether held) of each of ``keys``."""
+        at = self._place(keys, self.bits)
+        got = self.keys[at]
+        known = got == keys
+        value = np.where(known, self.logp[at], 0.0)
+        left = np.flatnonzero(~known & (got >= 0))
+        for k in range(1, PROBES):
+            if not len(left):
+                break
+            place = (at[left] + k) & ((1 << self.bits) - 1)
+            got = self.keys[place]
+            same = got == keys[left]
+            known[left[same]], value[left[same]] = True, self.logp[place[same]]
+            left = left[~same & (got >= 0)]
+        return value, known
 
 
 @dataclass(frozen=True)
@@ -224,13 +299,27 @@ class Frequent:
     distinct: int
 
 
+def least_count(by_count: DataFrame, limit: int) -> int | None:
+    """The least count that at most ``limit`` of ``by_count`` (n, words) reach; None if none does."""
+    ahead = F.sum("words").over(Window.orderBy(F.desc("n")))
+    # One row per different count: far fewer than words, as k different counts need k * k / 2 words.
+    return by_count.withColumn("ahead", ahead).where(F.col("ahead") <= limit).agg(F.min("n")).first()[0]
+
+
+def frequent_runs(runs: DataFrame, tree: Tree, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and log10 probabilities of the runs whose count is above the least bound that at most ``limit`` runs pass."""
+    bound = least_count(runs.groupBy("n").agg(F.count(F.lit(1)).alias("words")), limit)
+    if bound is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    got = tree.log_probabilities(runs.where(F.col("n") >= bound).select("key")).toArrow()
+    return got.column("key").to_numpy(), got.column("logp").to_numpy()
+
+
 def frequent_words(words: DataFrame, limit: int = FREQUENT) -> Frequent:
     """The words whose count is above the least bound that at most ``limit`` words pass, with all words' totals."""
     by_count = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     total = by_count.agg(F.sum(F.col("n") * F.col("words")).alias("total"), F.sum("words").alias("distinct")).first()
-    ahead = F.sum("words").over(Window.orderBy(F.desc("n")))
-    # One row per different count: far fewer than words, as k different counts need k * k / 2 words.
-    bound = by_count.withColumn("ahead", ahead).where(F.col("ahead") <= limit).agg(F.min("n")).first()[0]
+    bound = least_count(by_count, limit)
     if bound is None:
         return Frequent(np.zeros(0, np.int64), np.zeros(0, np.int64), int(total["total"] or 0), int(total["distinct"] or 0))
     got = words.where(F.col("n") >= bound).select("key", "n").toArrow()
@@ -239,9 +328,14 @@ def frequent_words(words: DataFrame, limit: int = FREQUENT) -> Frequent:
     return Frequent(keys[order], counts[order], int(total["total"]), int(total["distinct"]))
 
 
-def _score(model):
+def _lists(first: np.ndarray, keys: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(first), pa.array(keys)).cast(pa.list_(pa.int64()))
+
+
+def _score(model, depth: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = model.value
+        runs, frequent = model.value
+        held = Held.build(*runs)
         scale = math.log10(frequent.total + 0.5 * (frequent.distinct + 1))
         log = np.log10(frequent.counts + 0.5) - scale
         for batch in batches:
@@ -250,7 +344,10 @@ def _score(model):
             for i, j in slices(offsets, SLICE):
                 w = Words(data, offsets, i, j)
                 stream, edges = byte_streams(w)
-                score = tree.score(stream, edges)
+                run = _runs(stream, edges, depth)
+                logp, held_run = held.look(run)
+                score = np.bincount(np.repeat(np.arange(j - i), np.diff(edges)), logp, j - i).astype(np.float64)
+                rare_runs = _lists(np.concatenate([[0], np.cumsum(~held_run)])[edges], run[~held_run])
                 keys, back = np.unique(w.hashes().view(np.int64), return_inverse=True)
                 at = np.searchsorted(frequent.keys, keys)
                 known = np.zeros(len(keys), bool)
@@ -259,15 +356,14 @@ def _score(model):
                 value = np.zeros(len(keys))
                 value[known] = log[at[known]]
                 text = np.repeat(np.arange(j - i), np.diff(w.first))
-                base = np.bincount(text, value[back], j - i)
+                base = np.bincount(text, value[back], j - i).astype(np.float64)  # without words numpy counts in integers
                 n_known = np.bincount(text, known[back], j - i).astype(np.int64)
                 rare = ~known[back]
-                # Words for the join: each text's rare words, text by text, with repeats.
-                rare_first = np.concatenate([[0], np.cumsum(rare)])[w.first]
-                tail = pa.LargeListArray.from_arrays(pa.array(rare_first), pa.array(keys[back[rare]])).cast(pa.list_(pa.int64()))
+                # Words and runs for the join: each text's rare ones, text by text, with repeats.
+                tail = _lists(np.concatenate([[0], np.cumsum(rare)])[w.first], keys[back[rare]])
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(i, j - i), pa.array(np.diff(w.first).astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score), tail],
-                    ["doc_id", "n_words", "n_known", "base", "score", "rare"],
+                    [doc_id.slice(i, j - i), pa.array(np.diff(w.first).astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score), tail, rare_runs],
+                    ["doc_id", "n_words", "n_known", "base", "score", "rare", "rare_runs"],
                 )
 
     return task
@@ -288,25 +384,30 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, limit:
     counted = stored(count_training(training, depth), "lm-counts")
     ends = training.count()
     words = counted.where("kind = 0").select("key", "n")
-    tree = grow_tree(counted.where("kind = 1").select("key", "n"), depth)
+    runs = counted.where("kind = 1").select("key", "n")
+    tree = grow_tree(runs, depth)
     frequent = frequent_words(words, limit)
     n, v = frequent.total + ends, frequent.distinct + (ends > 0)
-    model = docs.sparkSession.sparkContext.broadcast((tree, Frequent(frequent.keys, frequent.counts, n, v)))
+    model = docs.sparkSession.sparkContext.broadcast((frequent_runs(runs, tree, limit), Frequent(frequent.keys, frequent.counts, n, v)))
     texts_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    scored = stored(texts_in.mapInArrow(_score(model), "doc_id bigint, n_words bigint, n_known bigint, base double, score double, rare array<bigint>"), "lm-scored")
+    shape = "doc_id bigint, n_words bigint, n_known bigint, base double, score double, rare array<bigint>, rare_runs array<bigint>"
+    scored = stored(texts_in.mapInArrow(_score(model, depth), shape), "lm-scored")
     scale = math.log10(n + 0.5 * (v + 1))
     rare = scored.select("doc_id", F.explode("rare").alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("k"))
     looked = rare.join(words, "key", "left").groupBy("doc_id").agg(
         F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - scale)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("also_known")
     )
+    rare_runs = scored.select("doc_id", F.explode("rare_runs").alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("k"))
+    logp = tree.log_probabilities(stored(scored.select(F.explode("rare_runs").alias("key")).distinct(), "lm-rare-runs"))
+    steps = rare_runs.join(logp, "key").groupBy("doc_id").agg(F.sum(F.col("k") * F.col("logp")).alias("steps"))
     end = math.log10(ends + 0.5) - scale
-    return scored.drop("rare").join(looked, "doc_id", "left").select(
+    return scored.drop("rare", "rare_runs").join(looked, "doc_id", "left").join(steps, "doc_id", "left").select(
         "doc_id",
         (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("n_known") + F.coalesce("also_known", F.lit(0)) + (1 if ends else 0)).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + end).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("steps", F.lit(0.0))).alias("score"),
     )
 
 

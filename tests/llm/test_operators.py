@@ -442,3 +442,41 @@ def test_long_texts_score_as_one_block_or_many():
     assert stream.tobytes() == b" ".join(data.split()) + b"\n" and edges.tolist() == [0, len(stream)]
     got = lm_score._runs(stream, edges, 5)
     assert got[0] == int.from_bytes(b"\n" * 5 + stream[:1].tobytes(), "big") and got[9] == int.from_bytes(stream[4:10].tobytes(), "big")
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 1000])
+def test_tree_keeps_every_context_that_passes(spark, limit):
+    """Over 12,000 contexts pass: the scores are those of all of them, for runs that tasks hold and for runs that are joined."""
+    rng = np.random.default_rng(8)
+    known = ["".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(4000)]
+    train = [" ".join(known[k] for k in rng.permutation(4000)) for _ in range(12)]
+    texts = [*train[:1], " ".join(known[k][::-1] for k in range(40)), known[3] + " " + known[7] + " \u00e9", None, ""]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for t in train:
+        full = b"\n" * 5 + t.encode() + b"\n"
+        for k in range(5, len(full)):
+            for d in range(6):
+                counts[d][full[k - d : k]][full[k]] += 1
+    kept = set()
+    for d in range(1, 6):
+        for ctx, own in counts[d].items():
+            up = counts[d - 1][ctx[1:]]
+            n, m = own.total(), up.total()
+            if sum(c * (math.log(c / n) - math.log(up[b] / m)) for b, c in own.items()) - len(own) > lm_score.DIVERGENCE:
+                kept |= {ctx[k:] for k in range(d)}
+    assert len(kept) > 12_000
+
+    def prob(full, k):
+        p = (counts[0][b""][full[k]] + 0.5) / (counts[0][b""].total() + 128)
+        for d in range(1, 6):
+            ctx = full[k - d : k]
+            if ctx not in kept:
+                break
+            p = (counts[d][ctx][full[k]] + lm_score.SMOOTHING * p) / (counts[d][ctx].total() + lm_score.SMOOTHING)
+        return p
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(frame(texts), frame(train), limit=limit).collect()}
+    for i, t in enumerate(texts):
+        full = b"\n" * 5 + (t or "").encode() + b"\n"
+        assert got[i] == pytest.approx(sum(math.log10(prob(full, k)) for k in range(5, len(full))), rel=1e-9)
