@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 
 from sparkchemo.llm.common import LOWER, SPACES, UPPER, stored
 
-#: Token positions that count (1) and those that are ignored (0).
-MASKS = ("11011011", "11101101")
-SPAN = len(MASKS[0])
+#: Token positions that count (1) and those that are ignored (0). Found by enumeration: however the equal tokens that
+#: the rule asks for lie in a window of 16, at least one mask fits on equal tokens alone.
+MASKS = ("111011", "1100001011", "111100001", "111000101")
+#: The same for items of fewer tokens, which are one window.
+SHORT_MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("111", "1101", "1011"), 5: ("1111", "10111", "11101", "11011"), 6: ("11011", "101101"), 7: ("11011",),
+    8: ("11011", "1100011", "101101"), 9: ("11011", "11000101"), 10: ("111011", "11000111", "110100011"), 11: ("1101011", "111000101"),
+    12: ("111011", "110100011", "11001011", "110111"), 13: ("110111", "101001011", "110100011"), 14: ("111011", "11111", "11100101"), 15: ("111011", "1101101"),
+}
+#: From so many tokens on an item has MASKS.
+LONG = max(SHORT_MASKS) + 1
 #: A leak: in some window of WINDOW aligned tokens (or all of a shorter item) this percentage is equal.
 WINDOW, PERCENT = 16, 75
 #: Benchmark seeds that are broadcast at most (each about 40 bytes).
@@ -32,8 +40,13 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(tokens: Column, at: Column, mask: str, salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), *[F.get(tokens, at + k) for k, c in enumerate(mask) if c == "1"])
+def masks_of(length: int) -> tuple[str, ...]:
+    """The masks for items of ``length`` tokens."""
+    return SHORT_MASKS.get(length, MASKS)
+
+
+def _seed(tokens: Column, at: Column, mask: str) -> Column:
+    return F.xxhash64(F.lit(int(mask, 2)), *[F.get(tokens, at + k) for k, c in enumerate(mask) if c == "1"])
 
 
 def tokenised(rows: DataFrame, key: str) -> DataFrame:
@@ -41,17 +54,20 @@ def tokenised(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode(F.array(token_hashes(F.col("text")))).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def seeds(rows: DataFrame, short: list[int]) -> DataFrame:
+def seeds(rows: DataFrame, lengths: list[int], own: bool = False) -> DataFrame:
     """A row per place and mask: ``rows`` (with ``tokens``) with ``at`` and ``seed``.
 
-    ``short`` are lengths under SPAN of whole items; windows of those lengths become seeds too.
+    The masks are those for items of ``lengths`` (at most LONG); with ``own``, each row's are those for its own length.
     The explode, the hashes and a broadcast join behind them stay in one generated loop.
     """
     placed = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))
-    fits = lambda n: F.col("at") + n <= F.size("tokens")
     tokens, at = F.col("tokens"), F.col("at")
-    found = [F.when(fits(SPAN), _seed(tokens, at, m, k)) for k, m in enumerate(MASKS)]
-    found += [F.when(fits(n), _seed(tokens, at, "1" * n, 100 + n)) for n in short]
+    found = []
+    for mask in sorted({m for n in lengths for m in masks_of(n)}):
+        fits = at + len(mask) <= F.size("tokens")
+        if own:
+            fits = fits & F.least(F.size("tokens"), F.lit(LONG)).isin([n for n in lengths if mask in masks_of(n)])
+        found.append(F.when(fits, _seed(tokens, at, mask)))
     return placed.withColumn("seed", F.explode(F.array(*found))).where(F.col("seed").isNotNull())
 
 
@@ -61,7 +77,7 @@ def overlap(doc: Column, item: Column, at: Column, pos: Column, window: int) ->
     One walk along the alignment: each step counts the token that enters the window and takes off the one that leaves.
     """
     begin = F.greatest(F.lit(0), pos - window, pos - at)
-    end = F.least(F.size(item), pos + window + SPAN, pos - at + F.size(doc))
+    end = F.least(F.size(item), pos + window, pos - at + F.size(doc))
     size = F.least(F.lit(window), F.size(item))
     equal = lambda k: F.when(F.get(doc, at - pos + k) == F.get(item, k), 1).otherwise(0)
 
@@ -83,24 +99,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, perc
     Seeds of up to ``broadcast_seeds`` benchmark places are broadcast, and documents are then
     read in one pass without a shuffle; beyond that, seeds meet in a shuffle join and only
     documents with a hit are read again. Null and empty texts hold nothing and leak nothing.
-    Items shorter than a seed are looked for whole. Repeated rows change nothing. Empty tables
+    Every pair that meets the rule has a hit at the default ``window`` and ``percent`` or a higher ``percent``. Repeated rows change nothing. Empty tables
     give an empty result.
     """
     items = stored(tokenised(benchmark, "item_id").distinct(), "leak-items")
-    short = sorted(r["n"] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < SPAN).distinct().collect())
-    # A whole short item is a seed; longer items have no seeds of those lengths.
-    own = seeds(items, short).select("item_id", F.col("at").alias("pos"), "seed", F.size("tokens").alias("n"))
-    whole = F.lit(False)
-    for n in short:
-        whole = whole | ((F.col("n") == n) & (F.col("pos") == 0))
-    own = stored(own.where((F.col("n") >= SPAN) | whole).select("item_id", "pos", "seed").distinct(), "leak-seeds")
+    lengths = sorted(r["n"] for r in items.select(F.least(F.size("tokens"), F.lit(LONG)).alias("n")).distinct().collect()) or [LONG]
+    own = stored(seeds(items, lengths, own=True).select("item_id", F.col("at").alias("pos"), "seed").distinct(), "leak-seeds")
     texts = tokenised(docs, "doc_id")
     items = items.withColumnRenamed("tokens", "item")
     few = own.count() <= broadcast_seeds
     if few:
-        hits = seeds(texts, short).join(F.broadcast(own), "seed").join(F.broadcast(items), "item_id")
+        hits = seeds(texts, lengths).join(F.broadcast(own), "seed").join(F.broadcast(items), "item_id")
     else:
-        places = seeds(texts, short).select("doc_id", "at", "seed").join(own, "seed").select("doc_id", "item_id", "at", "pos").distinct()
+        places = seeds(texts, lengths).select("doc_id", "at", "seed").join(own, "seed").select("doc_id", "item_id", "at", "pos").distinct()
         hits = places.join(texts, "doc_id").join(items, "item_id")
     n_equal = overlap(F.col("tokens"), F.col("item"), F.col("at"), F.col("pos"), window)
     found = hits.select("doc_id", "item_id", n_equal.alias("n_equal"), "at", "pos", F.least(F.lit(window), F.size("item")).alias("size"))

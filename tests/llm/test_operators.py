@@ -1,6 +1,7 @@
 """The training-data operators against SQL and brute force, with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import os
 import zlib
@@ -480,3 +481,28 @@ def test_tree_keeps_every_context_that_passes(spark, limit):
     for i, t in enumerate(texts):
         full = b"\n" * 5 + (t or "").encode() + b"\n"
         assert got[i] == pytest.approx(sum(math.log10(prob(full, k)) for k in range(5, len(full))), rel=1e-9)
+
+
+def test_masks_meet_every_pattern_that_the_rule_takes():
+    for n in range(1, decontaminate.WINDOW + 1):
+        for wrong in itertools.combinations(range(n), n - -(-decontaminate.PERCENT * n // 100)):
+            equal = "".join("0" if k in wrong else "1" for k in range(n))
+            assert any(all(equal[at + k] == "1" for k, c in enumerate(m) if c == "1") for m in decontaminate.masks_of(n) for at in range(n - len(m) + 1)), equal
+
+
+def test_leaks_with_substitutions_equal_the_sql(spark, tmp_path):
+    """Every 4th word replaced in each phase, single windows with up to 4 changed words, and short items with one to three."""
+    rng = np.random.default_rng(5)
+    fresh = itertools.count()
+    change = lambda w, at: " ".join(f"z{next(fresh)}" if k in at else x for k, x in enumerate(w))
+    bench, docs = [], []
+    for item, n in enumerate([*range(1, 17), 24, 40]):
+        w = [f"i{item}w{k}" for k in range(n)]
+        bench.append((item, " ".join(w)))
+        docs += [f"a b {change(w, set(range(phase, n, 4)))} c" for phase in range(4)]
+        wrong = [c for k in range(5) for c in itertools.combinations(range(min(n, 16)), k)]
+        docs += [change(w[:16], set(wrong[k])) for k in rng.permutation(len(wrong))[:60]]
+    spark.createDataFrame(bench, "item_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    name = "op5_decontamination"
+    assert assert_same(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], views(str(tmp_path))) > 300
