@@ -15,16 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkchemo.llm.common import fold
+from sparkchemo.llm.common import fold, stored
 from sparkchemo.llm.lockstep import blocks
 from sparkchemo.llm.textkit import slices, texts
 
 #: The sample: so many documents of each language, so many bytes of each, so many symbols together.
-SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_SYMBOLS, MAX_LANGUAGES = 200, 400, 20_000, 64
+SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_SYMBOLS = 200, 400, 20_000
+#: Languages whose automata a task holds at once; more are parsed in several passes.
+PART = 64
 BLOCK, SLICE = 512, 2 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -136,11 +139,11 @@ class CrossParser:
         return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, train_symbols: int = TRAIN_SYMBOLS) -> CrossParser:
-    """Fit on a bounded sample of ``docs`` (doc_id, text, lang): the ``sample_docs`` first ids of each language by hash.
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, train_symbols: int = TRAIN_SYMBOLS) -> dict[str, bytes]:
+    """Each language's text to learn from, a bounded sample of ``docs`` (doc_id, text, lang): the ``sample_docs`` first ids of each language by hash.
 
     Of each such text, ``sample_bytes`` from its middle are learned from, up to
-    ``train_symbols`` for each language. At most MAX_LANGUAGES languages.
+    ``train_symbols`` for each language. Empty if no row has both text and lang.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -154,38 +157,44 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
         own = samples.setdefault(row["lang"], bytearray())
         if len(own) < train_symbols:
             own += (row["text"] + b"\n")[: train_symbols - len(own)]
-    if not samples:
-        raise ValueError("no labelled text to learn from")
-    if len(samples) > MAX_LANGUAGES:
-        raise ValueError(f"{len(samples)} languages, more than {MAX_LANGUAGES}")
-    return CrossParser.fit({k: bytes(v) for k, v in samples.items()})
+    return {k: bytes(v) for k, v in samples.items() if v}
 
 
-def _predict(model):
+def _predict(model, last: bool):
+    """One pass: the two least costs so far and the language of the least; the ``last`` pass gives the answer instead."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser: CrossParser = model.value
-        weight = np.array([math.log2(max(2, n)) for n in parser.sizes])[:, None]
-        names = [*parser.languages, UNKNOWN]
+        parser: CrossParser | None = model.value
+        names = [UNKNOWN, *parser.languages] if parser else [UNKNOWN]
         for batch in batches:
             data, offsets = texts(batch.column("text"))
-            best, score = [], []
-            for i, j in slices(offsets, SLICE):
+            size = batch.num_rows
+            first, second, chosen = np.full(size, np.inf), np.full(size, np.inf), np.zeros(size, np.int64)
+            letters = np.zeros(size, bool)
+            for i, j in slices(offsets, SLICE) if parser else ():
+                weight = np.array([math.log2(max(2, n)) for n in parser.sizes])[:, None]
                 cost = parser.phrases(data, offsets, i, j) * weight
                 order = np.argsort(cost, axis=0, kind="stable")
-                first = np.take_along_axis(cost, order[:1], 0)[0]
-                second = np.take_along_axis(cost, order[1:2], 0)[0] if len(cost) > 1 else first * 2
-                chosen = order[0]
-                # 0.5 for a tie, towards 1 as the next language needs more phrases.
-                sure = second / np.maximum(first + second, 1)
-                for k in range(j - i):
-                    own = data[offsets[i + k] : offsets[i + k + 1]]
-                    if not _has_letter(own):
-                        chosen[k], sure[k] = len(parser.languages), 0.0
-                best.append(chosen)
-                score.append(sure)
-            at = np.concatenate(best) if best else np.zeros(0, np.int64)
-            columns = [batch.column(n) for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names).take(pa.array(at)), pa.array(np.concatenate(score) if score else np.zeros(0))], [*(n for n in batch.schema.names if n != "text"), "lang_pred", "lang_score"])
+                first[i:j] = np.take_along_axis(cost, order[:1], 0)[0]
+                if len(cost) > 1:
+                    second[i:j] = np.take_along_axis(cost, order[1:2], 0)[0]
+                chosen[i:j] = order[0] + 1
+                for k in range(i, j) if last else ():
+                    letters[k] = _has_letter(data[offsets[k] : offsets[k + 1]])
+            found = pa.array(names).take(pa.array(chosen))
+            if "first" in batch.schema.names:
+                one, two = (batch.column(c).to_numpy() for c in ("first", "second"))
+                # A tie stays with the earlier pass, whose languages come first by name.
+                found = pc.if_else(pa.array(one <= first), batch.column("lang"), found)
+                first, second = np.minimum(one, first), np.minimum(np.maximum(one, first), np.minimum(two, second))
+            if not last:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), found, pa.array(first), pa.array(second)], ["doc_id", "text", "lang", "first", "second"])
+                continue
+            second = np.where(np.isinf(second), first * 2, second)
+            # 0.5 for a tie, towards 1 as the next language needs more phrases; without a letter or a language there is none.
+            sure = np.zeros(size)
+            sure[letters] = second[letters] / np.maximum(first[letters] + second[letters], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.if_else(pa.array(letters), found, pa.scalar(UNKNOWN)), pa.array(sure)], ["doc_id", "lang_pred", "lang_score"])
 
     return task
 
@@ -198,19 +207,30 @@ def _has_letter(own: np.ndarray) -> bool:
     return bool(_ASCII_LETTER[own[:256]].any() or _ASCII_LETTER[own].any() or _LETTER.search(own.tobytes().decode("utf-8", "replace")))
 
 
-def predict(docs: DataFrame, parser: CrossParser) -> DataFrame:
+def predict(docs: DataFrame, samples: dict[str, bytes], part: int = PART) -> DataFrame:
     """doc_id, lang_pred and lang_score of every row of ``docs`` (doc_id, text); nothing else is read.
 
-    ``lang_pred`` is ``und`` with score 0 for a null or empty text and one without a letter.
+    ``samples`` is what ``fit`` gives. ``lang_pred`` is ``und`` with score 0 for a null or
+    empty text and one without a letter, and for all if ``samples`` is empty.
     The score is second / (best + second) phrase costs, 0.5 for a tie, which the first
     language by name wins. Whole texts are read, however long. Repeated rows are predicted
-    each; an empty table gives an empty result.
+    each; an empty table gives an empty result. More than ``part`` languages are parsed in
+    several passes, with the texts stored in between.
     """
-    model = docs.sparkSession.sparkContext.broadcast(parser)  # at most 2 * train_symbols states a language
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_predict(model), "doc_id bigint, lang_pred string, lang_score double")
+    names = sorted(samples)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    for at in range(0, max(1, len(names)), part):
+        own = names[at : at + part]
+        last = at + part >= len(names)
+        model = docs.sparkSession.sparkContext.broadcast(CrossParser.fit({k: samples[k] for k in own}) if own else None)  # at most 2 * train_symbols states a language
+        if last:
+            return rows.mapInArrow(_predict(model, True), "doc_id bigint, lang_pred string, lang_score double")
+        rows = stored(rows.mapInArrow(_predict(model, False), f"doc_id {id_type}, text binary, lang string, first double, second double"), "language-pass")
+        model.unpersist()
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    parser = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    return predict(docs, parser).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    samples = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return predict(docs, samples).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -506,3 +506,20 @@ def test_leaks_with_substitutions_equal_the_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     name = "op5_decontamination"
     assert assert_same(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], views(str(tmp_path))) > 300
+
+
+def test_language_without_labels_and_with_many_languages(spark, docs, tmp_path):
+    from corpus_pipeline import identify_language
+
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    for k, rows in enumerate((docs.limit(0), unlabelled)):
+        rows.write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        got = QUERIES["op2_language_id"](spark, str(tmp_path / str(k))).collect()
+        assert len(got) == rows.count() and all((r["lang_pred"], r["score"]) == ("und", 0.0) for r in got)
+        assert identify_language(spark, rows, "").count() == 0
+    # 66 languages, each of its own letters.
+    spoken = {f"l{k:02d}": " ".join(chr(0x4E00 + 40 * k + (7 * m + m * m) % 31) * 2 for m in range(60)) for k in range(66)}
+    many = spark.createDataFrame([(k, t, n) for k, (n, t) in enumerate(spoken.items())], "doc_id bigint, text string, lang string")
+    samples = language.fit(many)
+    got = {part: {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language.predict(many, samples, part).collect()} for part in (64, 7, 100)}
+    assert got[64] == got[7] == got[100] and [got[64][k][0] for k in range(66)] == list(spoken)
