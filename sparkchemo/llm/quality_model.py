@@ -159,8 +159,8 @@ class ByteNet:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, epochs: int = EPOCHS) -> ByteNet:
     """Train on a bounded sample of the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks.
 
-    For each label the first ``rows`` ids by hash, as long as their whole texts have at most
-    ``max_bytes`` together. The share of label 1 among all labelled rows sets the
+    For each label the first ``rows`` ids by hash; of these a text is left out if it does
+    not fit in ``max_bytes`` with those before it. The share of label 1 among all labelled rows sets the
     probability's base rate. Rows without a label or text are not learned from; if a
     label has none, the base rate alone is the score.
     """
@@ -172,13 +172,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_bytes:
     most = F.when(F.col("quality") == 1, 3 * rows / max(1, share.get(1, 0))).otherwise(3 * rows / max(1, share.get(0, 0)))
     place = (F.xxhash64("doc_id") / float(1 << 64)) + 0.5
     few = known.where(place < most).withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
-    chosen = few.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= max_bytes).select("doc_id", "quality")
+    chosen, used = [], {}
+    for r in sorted(few.collect(), key=lambda r: r["k"]):  # 2 * rows small rows at most
+        if used.get(r["quality"], 0) + r["bytes"] <= max_bytes:
+            used[r["quality"]] = used.get(r["quality"], 0) + r["bytes"]
+            chosen.append((r["doc_id"], r["quality"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, known.select("doc_id", "quality").schema)
     got = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").collect()  # 2 * max_bytes at most
     got = sorted(((r["doc_id"], r["quality"], bytes(r["text"])) for r in got), key=lambda r: r[:2])
     net = ByteNet()
     y = np.array([q for _, q, _ in got], np.float32)
     if len(set(y.tolist())) == 2:
         net.train([t for _, _, t in got], y, epochs)
+    else:
+        net.p["pool"] = np.zeros_like(net.p["pool"])  # nothing but the base rate reaches the score
     net.prior = float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)))
     return net
 

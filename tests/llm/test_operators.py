@@ -523,3 +523,17 @@ def test_language_without_labels_and_with_many_languages(spark, docs, tmp_path):
     samples = language.fit(many)
     got = {part: {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language.predict(many, samples, part).collect()} for part in (64, 7, 100)}
     assert got[64] == got[7] == got[100] and [got[64][k][0] for k in range(66)] == list(spoken)
+
+
+def test_quality_sample_skips_a_long_text_and_falls_back_to_the_base_rate(spark, monkeypatch):
+    rows = [(k, prose(k, 20), k % 2) for k in range(40)]
+    first = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").where("quality = 1").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    docs = spark.createDataFrame([(k, t * 500 if k == first else t) for k, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model.ByteNet, "train", lambda self, data, y, epochs: seen.append(Counter(y.tolist())))
+    quality_model.fit(docs, labels, max_bytes=20_000)
+    assert seen == [Counter({0.0: 20, 1.0: 19})]
+    for marked, base in ((labels.where("quality = 1"), 21 / 22), (labels.limit(0), 0.5)):
+        scores = [r["score"] for r in quality_model.score_quality(docs, quality_model.fit(docs, marked)).collect()]
+        assert len(scores) == 40 and scores == pytest.approx([base] * 40)
