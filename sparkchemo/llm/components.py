@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkchemo.llm.common import stored
+from sparkchemo.llm.common import release, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction: neighbours hang on the least of a node's neighbours and itself."""
+    """One contraction of the stored ``edges``, whose table goes: neighbours hang on the least of a node's neighbours and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Read from a table, so that the planner can split a hub's rows in the join.
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "component-least")
     hung = both.join(least, "a")
     if large:  # larger neighbours go to the least
-        return hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    # smaller neighbours and the node itself go to the least
-    return hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:  # smaller neighbours and the node itself go to the least
+        out = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b")
+    out = stored(out.distinct(), "component-edges")
+    release(edges, least)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -31,7 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
     seen = None
     for _ in range(max_rounds):
-        edges = stored(_star(_star(edges, True), False), "component-edges")
+        edges = _star(_star(edges, True), False)
         mark = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if mark == seen:
             break

@@ -93,27 +93,44 @@ def test_near_duplicates_equal_brute_force(docs, plain):
     assert near_dedup.near_duplicates(docs.limit(0), 85).count() == 0
 
 
-def test_near_duplicates_in_a_crowded_region(spark):
-    base = prose(5, 150).split()
-    rng = np.random.default_rng(2)
-    rows = []
-    for i in range(260):
-        w = list(base)
-        for k in rng.integers(150, size=int(rng.integers(0, 4))):
+def crowded(seed: int, n: int, size: int, most: int, bases: int = 1) -> list[tuple[int, str]]:
+    """Variants of ``bases`` texts that share their first half, each with up to ``most`` words replaced."""
+    rng = np.random.default_rng(seed)
+    half, rows = prose(seed, size // 2), []
+    whole = [(half + " " + prose(seed + 1 + b, size - size // 2)).split() for b in range(bases)]
+    for i in range(n):
+        w = list(whole[i % bases])
+        for k in rng.integers(size, size=int(rng.integers(0, most + 1))):
             w[k] = f"new{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("huge", [512, 40])
+@pytest.mark.parametrize("case", [(5, 260, 150, 3), (6, 300, 150, 9), (7, 200, 100, 2, 4)])
+def test_near_duplicates_in_a_crowded_region(spark, monkeypatch, case, huge):
+    """Copies, variants about the threshold, and families that share half: no link is lost, in one block or in many."""
+    monkeypatch.setattr(near_dedup, "HUGE", huge)
+    rows = crowded(*case)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect()}
-    want = brute_components(dict(rows), 85)
-    assert sum(got[i] != want[i] for i in want) <= 1
+    assert got == brute_components(dict(rows), 85)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows that share a doc_id are one document: linked by any of their texts."""
+    one, two = prose(1, 100), prose(2, 100)
+    rows = [(5, one), (5, two), (5, one), (3, two), (9, one), (7, prose(4, 100))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
 
 
-def test_forest_cuts_huge_regions(spark):
-    """All documents share a whole order: deeper regions, then parts bridged to one another."""
-    rows = [(i, 100, [7], [0 if i % 2 else 1 << 40], bytes([i % 256]) * 128) for i in range(300)]
-    reps = spark.createDataFrame(rows, "doc_id bigint, n_shingles bigint, roots array<bigint>, rests array<bigint>, marks binary")
-    pairs = near_dedup.forest_pairs(reps, 80, dense=4, huge=16, reach=2)
-    linked = components(pairs).groupBy("component").count().collect()
-    assert sum(r["count"] for r in linked) == 300 and len(linked) <= 2
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 80, 200, 1)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets[1:3]]
+    got = near_dedup.shared_counts(sets, np.array([1, 2]), wide=37)
+    # A set's count with itself leaves out what no other set holds; it is never asked for.
+    assert all(got[r][k] == want[r][k] for r in range(2) for k in range(5) if k != r + 1)
 
 
 def test_components(spark):
