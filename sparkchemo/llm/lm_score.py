@@ -340,7 +340,7 @@ def _score(model, depth: int):
         log = np.log10(frequent.counts + 0.5) - scale
         for batch in batches:
             data, offsets = texts(batch.column("text"))
-            doc_id = batch.column("doc_id")
+            row, doc_id = batch.column("row"), batch.column("doc_id")
             for i, j in slices(offsets, SLICE):
                 w = Words(data, offsets, i, j)
                 stream, edges = byte_streams(w)
@@ -362,8 +362,8 @@ def _score(model, depth: int):
                 # Words and runs for the join: each text's rare ones, text by text, with repeats.
                 tail = _lists(np.concatenate([[0], np.cumsum(rare)])[w.first], keys[back[rare]])
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(i, j - i), pa.array(np.diff(w.first).astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score), tail, rare_runs],
-                    ["doc_id", "n_words", "n_known", "base", "score", "rare", "rare_runs"],
+                    [row.slice(i, j - i), doc_id.slice(i, j - i), pa.array(np.diff(w.first).astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score), tail, rare_runs],
+                    ["row", "doc_id", "n_words", "n_known", "base", "score", "rare", "rare_runs"],
                 )
 
     return task
@@ -378,8 +378,9 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, limit:
     blank between words and an end.
 
     A null or blank text is the end alone. Without training rows every word is unknown and
-    all bytes are equally likely. doc_id must be unique. Very long texts are scored in
-    full; an empty table gives an empty result. Other columns are not read.
+    all bytes are equally likely. Repeated rows, and rows that share a doc_id, are scored each
+    by its own text. Very long texts are scored in full; an empty table gives an empty
+    result. Other columns are not read.
     """
     counted = stored(count_training(training, depth), "lm-counts")
     ends = training.count()
@@ -389,19 +390,20 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, limit:
     frequent = frequent_words(words, limit)
     n, v = frequent.total + ends, frequent.distinct + (ends > 0)
     model = docs.sparkSession.sparkContext.broadcast((frequent_runs(runs, tree, limit), Frequent(frequent.keys, frequent.counts, n, v)))
-    texts_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    shape = "doc_id bigint, n_words bigint, n_known bigint, base double, score double, rare array<bigint>, rare_runs array<bigint>"
+    # A row's number keeps rows that share a doc_id apart; it is fixed once the table is stored.
+    texts_in = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    shape = "row bigint, doc_id bigint, n_words bigint, n_known bigint, base double, score double, rare array<bigint>, rare_runs array<bigint>"
     scored = stored(texts_in.mapInArrow(_score(model, depth), shape), "lm-scored")
     scale = math.log10(n + 0.5 * (v + 1))
-    rare = scored.select("doc_id", F.explode("rare").alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("k"))
-    looked = rare.join(words, "key", "left").groupBy("doc_id").agg(
+    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("k"))
+    looked = rare.join(words, "key", "left").groupBy("row").agg(
         F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - scale)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("also_known")
     )
-    rare_runs = scored.select("doc_id", F.explode("rare_runs").alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("k"))
+    rare_runs = scored.select("row", F.explode("rare_runs").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("k"))
     logp = tree.log_probabilities(stored(scored.select(F.explode("rare_runs").alias("key")).distinct(), "lm-rare-runs"))
-    steps = rare_runs.join(logp, "key").groupBy("doc_id").agg(F.sum(F.col("k") * F.col("logp")).alias("steps"))
+    steps = rare_runs.join(logp, "key").groupBy("row").agg(F.sum(F.col("k") * F.col("logp")).alias("steps"))
     end = math.log10(ends + 0.5) - scale
-    return scored.drop("rare", "rare_runs").join(looked, "doc_id", "left").join(steps, "doc_id", "left").select(
+    return scored.drop("rare", "rare_runs").join(looked, "row", "left").join(steps, "row", "left").select(
         "doc_id",
         (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("n_known") + F.coalesce("also_known", F.lit(0)) + (1 if ends else 0)).cast("bigint").alias("n_known"),
@@ -412,6 +414,7 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, limit:
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """All documents scored by what four fifths of them teach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = fold(F.col("doc_id"), 5) == 1
     scored = score_texts(docs, docs.where(~held))

@@ -29,7 +29,7 @@ WIDTH = 5
 #: Orders, values in each, and the values that a region shares at least.
 TREES, DEPTH, ROOT = 16, 8, 4
 #: Regions of at most SMALL documents are compared whole, larger ones in blocks of about HUGE.
-SMALL, HUGE = 16, 512
+SMALL, HUGE = 16, 256
 #: Neighbours before a document in the order, and hubs of its region, that it is compared with first.
 REACH, HUBS = 8, 4
 #: A region with more than HUGE unlinked documents is split by two further values, in WAYS different choices of the two

@@ -25,6 +25,8 @@ from sparkchemo.llm.textkit import Words, slices, texts
 END_ID, MAX_TOKENS = 1, 4096
 #: Pieces packed together in one task.
 GROUP = 8192
+#: Bins that the local search tries to empty in vain before it ends.
+PATIENCE = 40
 #: Words whose ids a worker remembers (about 20 bytes each), bytes of text worked on at a time, words encoded at a time.
 MEMORY, SLICE, AT_ONCE = 2_000_000, 4 << 20, 1000
 #: Between words that are encoded together; it is one id, and a word that has it is encoded alone.
@@ -164,60 +166,64 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], limit: int, rounds: int = 200) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], limit: int, patience: int = PATIENCE) -> list[list[int]]:
     """Local search: the emptiest bin gives pieces to other underfull bins until it is empty.
 
-    A step moves a piece, exchanges one for a smaller one, or two for a smaller one; the
-    receiving bin is fuller than the giving one before and gets fuller, so each step
-    raises the sum of squared fills, and the search ends.
+    A step moves a piece, exchanges one for a smaller one, or two for a smaller one: of all
+    such steps the one that raises the sum of squared fills most. The search ends when no
+    bin has been emptied in ``patience`` attempts, each with another bin, or when no fewer
+    bins could hold the pieces.
     """
-    bins = [list(b) for b in bins if b]
-    ideal = -(-sum(lengths) // limit)
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    stuck: set[int] = set()
-    for _ in range(rounds):
-        if len(bins) - sum(not b for b in bins) <= ideal:
+    n = np.array(lengths, np.int64)
+    place = np.zeros(len(n), np.int64)
+    for b, own in enumerate(bins):
+        place[own] = b
+    fill = np.bincount(place, n, len(bins)).astype(np.int64)
+    tried, least = np.zeros(len(bins), bool), -(-int(n.sum()) // limit)
+    while (fill > 0).sum() > least and tried.sum() < patience:
+        giver = np.where((fill > 0) & (fill < limit) & ~tried, fill, limit)
+        b = int(giver.argmin())
+        if giver[b] == limit:
             break
-        under = [b for b in range(len(bins)) if bins[b] and fill[b] < limit]
-        givers = [b for b in under if b not in stuck]
-        if not givers:
-            break
-        giver = min(givers, key=lambda b: (fill[b], b))
-        moved = False
-        for other in sorted((b for b in under if b != giver), key=lambda b: (-fill[b], b)):
-            step = _step(bins[giver], bins[other], lengths, limit - fill[other])
-            if step and fill[other] + step[2] > fill[giver] - step[2]:
-                give, take, gain = step
-                for k in give:
-                    bins[giver].remove(k)
-                for k in take:
-                    bins[other].remove(k)
-                bins[giver] += take
-                bins[other] += give
-                fill[giver] -= gain
-                fill[other] += gain
-                moved = True
-                if not bins[giver]:
-                    break
-        stuck = set() if moved else stuck | {giver}
-    return [b for b in bins if b]
-
-
-def _step(giver: list[int], other: list[int], lengths: list[int], free: int) -> tuple[list[int], list[int], int] | None:
-    """The step that fills most of ``free``: (pieces given, pieces taken, growth)."""
-    best = None
-    if not free:
-        return best
-    own = sorted((lengths[k], k) for k in giver)
-    twos = [(own[i][0] + own[j][0], [own[i][1], own[j][1]]) for i in range(min(len(own), 64)) for j in range(i)]
-    offers = sorted([(n, [k]) for n, k in own] + twos)
-    sizes = [n for n, _ in offers]
-    for take in [None, *other]:  # None: a move
-        back = lengths[take] if take is not None else 0
-        at = bisect_left(sizes, back + free + 1) - 1
-        if at >= 0 and (gain := offers[at][0] - back) > (best[2] if best else 0):
-            best = offers[at][1], [take] if take is not None else [], gain
-    return best
+        while fill[b] and (step := _best_step(b, place, n, fill, limit)):
+            give, take, other = step
+            gain = int(n[give].sum() - n[take].sum())
+            place[give], place[take] = other, b
+            fill[b], fill[other] = fill[b] - gain, fill[other] + gain
+        if fill[b]:
+            tried[b] = True
+        else:
+            tried[:] = False
+    return [own.tolist() for b in np.flatnonzero(fill) for own in [np.flatnonzero(place == b)]]
+
+
+def _best_step(giver: int, place: np.ndarray, n: np.ndarray, fill: np.ndarray, limit: int) -> tuple[list[int], list[int], int] | None:
+    """(pieces given, pieces taken, the other bin) of the step that raises the squares most; None if there is none.
+
+    Pieces of equal length are alike, and a bin of ``limit`` has at most about sqrt(2 * limit)
+    different lengths, so all steps are looked at.
+    """
+    own: dict[int, list[int]] = {}
+    for k in np.flatnonzero(place == giver).tolist():
+        own.setdefault(int(n[k]), []).append(k)
+    sizes = sorted(own)
+    offers = {m: own[m][:1] for m in sizes}
+    for i, m in enumerate(sizes):
+        for o in sizes[i if len(own[m]) > 1 else i + 1 :]:
+            offers.setdefault(m + o, [own[m][0], own[o][1 if m == o else 0]])
+    sums = np.array(sorted(offers))
+    # A row for each underfull bin (a move) and for each piece of one (an exchange).
+    under = (fill > 0) & (fill < limit)
+    under[giver] = False
+    bins, pieces = np.flatnonzero(under), np.flatnonzero(under[place])
+    to, back = np.concatenate([bins, place[pieces]]), np.concatenate([np.zeros(len(bins), np.int64), n[pieces]])
+    at = np.searchsorted(sums, back + limit - fill[to], "right") - 1
+    gain = np.where(at >= 0, sums[np.maximum(at, 0)] - back, 0)
+    rise = np.where(gain > 0, gain * (fill[to] - fill[giver] + gain), 0)
+    k = int(rise.argmax()) if len(rise) else 0
+    if not len(rise) or rise[k] <= 0:
+        return None
+    return offers[int(sums[at[k]])], [int(pieces[k - len(bins)])] if k >= len(bins) else [], int(to[k])
 
 
 def _pack(limit: int) -> Callable:
@@ -267,4 +273,5 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -106,7 +106,7 @@ def crowded(seed: int, n: int, size: int, most: int, bases: int = 1) -> list[tup
     return rows
 
 
-@pytest.mark.parametrize("huge", [512, 40])
+@pytest.mark.parametrize("huge", [256, 40])
 @pytest.mark.parametrize("case", [(5, 260, 150, 3), (6, 300, 150, 9), (7, 200, 100, 2, 4)])
 def test_near_duplicates_in_a_crowded_region(spark, monkeypatch, case, huge):
     """Copies, variants about the threshold, and families that share half: no link is lost, in one block or in many."""
