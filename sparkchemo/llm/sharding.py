@@ -3,7 +3,8 @@
 Each document starts in a shard by its id. In every round a join finds, per link, how many
 bytes of its documents each shard holds; a linked document wants to go where most of them
 are. Quotas let documents change shards only as far as the capacities allow, so sizes
-stay even. A last pass shifts the few documents at shard borders and numbers the slots.
+stay even. What the rounds leave apart joins the shard that holds most of it, documents
+without links fill the shards up to the same size, and a last pass numbers the slots.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkchemo.llm.common import stored
+from sparkchemo.llm.common import release, stored
 
 #: A link's rows are looked up in parts of at most this fraction of all link rows.
 SPREAD = 256
+#: Groups above this fraction of a shard are placed one by one: at most shards * BIG of them.
+BIG = 64
 
 
 def _quotas(wanted: dict[tuple[int, int], int], load: list[int], capacity: float) -> dict[tuple[int, int], float]:
@@ -44,13 +47,13 @@ def _sums(df: DataFrame, *keys: str) -> dict:
 
 
 def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 10, slack: float = 0.1) -> DataFrame:
-    """``nodes`` (doc_id, size) with a column ``label``; in ``links`` (doc_id, link) rows of one link are neighbours.
+    """(node, label) of every linked row of ``nodes`` (node, doc_id, size); in ``links`` (node, link) rows of one link are neighbours.
 
-    A document may have many links or none; without, it keeps its first label. A document
-    wants the label that holds most bytes of its links' documents, of those with room left;
-    a tie goes by the link.
-    Rounds end early when no document wants to move. The sums per link are partial before
-    they are shuffled, so a link with a third of all rows sends a row per task.
+    A node may have many links. It starts at its doc_id's label and wants the label that
+    holds most bytes of its links' nodes, of those with room left; a tie goes by the link.
+    Rounds end early when no node wants to move. The sums per link are partial before they
+    are shuffled, so a link with a third of all rows sends a row per task; a link with more
+    than a share of all rows meets its sums in several tasks.
     """
     first = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     load = [0] * shards
@@ -58,36 +61,66 @@ def propagate_labels(nodes: DataFrame, links: DataFrame, shards: int, rounds: in
         load[s] = size
     mean = sum(load) / shards
     capacity = mean * (1 + slack)
-    # A link with more than a share of all rows meets its sums in several tasks, whole as it is.
-    sizes = links.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
     ways = F.ceil(F.col("n") * SPREAD / max(1, links.count())).cast("int")
-    links = stored(links.join(sizes.select("link", ways.alias("ways")), "link"), "shard-links")
-    state = stored(nodes.join(links.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "size", first.alias("label")), "shard-labels")
+    # Read from tables, so that the planner can split a hot link's rows in the joins.
+    sizes = stored(links.groupBy("link").agg(F.count(F.lit(1)).alias("n")).select("link", ways.alias("ways")), "shard-ways")
+    links = stored(links.select("node", "link").join(sizes, "link"), "shard-links")
+    state = stored(nodes.join(links.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "size", first.alias("label")), "shard-labels")
     for step in range(rounds):
         held = [F.sum(F.when(F.col("label") == s, F.col("size")).otherwise(0)) for s in range(shards)]
         # Below one byte, a number that depends on link and shard: equal weights don't leave two copies apart.
         tie = [F.pmod(F.xxhash64("link", F.lit(s)), F.lit(1024)) for s in range(shards)]
-        by_link = links.join(state, "doc_id").groupBy("link").agg(F.max("ways").alias("ways"), *[(1024 * h + F.when(h > 0, t).otherwise(0)).alias(f"w{s}") for s, (h, t) in enumerate(zip(held, tie, strict=True))])
+        by_link = links.join(state, "node").groupBy("link").agg(F.max("ways").alias("ways"), *[(1024 * h + F.when(h > 0, t).otherwise(0)).alias(f"w{s}") for s, (h, t) in enumerate(zip(held, tie, strict=True))])
         spread = by_link.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
-        by_doc = links.withColumn("way", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")).join(spread, ["link", "way"]).groupBy("doc_id").agg(*[F.sum(f"w{s}").alias(f"w{s}") for s in range(shards)])
+        by_node = links.withColumn("way", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")).join(spread, ["link", "way"]).groupBy("node").agg(*[F.sum(f"w{s}").alias(f"w{s}") for s in range(shards)])
         # A shard that has used half its slack is closed: what it shares with open shards leaves it.
         choice = F.array_max(F.array(*[F.struct(F.col(f"w{s}").alias("w"), (F.col("label") == s).alias("own"), F.lit(-s).alias("s")) for s in range(shards) if load[s] <= (capacity + mean) / 2]))
         want = F.when(choice["w"] > 0, -choice["s"]).otherwise(F.col("label"))
-        wishes = stored(state.join(by_doc, "doc_id").select("doc_id", "size", "label", want.alias("want")), "shard-wishes")
+        wishes = stored(state.join(by_node, "node").select("node", "doc_id", "size", "label", want.alias("want")), "shard-wishes")
         wanted = _sums(wishes.where("label <> want"), "label", "want")
         if not wanted:
+            release(wishes)
             break
         quotas = _quotas(wanted, load, capacity)
         share = F.lit(0.0)
         for (a, b), q in quotas.items():
             share = F.when((F.col("label") == a) & (F.col("want") == b), q).otherwise(share)
-        moves = (F.col("label") != F.col("want")) & (_chance(F.col("doc_id"), F.lit(step)) < share)
-        state = stored(wishes.withColumn("to", F.when(moves, F.col("want")).otherwise(F.col("label"))), "shard-moves")
-        for (a, b), size in _sums(state.where("label <> to"), "label", "to").items():
+        moves = (F.col("label") != F.col("want")) & (_chance(F.col("node"), F.lit(step)) < share)
+        moved = stored(wishes.withColumn("to", F.when(moves, F.col("want")).otherwise(F.col("label"))), "shard-moves")
+        release(wishes)
+        for (a, b), size in _sums(moved.where("label <> to"), "label", "to").items():
             load[a] -= size
             load[b] += size
-        state = state.select("doc_id", "size", F.col("to").alias("label"))
-    return nodes.join(state.select("doc_id", F.col("label").alias("moved")), "doc_id", "left").select(*nodes.columns, F.coalesce("moved", first).alias("label"))
+        state = moved.select("node", "doc_id", "size", F.col("to").alias("label"))
+    return state.select("node", "label")
+
+
+def gather(links: DataFrame, labels: DataFrame, total: int, shards: int) -> DataFrame:
+    """(link, shard, bytes, whole): one shard for each link of ``links`` (node, link, size), that which holds most of it if it has room.
+
+    Links above 1 / BIG of a shard, at most shards * BIG, are placed on the driver by
+    falling size, those that fit their own shard there and the others in the emptiest. The
+    small ones then stay where they are as far as a shard has room. shard is null for those
+    that are left, which fill up shards later on: the small ones ``whole``, big ones that
+    would fit no shard cut where it is full.
+    """
+    goal = total / shards
+    parts = links.join(labels, "node").groupBy("link", "label").agg(F.sum("size").alias("bytes"))
+    groups = stored(parts.groupBy("link").agg(F.sum("bytes").alias("bytes"), F.max_by("label", F.struct("bytes", F.xxhash64("link", "label"))).alias("label")), "shard-groups")
+    room, rows = [goal] * shards, []
+    big = groups.where(F.col("bytes") * BIG > goal)
+    for r in sorted(big.collect(), key=lambda r: (-r["bytes"], r["link"])):
+        s = r["label"] if r["bytes"] <= room[r["label"]] else max(range(shards), key=lambda k: (room[k], -k))
+        fits = r["bytes"] <= room[s]
+        room[s] -= r["bytes"] if fits else 0
+        rows.append((r["link"], s if fits else None, r["bytes"], fits))
+    placed = links.sparkSession.createDataFrame(rows, "link string, shard int, bytes bigint, whole boolean")
+    ordered = running_totals(groups.where(F.col("bytes") * BIG <= goal), ["label", "link"], "bytes", "shard-small")
+    begin = {r["label"]: r["begin"] for r in ordered.groupBy("label").agg(F.min("before").alias("begin")).collect()}
+    fits = F.lit(False)
+    for s in range(shards):
+        fits = F.when(F.col("label") == s, F.col("before") + F.col("bytes") - begin.get(s, 0) <= room[s]).otherwise(fits)
+    return placed.union(ordered.select("link", F.when(fits, F.col("label")).cast("int"), "bytes", F.lit(True)))
 
 
 def running_totals(df: DataFrame, order: list[str], size: str, name: str) -> DataFrame:
@@ -111,33 +144,44 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10) -> DataF
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('bytes'), shard, slot (from 0
     in each shard, without gaps), grown_shard (null: this law promises nothing for it).
 
-    A null text is an empty one. doc_id must be unique; a repeated row keeps its own slot but
-    is taken for the same document. A group of equal texts larger than a shard is split
-    over as many as it needs. An empty table gives an empty result. Other columns are not read.
+    A null text is an empty one. Each row has a slot of its own, also one that repeats another
+    or shares its doc_id. A group of equal texts larger than a shard is split into parts of a
+    quarter of a shard; a smaller one stays whole, unless the groups alone leave no shard
+    with room for it. An empty table gives an empty result. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.md5(text).alias("link"),
+        F.monotonically_increasing_id().alias("node"), "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.md5(text).alias("md5"),
     )
-    rows = stored(rows, "shard-rows")
+    rows = stored(rows, "shard-rows")  # fixes the rows' numbers
     total = rows.agg(F.sum("size")).first()[0] or 1
-    # A group larger than a shard can't stay whole: its parts, each a quarter of a shard, do.
     parts = F.when(F.col("bytes") * shards > total, F.ceil(F.col("bytes") * (4 * shards) / total)).otherwise(1).cast("int")
-    groups = rows.groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("link", parts.alias("parts"))
-    links = rows.join(groups, "link").select("doc_id", F.concat("link", F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("link"))
-    labelled = propagate_labels(rows, links, shards, rounds)
-    placed = running_totals(labelled, ["label", "link", "doc_id"], "size", "shard-order")
-    shard = F.least(F.lit(shards - 1), F.floor((F.col("before") + F.col("size") / 2) * shards / total)).cast("int")
-    placed = stored(placed.withColumn("shard", shard).withColumn("one", F.lit(1).cast("bigint")), "shard-placed")
-    # The shards cut the same order, so a document's slot is its place less the rows of earlier shards.
-    numbered = running_totals(placed.drop("before"), ["shard", "link", "doc_id"], "one", "shard-slots")
-    counts = placed.groupBy("shard").agg(F.sum("one").alias("n"))
-    first = {r["shard"]: r["n"] for r in counts.collect()}
-    start, ahead = F.lit(0).cast("bigint"), 0
-    for s in range(shards):
-        start = F.when(F.col("shard") == s, F.lit(ahead).cast("bigint")).otherwise(start)
-        ahead += first.get(s, 0)
+    groups = stored(rows.groupBy("md5").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("md5", parts.alias("parts")), "shard-equal")
+    link = F.concat("md5", F.lit("-"), F.pmod(F.xxhash64("node"), F.col("parts")))
+    links = stored(rows.join(groups, "md5").select("node", link.alias("link"), "size"), "shard-linked")
+    labels = propagate_labels(rows, links, shards, rounds)
+    homes = stored(gather(links, labels, total, shards), "shard-homes")
+    homed = links.join(homes.drop("bytes"), "link").select("node", "link", "shard", "whole")
+    taken = {r["shard"]: r["bytes"] for r in homes.where("shard is not null").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+    lacks = [max(0.0, total / shards - taken.get(s, 0)) for s in range(shards)]
+    placed = stored(rows.join(homed, "node", "left").withColumn("unit", F.coalesce("link", F.lit("~"))), "shard-placed")
+    # Rows without a shard, small groups together and documents without links last, lie on a line that is cut by what each shard lacks.
+    loose = running_totals(placed.where("shard is null"), ["unit", "doc_id", "node"], "size", "shard-loose")
+    small = F.col("link").isNotNull() & F.col("whole")
+    begin = F.min("before").over(Window.partitionBy("link"))  # of a small group: 1 / BIG of a shard at most
+    middle = F.col("before") + F.col("size") / 2
+    line, scale = F.lit(shards - 1), (total - sum(taken.values())) / max(sum(lacks), 1e-300)
+    for s in range(shards - 2, -1, -1):
+        line = F.when(F.col("middle") < sum(lacks[: s + 1]) * scale, F.lit(s)).otherwise(line)
+    left = loose.where(small).withColumn("middle", begin).unionByName(loose.where(~F.coalesce(small, F.lit(False))).withColumn("middle", middle))
+    columns = ["doc_id", "node", "size", "text_crc32", "md5", "shard"]
+    put = left.withColumn("shard", line.cast("int")).select(columns).union(placed.where("shard is not null").select(columns))
+    numbered = running_totals(put.withColumn("one", F.lit(1).cast("bigint")), ["shard", "md5", "doc_id", "node"], "one", "shard-slots")
+    first = {r["shard"]: r["first"] for r in numbered.groupBy("shard").agg(F.min("before").alias("first")).collect()}
+    start = F.lit(0).cast("bigint")
+    for s, n in first.items():
+        start = F.when(F.col("shard") == s, F.lit(n).cast("bigint")).otherwise(start)
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
@@ -145,4 +189,5 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10) -> DataF
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

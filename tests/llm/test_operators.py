@@ -308,27 +308,46 @@ def test_local_search_empties_bins():
         assert all(sum(own[k] for k in b) <= 100 for b in out) and sorted(k for b in out for k in b) == list(range(50))
 
 
-def test_sharding(spark, docs, plain):
-    copies = spark.range(400).select((F.col("id") + 1000).alias("doc_id"), F.when(F.col("id") < 150, F.lit("hot copy " * 5)).otherwise(F.concat(F.lit("text "), (F.col("id") % 90).cast("string"))).alias("text"))
-    every = docs.select("doc_id", "text").where("doc_id <> 17").union(copies)
-    rows = sharding.shard_documents(every).collect()
-    texts = {r["doc_id"]: r["text"] or "" for r in every.collect()}
-    assert len(rows) == len(texts)
+def check_shards(rows, texts: list[tuple]):
+    """Every row once, sizes and slots right; returns bytes by shard and shards by text."""
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
+    crc = {zlib.crc32((t or "").encode()): t or "" for _, t in texts}
     size, slots, where = Counter(), defaultdict(list), defaultdict(set)
     for r in rows:
-        raw = texts[r["doc_id"]].encode()
-        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes"
+        assert r["law"] == "bytes" and r["grown_shard"] is None
         size[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-        where[texts[r["doc_id"]]].add(r["shard"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(size) == set(range(8))
-    assert max(size.values()) - min(size.values()) <= 2 * max(len(t.encode()) + 1 for t in texts.values())
-    groups = Counter(texts.values())
-    apart = sum(len(where[t]) > 1 for t, n in groups.items() if 1 < n < 20)
-    assert apart <= 7 + len(where)  * 0.05
+        where[crc[r["text_crc32"]]].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return size, where
+
+
+def test_sharding(spark, docs, plain):
+    copies = spark.range(400).select((F.col("id") + 1000).alias("doc_id"), F.when(F.col("id") < 150, F.lit("hot copy " * 5)).otherwise(F.concat(F.lit("text "), (F.col("id") % 90).cast("string"))).alias("text"))
+    every = docs.select("doc_id", "text").where("doc_id <> 17").union(copies)
+    texts = [(r["doc_id"], r["text"]) for r in every.collect()]
+    size, where = check_shards(sharding.shard_documents(every).collect(), texts)
+    assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 2 * max(len((t or "").encode()) + 1 for _, t in texts)
+    # Only groups that are larger than a shard are in several.
+    held = Counter()
+    for _, t in texts:
+        held[t or ""] += len((t or "").encode()) + 1
+    assert "hot copy " * 5 in {t for t, s in where.items() if len(s) > 1} <= {t for t, n in held.items() if 8 * n > held.total()}
     assert sharding.shard_documents(every.limit(0)).count() == 0
 
 
+def test_sharding_of_repeated_rows_and_large_groups(spark):
+    """Rows that share a doc_id have a slot each; groups of over half a shard stay whole where there is room."""
+    texts = [(1, "a"), (1, "a"), (1, "b b"), (2, "c"), (3, "a"), (3, None)]
+    check_shards(sharding.shard_documents(spark.createDataFrame(texts, "doc_id bigint, text string")).collect(), texts)
+    texts = [(i, f"group {i % 6:02d} of texts") for i in range(300)] + [(1000 + i, prose(i, 8)) for i in range(100)]
+    size, where = check_shards(sharding.shard_documents(spark.createDataFrame(texts, "doc_id bigint, text string")).collect(), texts)
+    assert all(len(s) == 1 for s in where.values()) and max(size.values()) - min(size.values()) <= 200
+    texts = [(i, f"group {i % 12:02d} of texts") for i in range(600)]
+    size, where = check_shards(sharding.shard_documents(spark.createDataFrame(texts, "doc_id bigint, text string")).collect(), texts)
+    assert sum(len(s) == 1 for s in where.values()) >= 8 and max(size.values()) - min(size.values()) <= 40
+
+
 def test_quality_counts_by_brute_force(docs, plain):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in plain.items():
