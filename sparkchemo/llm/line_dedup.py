@@ -1,15 +1,17 @@
 """Line dedup: exact reference counts per line key, screened by sharded cuckoo filters.
 
-The index is a table of postings (key, doc_id), one per document and key. Inserting
-documents adds postings, deleting them removes postings, so the dedup can be undone
-document by document. From the postings follow the reference counts, and from these a
-cuckoo filter per shard with the keys that repeat. Lines pass their shard's filter in a
-streaming pass; the few that it takes are checked against the exact counts.
+The index holds postings (key, doc_id), one per document and key, the exact reference
+count of every key, and a cuckoo filter per shard with the keys that repeat. Inserting or
+deleting documents changes the counts by the batch's keys, and the filters take in or give
+up exactly the keys that begin or cease to repeat, so the dedup can be undone document by
+document. Lines pass their shard's filter in a streaming pass; the few that it takes are
+checked against the exact counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -111,37 +113,82 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select("doc_id", F.explode(pairs).alias("k")).select("k.k1", "k.k2", "doc_id")
 
 
+@dataclass(frozen=True)
 class LineIndex:
-    """The reversible index: ``table`` has a posting per document and key."""
+    """The reversible index, as tables; an index that changes gives a new one.
 
-    def __init__(self, table: DataFrame):
-        self.table = table
+    ``postings`` (k1, k2, doc_id), ``counts`` (k1, k2, n_docs, keeper: the largest doc_id)
+    of every key, ``filters`` (shard, slots, filter) of the keys in at least ``min_docs``
+    documents; a key's shard is k1 modulo ``shards``.
+    """
 
-    @classmethod
-    def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
-        return cls(stored(postings(docs, min_chars).distinct() if _repeats(docs) else postings(docs, min_chars), "line-postings"))
+    postings: DataFrame
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+    min_chars: int = MIN_CHARS
+    min_docs: int = MIN_DOCS
 
-    def insert(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
-        """With the postings of ``docs`` too; a document that is there already changes nothing."""
-        return LineIndex(stored(self.table.union(postings(docs, min_chars)).distinct(), "line-postings"))
+    @classmethod
+    def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+        rows = postings(docs, min_chars)
+        rows = stored(rows.distinct() if _repeats(docs) else rows, "line-postings")
+        # Partial sums come first, so a line of a third of all documents is a row per task.
+        counts = stored(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")), "line-counts")
+        return cls(rows, counts, counts, 1, min_chars, min_docs)._rebuilt()
+
+    def repeated(self) -> DataFrame:
+        """``counts`` of the keys that lose lines, with their ``shard``."""
+        return self.counts.where(F.col("n_docs") >= self.min_docs).withColumn("shard", self._shard())
+
+    def _shard(self) -> Column:
+        return F.pmod("k1", F.lit(self.shards)).cast("int")
+
+    def _rebuilt(self) -> LineIndex:
+        """With filters built anew, in as many shards as the repeated keys need."""
+        new = replace(self, shards=max(1, -(-self.repeated().count() // SHARD_KEYS)))
+        return replace(new, filters=stored(new.repeated().select("k1", "shard").groupBy("shard").applyInArrow(_build_filter, FILTER), "line-filters"))
+
+    def insert(self, docs: DataFrame) -> LineIndex:
+        """With ``docs`` (doc_id, text) too; what is there already changes nothing."""
+        keys = ["k1", "k2"]
+        batch = stored(postings(docs, self.min_chars).distinct().join(self.postings, [*keys, "doc_id"], "left_anti"), "line-batch")
+        delta = batch.groupBy(keys).agg(F.count(F.lit(1)).alias("more"), F.max("doc_id").alias("top"))
+        both = self.counts.join(delta, keys, "full_outer").select(*keys, F.coalesce("n_docs", F.lit(0)).alias("before"), (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("keeper", "top").alias("keeper"))
+        return self._changed(stored(self.postings.union(batch), "line-postings"), stored(both, "line-counts"))
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Without the documents of ``ids`` (doc_id); their lines' counts fall back to what they were."""
-        return LineIndex(stored(self.table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-postings"))
+        keys = ["k1", "k2"]
+        ids = ids.select("doc_id").distinct()
+        rest = stored(self.postings.join(ids, "doc_id", "left_anti").select(*keys, "doc_id"), "line-postings")
+        delta = self.postings.join(ids, "doc_id", "left_semi").groupBy(keys).agg(F.count(F.lit(1)).alias("less"), F.max("doc_id").alias("top"))
+        both = stored(self.counts.join(delta, keys, "left").select(*keys, F.col("n_docs").alias("before"), (F.col("n_docs") - F.coalesce("less", F.lit(0))).alias("n_docs"), "keeper", (F.col("top") == F.col("keeper")).alias("lost")), "line-counts")
+        # Keys that lost their keeper find the next one among the postings that are left.
+        heirs = rest.join(both.where("lost and n_docs > 0").select(keys), keys, "left_semi").groupBy(keys).agg(F.max("doc_id").alias("heir"))
+        return self._changed(rest, stored(both.join(heirs, keys, "left").select(*keys, "before", "n_docs", F.coalesce("heir", "keeper").alias("keeper")), "line-counts"))
+
+    def _changed(self, rows: DataFrame, counts: DataFrame) -> LineIndex:
+        """The index after a batch; ``counts`` also has each key's count ``before``."""
+        new = replace(self, postings=rows, counts=counts.where("n_docs > 0").select("k1", "k2", "n_docs", "keeper"))
+        sizes = stored(new.repeated().groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "line-sizes")
+        if (sizes.agg(F.sum("n")).first()[0] or 0) > 2 * self.shards * SHARD_KEYS:
+            return new._rebuilt()
+        # A filter too small for its keys, or a new shard's, is built from the counts; the others change in place.
+        small = sizes.join(self.filters.select("shard", "slots"), "shard", "left").where("slots is null or n > 0.9 * slots").select("shard")
+        built = new.repeated().select("k1", "shard").join(small, "shard", "left_semi").groupBy("shard").applyInArrow(_build_filter, FILTER)
+        crossed = counts.where((F.col("before") >= self.min_docs) != (F.col("n_docs") >= self.min_docs)).select(self._shard().alias("shard"), "k1", (F.col("n_docs") >= self.min_docs).alias("enters"))
+        kept = self.filters.join(small, "shard", "left_anti").groupBy("shard")
+        changed = kept.cogroup(crossed.join(small, "shard", "left_anti").groupBy("shard")).applyInArrow(_change_filter, FILTER)
+        return replace(new, filters=stored(built.union(changed), "line-filters"))
+
+    def dropped(self) -> DataFrame:
+        """(k1, k2, doc_id): postings whose lines go, all but the largest doc_id of each key."""
+        taken = screen(self.postings.withColumn("shard", self._shard()), self.filters.select("shard", "filter"), self.shards)
+        return taken.join(self.repeated(), ["k1", "k2"]).where(F.col("doc_id") < F.col("keeper")).select("k1", "k2", "doc_id")
 
-    def counts(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(k1, k2, n_docs, keeper) of the keys in at least ``min_docs`` documents; partial sums come first."""
-        return self.table.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
 
-    def dropped(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(k1, k2, doc_id): postings whose lines go, all but the largest doc_id of each key."""
-        counts = stored(self.counts(min_docs), "line-counts")
-        shards = max(1, -(-counts.count() // SHARD_KEYS))
-        shard = F.pmod("k1", F.lit(shards)).cast("int")
-        # A task builds a filter from its rows of a shard; a shard has about SHARD_KEYS keys, however many there are.
-        filters = stored(counts.select("k1", shard.alias("shard")).groupBy("shard").applyInArrow(_build_filter, "shard int, filter binary"), "line-filters")
-        taken = screen(self.table.withColumn("shard", shard), filters, shards)
-        return taken.join(counts, ["k1", "k2"]).where(F.col("doc_id") < F.col("keeper")).select("k1", "k2", "doc_id")
+FILTER = "shard int, slots bigint, filter binary"
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -149,11 +196,27 @@ def _repeats(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
 
 
+def _filter_row(shard: int, made: CuckooFilter) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), "slots": pa.array([made.buckets * SLOTS], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary())})
+
+
 def _build_filter(table: pa.Table) -> pa.Table:
+    """A shard's filter from its keys, with room for half as many more."""
     keys = table.column("k1").to_numpy().view(np.uint64)
-    made = CuckooFilter(len(keys))
+    made = CuckooFilter(3 * len(keys) // 2)
     made.add(keys)
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
+    return _filter_row(table.column("shard")[0].as_py(), made)
+
+
+def _change_filter(held: pa.Table, crossed: pa.Table) -> pa.Table:
+    """A shard's filter with the keys that begin to repeat and without those that cease to."""
+    if not held.num_rows:
+        return held.select(["shard", "slots", "filter"])
+    made = CuckooFilter.from_bytes(held.column("filter")[0].as_py())
+    keys, enters = crossed.column("k1").to_numpy().view(np.uint64), crossed.column("enters").to_numpy(zero_copy_only=False).astype(bool)
+    made.discard(keys[~enters])
+    made.add(keys[enters])
+    return _filter_row(held.column("shard")[0].as_py(), made)
 
 
 def screen(lines: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -198,19 +261,21 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_chars: int
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents stays only
     in the largest doc_id that holds it; there, and for all other lines, every line stays.
-    ``index`` is the index of these documents if there is one already.
+    ``index`` is the index of these documents if there is one already; it has its own limits.
 
     Null and empty texts are one empty line, and come out as they were. Very long texts are
     whole. Rows that share a doc_id count as one document and are treated alike. An empty
     table gives an empty result. Columns named n_lines or n_dropped are replaced.
     """
-    index = index or LineIndex.of(docs.select("doc_id", "text"), min_chars)
-    lost = index.dropped(min_docs).groupBy("doc_id").agg(F.collect_list("k1").alias("_lost"))  # at most a document's lines
-    docs = docs.drop("n_lines", "n_dropped", "_lost").withColumns(
-        {"n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint"), "n_dropped": F.lit(0).cast("bigint")}
-    )
-    joined = docs.join(lost.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_lost")
-    return joined.mapInArrow(_drop_lines(min_chars), docs.schema)
+    index = index or LineIndex.of(docs.select("doc_id", "text"), min_chars, min_docs)
+    docs = docs.drop("n_lines", "n_dropped")
+    name = "_lost"
+    while name in docs.columns:
+        name += "_"
+    lost = index.dropped().groupBy("doc_id").agg(F.collect_list("k1").alias(name))  # at most a document's lines
+    docs = docs.withColumns({"n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint"), "n_dropped": F.lit(0).cast("bigint")})
+    joined = docs.join(lost.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, name)
+    return joined.mapInArrow(_drop_lines(index.min_chars), docs.schema)
 
 
 def _drop_lines(min_chars: int):
@@ -229,11 +294,11 @@ def _drop_lines(min_chars: int):
         for batch in batches:
             names = batch.schema.names[:-1]
             columns = {n: batch.column(n) for n in names}
-            hit = np.flatnonzero(batch.column("_lost").is_valid().to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(batch.column(len(names)).is_valid().to_numpy(zero_copy_only=False))
             if len(hit):
                 text, dropped = columns["text"].to_pylist(), columns["n_dropped"].to_numpy().copy()
                 for i in hit.tolist():
-                    lost = batch.column("_lost")[i].values.to_numpy().view(np.uint64)
+                    lost = batch.column(len(names))[i].values.to_numpy().view(np.uint64)
                     kept = one(text[i], set(lost.tolist()))
                     dropped[i] = text[i].count("\n") + 1 - len(kept)
                     text[i] = "\n".join(kept)
@@ -245,6 +310,7 @@ def _drop_lines(min_chars: int):
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents without the lines that three or more share."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -391,17 +391,41 @@ def lines_of(out):
 
 
 def test_line_dedup_and_its_reversal(docs, plain):
-    assert lines_of(line_dedup.dedup_lines(docs)) == brute_lines(plain)
-    index = line_dedup.LineIndex.of(docs.select("doc_id", "text"))
-    gone = docs.where("doc_id in (14, 15, 16)").select("doc_id")
-    rest = docs.where("doc_id not in (14, 15, 16)")
-    after = index.delete(gone)
-    assert lines_of(line_dedup.dedup_lines(rest, after)) == brute_lines({i: t for i, t in plain.items() if i not in (14, 15, 16)})
-    back = after.insert(docs.where("doc_id in (14, 15, 16)").select("doc_id", "text")).insert(rest.select("doc_id", "text"))
-    assert lines_of(line_dedup.dedup_lines(docs, back)) == brute_lines(plain)
+    """After each insertion and deletion counts, filters and results are those of an index built anew."""
+    assert lines_of(line_dedup.dedup_lines(docs.withColumn("_lost", F.lit(1)))) == brute_lines(plain)
+    part = lambda *ids: docs.where(F.col("doc_id").isin(*ids)).select("doc_id", "text")
+    index, here = line_dedup.LineIndex.of(docs.select("doc_id", "text")), set(plain)
+    shared = [i for i, t in plain.items() if "many of these documents share" in (t or "")]
+    steps = [("delete", shared[2:]), ("insert", shared[2:4]), ("delete", shared[:1]), ("insert", [*shared, 3]), ("delete", list(plain))]
+    for how, ids in steps:
+        index = getattr(index, how)(part(*ids))
+        here = here - set(ids) if how == "delete" else here | set(ids)
+        rest = docs.where(F.col("doc_id").isin(*here)) if here else docs.limit(0)
+        fresh = line_dedup.LineIndex.of(rest.select("doc_id", "text"))
+        for table in ("postings", "counts"):
+            assert sorted(getattr(index, table).collect()) == sorted(getattr(fresh, table).collect())
+        held = [line_dedup.CuckooFilter.from_bytes(r["filter"]) for r in index.filters.collect()]
+        keys = np.array([r["k1"] for r in index.repeated().collect()], np.int64).view(np.uint64)
+        assert sum(np.count_nonzero(f.table) + len(f.stash) for f in held) == len(keys)
+        assert not len(keys) or held[0].holds(keys).all()
+        assert lines_of(line_dedup.dedup_lines(rest, index)) == brute_lines({i: plain[i] for i in here})
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_index_grows(spark, monkeypatch):
+    """Filters too small for their keys are built larger, and shards multiply with the keys."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 40)
+    rows = lambda a, b: spark.createDataFrame([(3 * k + c, f"line number {k} of the whole table") for k in range(a, b) for c in range(3)], "doc_id bigint, text string")
+    index = line_dedup.LineIndex.of(rows(0, 30))
+    for a, b, shards in ((30, 75, 1), (75, 200, 5)):
+        index = index.insert(rows(a, b))
+        keys = np.array([r["k1"] for r in index.repeated().collect()], np.int64)
+        held = {r["shard"]: line_dedup.CuckooFilter.from_bytes(r["filter"]) for r in index.filters.collect()}
+        assert len(keys) == b and index.shards == shards == len(held)
+        assert all(held[int(k % shards)].holds(np.array([k], np.int64).view(np.uint64)).all() for k in keys)
+        assert index.dropped().count() == 2 * b
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
