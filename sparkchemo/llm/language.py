@@ -24,8 +24,8 @@ from sparkchemo.llm.common import fold, stored
 from sparkchemo.llm.lockstep import blocks
 from sparkchemo.llm.textkit import slices, texts
 
-#: The sample: so many documents of each language, so many bytes of each, so many symbols together.
-SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_SYMBOLS = 200, 400, 20_000
+#: The sample of each language: whole texts of at most so many documents, and so many bytes together.
+SAMPLE_DOCS, TRAIN_BYTES = 200, 24_000
 #: Languages whose automata a task holds at once; more are parsed in several passes.
 PART = 64
 BLOCK, SLICE = 512, 2 << 20
@@ -122,7 +122,7 @@ class CrossParser:
         return cls(tuple(data), tuple(map(len, data.values())), classes, width, np.array(starts, np.int32), np.concatenate(parts).astype(np.int32).ravel())
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.ndarray:
-        """[languages, texts]: phrases of texts i..j-1, parsed in blocks."""
+        """[languages, texts]: phrases of texts i..j-1. A phrase ends at the latest after each BLOCK symbols, for all languages alike."""
         own, edges = spelled(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         grid, text = blocks(self.classes[own], edges, BLOCK, 0, self.width - 1)
         out = np.zeros((len(self.languages), j - i), np.int64)
@@ -139,24 +139,33 @@ class CrossParser:
         return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, train_symbols: int = TRAIN_SYMBOLS) -> dict[str, bytes]:
-    """Each language's text to learn from, a bounded sample of ``docs`` (doc_id, text, lang): the ``sample_docs`` first ids of each language by hash.
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, train_bytes: int = TRAIN_BYTES) -> dict[str, bytes]:
+    """Each language's texts to learn from, a bounded sample of the rows of ``docs`` (doc_id, text, lang).
 
-    Of each such text, ``sample_bytes`` from its middle are learned from, up to
-    ``train_symbols`` for each language. Empty if no row has both text and lang.
+    Of the texts of a language that have at most ``train_bytes``, the ``sample_docs`` first by
+    a hash of their ids are looked at in that order, and each that still fits into
+    ``train_bytes`` is taken whole. Empty if no row has both text and lang; a language
+    that has only longer texts is not learned. Rows that share a doc_id are each a text.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "bytes")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("doc_id")
-    raw = F.col("text").cast("binary")
-    middle = F.substring(raw, F.greatest(F.lit(1), F.floor((F.octet_length(raw) - sample_bytes) / 2).cast("int")), F.lit(sample_bytes))
-    # The ids are at most sample_docs a language; only their middles come to the driver.
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", middle.alias("text")).collect()
+    sized = known.select("doc_id", "lang", F.octet_length("text").alias("bytes")).where(F.col("bytes") < train_bytes)
+    drawn = sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
+    used: dict[str, int] = {}
+    chosen = set()
+    for r in sorted(drawn.collect(), key=lambda r: r["k"]):  # sample_docs small rows a language at most
+        if used.get(r["lang"], 0) + r["bytes"] < train_bytes:
+            used[r["lang"]] = used.get(r["lang"], 0) + r["bytes"] + 1
+            chosen.add((r["doc_id"], r["lang"], r["bytes"]))
+    if not chosen:
+        return {}
+    wanted = docs.sparkSession.createDataFrame(sorted(chosen), sized.schema)
+    rows = known.withColumn("bytes", F.octet_length("text")).join(F.broadcast(wanted), ["doc_id", "lang", "bytes"], "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
     samples: dict[str, bytearray] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
+    for row in sorted(set(rows.collect())):  # train_bytes a language; only texts that repeat an id and a length may add to it
         own = samples.setdefault(row["lang"], bytearray())
-        if len(own) < train_symbols:
-            own += (row["text"] + b"\n")[: train_symbols - len(own)]
+        if len(own) + len(row["text"]) < train_bytes:
+            own += row["text"] + b"\n"
     return {k: bytes(v) for k, v in samples.items() if v}
 
 
@@ -223,7 +232,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes], part: int = PART) -> Dat
     for at in range(0, max(1, len(names)), part):
         own = names[at : at + part]
         last = at + part >= len(names)
-        model = docs.sparkSession.sparkContext.broadcast(CrossParser.fit({k: samples[k] for k in own}) if own else None)  # at most 2 * train_symbols states a language
+        model = docs.sparkSession.sparkContext.broadcast(CrossParser.fit({k: samples[k] for k in own}) if own else None)  # at most 2 * TRAIN_BYTES states a language
         if last:
             return rows.mapInArrow(_predict(model, True), "doc_id bigint, lang_pred string, lang_score double")
         rows = stored(rows.mapInArrow(_predict(model, False), f"doc_id {id_type}, text binary, lang string, first double, second double"), "language-pass")
@@ -231,6 +240,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes], part: int = PART) -> Dat
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three quarters of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     samples = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     return predict(docs, samples).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
