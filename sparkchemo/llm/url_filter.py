@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkchemo.llm.common import ascii_lower
+from sparkchemo.llm.common import ascii_lower, stored
 
 #: host, path, verdict
 RULES = [
@@ -26,6 +26,8 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+#: Bytes of a filter and levels of a cascade at most; beyond them keys are looked up by a join.
+MAX_BYTES, MAX_LEVELS = 1 << 20, 32
 
 
 def host_of(url: Column) -> Column:
@@ -80,15 +82,15 @@ class BloomLevel:
         return out
 
 
-def build_level(keys: DataFrame, level: int, n: int, false_rate: float, max_bytes: int) -> BloomLevel:
+def build_level(keys: DataFrame, level: int, n: int, false_rate: float, max_bytes: int) -> BloomLevel | None:
     """A Bloom filter of the ``n`` keys (column ``key``), gathered as set bits per 64-bit word.
 
-    What reaches the driver is the filter itself: at most ``bits / 8`` bytes, checked
-    against ``max_bytes`` before the job starts.
+    What reaches the driver is the filter itself: at most ``max_bytes``, checked before the
+    job starts. None if it would be larger.
     """
     bits = max(64, 64 * math.ceil(-n * math.log(false_rate) / math.log(2) ** 2 / 64))
     if bits // 8 > max_bytes:
-        raise ValueError(f"level {level} needs {bits // 8} bytes, more than {max_bytes}; split the list or raise max_bytes")
+        return None
     hashes = max(1, round(bits / max(n, 1) * math.log(2)))
     hashes = min(hashes, 16)
     slots = keys.select(F.explode(F.array(*_slots(F.col("key"), level, bits, hashes))).alias("slot"))
@@ -114,8 +116,8 @@ class Cascade:
         return out
 
 
-def build_cascade(pages: DataFrame, listed: DataFrame, path_lengths: list[int], false_rate: float = 0.01, max_bytes: int = 1 << 20, max_levels: int = 32) -> Cascade:
-    """The cascade over ``listed`` (column ``key``) and all candidate keys of ``pages`` (columns host, path).
+def build_cascade(pages: DataFrame, listed: DataFrame, path_lengths: list[int], false_rate: float = 0.01, max_bytes: int = MAX_BYTES, max_levels: int = MAX_LEVELS) -> Cascade | None:
+    """The cascade over ``listed`` (column ``key``) and all candidate keys of ``pages`` (columns host, path); None beyond its bounds.
 
     Level 0 filters the exploded keys before anything is shuffled, so only mistaken keys
     (about ``false_rate`` of the universe) are made distinct; deeper levels work on those.
@@ -126,19 +128,30 @@ def build_cascade(pages: DataFrame, listed: DataFrame, path_lengths: list[int],
         return Cascade((), tuple(path_lengths))
     universe = pages.select(F.explode(candidate_keys(F.col("host"), F.col("path"), path_lengths)).alias("key"))
     levels = [build_level(listed, 0, n, false_rate, max_bytes)]
+    if levels[0] is None:
+        return None
     mistaken = universe.where(levels[0].takes(F.col("key"))).distinct().join(listed, "key", "left_anti")
     others = listed
     while (n := mistaken.count()) > 0:
-        if len(levels) >= max_levels:
-            raise ValueError("the cascade does not end; lower false_rate")
         level = build_level(mistaken, len(levels), n, 0.5, max_bytes)
+        if level is None or len(levels) >= max_levels:
+            return None
         levels.append(level)
         # The keys of the other side that this level takes by mistake come next.
         mistaken, others = others.where(level.takes(F.col("key"))), mistaken
     return Cascade(tuple(levels), tuple(path_lengths))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
+def hits_by_join(parts: DataFrame, rules: list[tuple[str, str, str]], keys: Column) -> DataFrame:
+    """``parts`` with ``best``, the longest fitting rule, for rules too many for a cascade."""
+    rows = stored(parts.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    listed = parts.sparkSession.createDataFrame([(f"{h} {p}", v) for h, p, v in rules], "key string, verdict string")
+    hits = rows.select("row", F.explode(keys).alias("key")).join(listed, "key")
+    best = hits.groupBy("row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("best"))
+    return rows.join(best, "row", "left")
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Judge every url of ``pages`` (page_id, url); other columns are left alone and not returned.
 
     Returns page_id, host, path, rule (host + path of the longest fitting rule, else null),
@@ -146,7 +159,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, def
 
     A null url, or one without ``://``, has an empty host and path and so fits no rule.
     Repeated rows are judged each; an empty table gives an empty result. Two rules with the
-    same host and path are an error. A page that has columns called host, path or rule
+    same host and path are an error. Rules that need a filter above ``max_bytes``, or too many
+    levels, are looked up by a join, with the same result. A page that has columns called host, path or rule
     keeps them out of the way: only page_id and url are read.
     """
     spark = pages.sparkSession
@@ -155,16 +169,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, def
     lengths = sorted({len(path) for _, path, _ in rules})
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     listed = {v: spark.range(1).select(F.explode(F.array(*[F.lit(f"{h} {p}") for h, p, w in rules if w == v]).cast("array<string>")).alias("key")) for v in ("allow", "block")}
-    cascades = {v: build_cascade(parts, listed[v], lengths) for v in ("allow", "block")}
+    cascades = {v: build_cascade(parts, listed[v], lengths, max_bytes=max_bytes) for v in ("allow", "block")}
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    # Longest first: a longer host suffix, then a longer path.
-    hits = F.filter(
-        F.transform(keys, lambda k: F.struct(k.alias("key"), F.when(cascades["block"].holds(k), "block").when(cascades["allow"].holds(k), "allow").alias("verdict"))),
-        lambda x: x["verdict"].isNotNull(),
-    )
-    # Of all rules that fit, the longest text (suffix and prefix lengths both count).
-    best = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["key"]).alias("n"), x["key"].alias("key"), x["verdict"].alias("verdict"))))
-    judged = parts.withColumn("best", best)
+    if None in cascades.values():
+        judged = hits_by_join(parts, rules, keys)
+    else:
+        # Longest first: a longer host suffix, then a longer path.
+        hits = F.filter(
+            F.transform(keys, lambda k: F.struct(k.alias("key"), F.when(cascades["block"].holds(k), "block").when(cascades["allow"].holds(k), "allow").alias("verdict"))),
+            lambda x: x["verdict"].isNotNull(),
+        )
+        # Of all rules that fit, the longest text (suffix and prefix lengths both count).
+        judged = parts.withColumn("best", F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["key"]).alias("n"), x["key"].alias("key"), x["verdict"].alias("verdict")))))
     return judged.select(
         "page_id", "host", "path",
         F.replace(F.col("best.key"), F.lit(" "), F.lit("")).alias("rule"),
@@ -173,6 +189,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, def
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 
