@@ -113,8 +113,9 @@ def gather(links: DataFrame, labels: DataFrame, total: int, shards: int) -> Data
         s = r["label"] if r["bytes"] <= room[r["label"]] else max(range(shards), key=lambda k: (room[k], -k))
         fits = r["bytes"] <= room[s]
         room[s] -= r["bytes"] if fits else 0
-        rows.append((r["link"], s if fits else None, r["bytes"], fits))
-    placed = links.sparkSession.createDataFrame(rows, "link string, shard int, bytes bigint, whole boolean")
+        rows.append(F.struct(*[F.lit(x) for x in (r["link"], s if fits else None, r["bytes"], fits)]))
+    kind = "array<struct<link: string, shard: int, bytes: bigint, whole: boolean>>"
+    placed = links.sparkSession.range(1).select(F.explode(F.array(*rows).cast(kind)).alias("r")).select("r.*")
     ordered = running_totals(groups.where(F.col("bytes") * BIG <= goal), ["label", "link"], "bytes", "shard-small")
     begin = {r["label"]: r["begin"] for r in ordered.groupBy("label").agg(F.min("before").alias("begin")).collect()}
     fits = F.lit(False)
