@@ -13,6 +13,7 @@ from sparkchemo.operators import clusters, comparison, explain, imputation, meri
 from sparkchemo.operators.moments import moments
 from sparkchemo.operators.projection import PCA, PLSDA, SIMCA, Authenticator, Ellipse, LatentRegression, variable_importance
 from sparkchemo.operators.scaling import CorrectedScaler, RobustScaler
+from sparkchemo.plans import model_sql
 from sparkchemo.sources.tables import batch_summary, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -367,24 +368,39 @@ def pca2_distance_classical(spark, d):
     return rounded(PCA(TWO, 1, scale=True, robust="classical").fit(df).score(df).select(*ROW, "h", "q", "distance"))
 
 
-@query()
+ALL, RETURNED = "SELECT * FROM lineitem", "SELECT * FROM lineitem WHERE l_returnflag = 'R'"
+
+
+@query(
+    model_sql.pca(ALL, ALL, FEATURES, 2, cuts=model_sql.LIMITS)
+    + f"SELECT s.n, nh::BIGINT AS nh, round(h0, 4) + 0.0 AS h0, nq::BIGINT AS nq, round(q0, 4) + 0.0 AS q0, round({model_sql.CRIT}, 4) AS c_crit, round({model_sql.OUT}, 4) AS c_out FROM s, d"
+)
 def pca_limits(spark, d):
     df = lines(spark, d)
     m = PCA(FEATURES, 2, scale=True).fit(df)
-    return spark.createDataFrame([(m.n, m.dof_h[0], m.dof_h[1], m.dof_q[0], m.dof_q[1], m.c_crit, m.c_out)], "n bigint, nh bigint, h0 double, nq bigint, q0 double, c_crit double, c_out double")
+    return rounded(spark.createDataFrame([(m.n, m.dof_h[0], m.dof_h[1], m.dof_q[0], m.dof_q[1], m.c_crit, m.c_out)], "n bigint, nh bigint, h0 double, nq bigint, q0 double, c_crit double, c_out double"))
 
 
-@query()
+@query(
+    model_sql.pca(RETURNED, ALL, FEATURES, 2, [LABEL], cuts=model_sql.LIMITS)
+    + f""", r AS (SELECT avg((distance < {model_sql.CRIT})::INT) FILTER (l_returnflag = 'R') AS tsns, 1 - avg((distance < {model_sql.CRIT})::INT) FILTER (l_returnflag <> 'R') AS tsps,
+avg(((distance < {model_sql.CRIT}) = (l_returnflag = 'R'))::INT) AS acc FROM f)
+SELECT round(tsns, 6) AS tsns, round(tsps, 6) AS tsps, round(acc, 6) AS acc, round(sqrt(tsns * tsps), 6) AS teff, round(sqrt(tsns * tsps), 6) AS score FROM r"""
+)
 def ddsimca_authenticate(spark, d):
     df = lines(spark, d)
     auth = Authenticator(PCA(FEATURES, 2, scale=True, capped=True, gamma=0.01), LABEL, "R", "compliant")
-    return auth.metrics(auth.fit(df), df)
+    return rounded(auth.metrics(auth.fit(df), df), 6)
 
 
-@query()
+@query(
+    model_sql.pca(RETURNED, ALL, FEATURES, 2, [*ROW, LABEL], cuts=model_sql.LIMITS)
+    + f"""SELECT l_orderkey, l_linenumber, l_returnflag, round(distance, 4) + 0.0 AS distance, distance < {model_sql.CRIT} AS inlier,
+distance >= {model_sql.CRIT} AND distance < {model_sql.OUT} AS extreme, distance >= {model_sql.OUT} AS outlier FROM f"""
+)
 def ddsimca_predict(spark, d):
     df = lines(spark, d)
-    return PCA(FEATURES, 2, scale=True, capped=True).fit(df.where(F.col(LABEL) == "R")).score(df).select(*ROW, LABEL, "distance", "inlier", "extreme", "outlier")
+    return rounded(PCA(FEATURES, 2, scale=True, capped=True).fit(df.where(F.col(LABEL) == "R")).score(df).select(*ROW, LABEL, "distance", "inlier", "extreme", "outlier"))
 
 
 @query()
@@ -394,16 +410,38 @@ def ddsimca_clean(spark, d):
     return m.score(df).groupBy("inlier", "outlier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _simca_sql() -> str:
+    """Four columns and two axes leave two degrees above, where the F law has a closed form."""
+    left = lambda i: f"z{i} - " + " - ".join(f"({model_sql.cell('p1', i, j)} + {model_sql.cell('p2', i, j)}) * z{j}" for j in range(4))
+    q = " + ".join(f"s.s{i} * s.s{i} * pow({left(i)}, 2)" for i in range(4))
+    parts = [model_sql.standardised("SELECT * FROM lineitem WHERE l_returnflag = 'N'", ALL, FEATURES, ROW, True), model_sql.axes(4, 2)]
+    parts += [f"t AS (SELECT sum({q}) AS total FROM zt, e, s)", f"r AS (SELECT l_orderkey, l_linenumber, ({q}) / 2 / (total / (2 * (s.n - 3))) AS distance, s.n AS n FROM z, e, s, t)"]
+    return "WITH RECURSIVE " + ", ".join(parts) + " SELECT l_orderkey, l_linenumber, round(distance, 4) + 0.0 AS distance, distance < (n - 3) * (pow(0.05, -1.0 / (n - 3)) - 1) AS inlier FROM r"
+
+
+@query(_simca_sql())
 def simca_distance(spark, d):
     df = lines(spark, d)
-    return SIMCA(FEATURES, 2).fit(df.where(F.col(LABEL) == "N")).score(df).select(*ROW, "distance", "inlier")
+    return rounded(SIMCA(FEATURES, 2).fit(df.where(F.col(LABEL) == "N")).score(df).select(*ROW, "distance", "inlier"))
 
 
-@query()
+E8 = [f"e{i}" for i in range(8)]
+
+
+def vectors(n: int) -> str:
+    return "SELECT vec_id, label::VARCHAR AS label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(n)) + " FROM embeddings"
+
+
+@query(
+    model_sql.pca(vectors(8), vectors(8), E8, 3, scale=False, cuts="(0, 0.95)")
+    + ", "
+    + model_sql.chi2("cut", "SELECT i AS id, 1 - i::DOUBLE / s.n AS p, nh + nq AS n FROM s, d, LATERAL (SELECT unnest(range(1, s.n // 4 + 1)) AS i)")
+    + """SELECT id::INT AS expected, count(*) FILTER (distance >= x) AS observed, round(id - 2 * sqrt(id * (1 - id::DOUBLE / s.n)), 4) + 0.0 AS low, round(id + 2 * sqrt(id * (1 - id::DOUBLE / s.n)), 4) + 0.0 AS high
+FROM cut, f, s GROUP BY id, x, s.n"""
+)
 def extremes_curve(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return PCA([f"e{i}" for i in range(8)], 3).fit(e).extremes(e)
+    return rounded(PCA(E8, 3).fit(e).extremes(e))
 
 
 ELLIPSE_SQL = """s AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) AS c FROM k),
@@ -444,25 +482,34 @@ def pcr1_predict(spark, d):
     return rounded(df.select(*ROW, m.predict().alias("predicted")), 2)
 
 
-@query()
+@query(
+    model_sql.pls_limits(ALL, ALL, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 2)
+    + ", l AS (SELECT "
+    + ", ".join(f"max(x) FILTER (id = {i}) AS l{i}" for i in range(4))
+    + """ FROM x) SELECT f >= l0 AND f < l1 AS x_extreme, f >= l1 AS x_outlier, g >= l2 AND g < l3 AS xy_extreme, g >= l3 AS xy_outlier, count(*) AS n FROM f, l GROUP BY ALL"""
+)
 def pls_outliers(spark, d):
     df = lines(spark, d)
     m = LatentRegression(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 2, scale=True).fit(df)
     return m.score(df, "l_extendedprice").groupBy("x_extreme", "x_outlier", "xy_extreme", "xy_outlier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(model_sql.pls_importance(ALL, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 2))
 def pls_vip(spark, d):
     columns = ["l_quantity", "l_discount", "l_tax"]
     m = moments(lines(spark, d), [*columns, "l_extendedprice"])
     vip = variable_importance(m.products[:3, :3], m.products[:3, 3:], 2)
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, vip, strict=True)], "feature string, vip double")
+    return rounded(spark.createDataFrame([(c, float(v)) for c, v in zip(columns, vip, strict=True)], "feature string, vip double"), 6)
 
 
-@query()
+@query(
+    model_sql.plsda(ALL, FEATURES, LABEL, ["A", "N", "R"], 2, ROW)
+    + """SELECT l_orderkey, l_linenumber, l_returnflag, coalesce(list_aggregate(list_transform(list_sort(list_filter([{'d': d2_0, 'c': 'A'}, {'d': d2_1, 'c': 'N'}, {'d': d2_2, 'c': 'R'}], lambda x: x.d < -2 * ln(0.05))),
+lambda x: x.c), 'string_agg', ','), 'NOT_ASSIGNED') AS predicted FROM d2"""
+)
 def plsda_soft(spark, d):
     df = lines(spark, d)
-    return PLSDA(FEATURES, LABEL, 2).fit(df).score(df).select(*ROW, LABEL, "predicted")
+    return PLSDA(FEATURES, LABEL, 2).fit(df).score(df).select(*ROW, LABEL, F.array_join("predicted", ",").alias("predicted"))
 
 
 @query()
@@ -497,11 +544,19 @@ def ood_threshold(spark, d):
     return openset.fit_threshold(e, lambda: openset.energy_score(logits())).predict(e).select("vec_id", "inlier")
 
 
-@query()
+def _dime_sql() -> str:
+    """What is left of a row after its projection on four axes, and the lower 5 % rank of it."""
+    off = "sqrt(greatest(0, " + " + ".join(f"z{i} * z{i}" for i in range(16)) + " - " + " - ".join(model_sql.quadratic(f"p{c}", 16) for c in range(1, 5)) + "))"
+    parts = [model_sql.standardised(vectors(16), vectors(16), [f"e{i}" for i in range(16)], ["vec_id"], False), model_sql.axes(16, 4), f"o AS (SELECT vec_id, -{off} AS v FROM z, e)"]
+    parts.append("r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM o)")
+    return "WITH RECURSIVE " + ", ".join(parts) + " SELECT vec_id, round(v, 6) + 0.0 AS ood_score, v >= (SELECT v FROM r WHERE i = floor((n - 1) * 0.05)) AS inlier FROM o"
+
+
+@query(_dime_sql())
 def ood_dime(spark, d):
     columns = [f"e{i}" for i in range(16)]
     e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
-    return openset.fit_threshold(e, openset.dime_score(e, columns, 4)).predict(e).select("vec_id", "ood_score", "inlier")
+    return rounded(openset.fit_threshold(e, openset.dime_score(e, columns, 4)).predict(e).select("vec_id", "ood_score", "inlier"), 6)
 
 
 @query(
