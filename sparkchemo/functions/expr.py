@@ -32,27 +32,3 @@ def inlier_probability(x: Column) -> Column:
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the keys alone, not on partitions."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
-
-
-def ordered_quantile(df, value: str, q: float, rule: str = "lower"):
-    """A quantile by rank: the sorted element at floor((n-1)q), or the middle of it and the next."""
-    from pyspark.sql import Window
-
-    n = df.where(F.col(value).isNotNull()).count()
-    if not n:
-        return None
-    at = (n - 1) * q
-    low = int(at)
-    high = low if rule == "lower" or at == low else low + 1
-    # Ranking needs one order of all rows; sorting by range and numbering the parts keeps it distributed.
-    ranked = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    picked = ranked.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    part = picked.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist()
-    try:
-        sizes = part.groupBy("part").agg(F.sum("n").alias("n"))
-        ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-        upto = part.join(F.broadcast(ahead), "part").withColumn("upto", F.col("ahead") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))
-        found = upto.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(f"k{k}") for k in {low, high}]).first()
-    finally:
-        part.unpersist()
-    return (found[f"k{low}"] + found[f"k{high}"]) / 2

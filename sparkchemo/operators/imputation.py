@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import linear, uniform
+from sparkchemo.functions.lineage import cut_lineage
 from sparkchemo.operators.moments import moments
 from sparkchemo.operators.projection import kernel_pls, principal_axes
 
@@ -127,13 +128,3 @@ class LowRankImputer:
             _, project = principal_axes(xx, self.n_components)
             rebuild = project
         return LowRankModel(tuple(self.columns), m.mean[:p], s, project, rebuild, k)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster shares; a temporary one if none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkchemo.functions.expr import linear, ordered_quantile, total
+from sparkchemo.functions.expr import linear, total
+from sparkchemo.functions.quantiles import ordered_quantile
 from sparkchemo.operators.moments import moments
 from sparkchemo.operators.projection import principal_axes
 

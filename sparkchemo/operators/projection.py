@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import inlier_probability, linear, quadratic, total
+from sparkchemo.functions.quantiles import quantiles
 from sparkchemo.functions.special import chi2_ppf, f_ppf, minimise_1d
 from sparkchemo.operators.moments import Moments, grouped_moments, moments
 
@@ -24,7 +25,7 @@ from sparkchemo.operators.moments import Moments, grouped_moments, moments
 def degrees_of_freedom(df: DataFrame, columns: Sequence[str], robust: bool) -> dict[str, tuple[int, float]]:
     """(N, u0) of each non-negative column, so that N * u / u0 is about chi-squared with N degrees."""
     if robust:
-        row = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns]).first()
+        row = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
         return {c: _robust_dof(row[c][1], row[c][2] - row[c][0]) for c in columns}
     row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.var_samp(c).alias(f"v_{c}") for c in columns]).first()
     out = {}
@@ -144,16 +145,28 @@ class PCAModel:
     def extremes(self, df: DataFrame, upper_share: float = 0.25) -> DataFrame:
         """Expected against observed extremes: the fit stays, only the cut-off moves with alpha."""
         top = max(1, int(self.n * upper_share))
-        cuts = [(k, float(self.critical(k / self.n))) for k in range(1, top + 1)]
-        grid = df.sparkSession.createDataFrame(cuts, "expected int, cut double")
-        counts = df.select(self.distance().alias("c")).join(F.broadcast(grid), F.col("c") >= F.col("cut")).groupBy("expected").agg(F.count(F.lit(1)).alias("observed"))
-        band = 2 * F.sqrt(F.col("expected") * (1 - F.col("expected") / self.n))
-        return grid.select("expected").join(counts, "expected", "left").select("expected", F.coalesce("observed", F.lit(0)).alias("observed"), (F.col("expected") - band).alias("low"), (F.col("expected") + band).alias("high"))
+        return extremes_table(df, self.distance(), [(k, float(self.critical(k / self.n))) for k in range(1, top + 1)], self.n, True)
 
-    def loss(self, df: DataFrame, truth: str, eps: float = 1e-15) -> DataFrame:
-        """Mean log loss of the inlier probability against a boolean column."""
-        p = F.least(F.greatest(F.col("inlier_probability"), F.lit(eps)), F.lit(1 - eps))
-        return self.score(df).agg(F.avg(-F.log(F.when(F.col(truth), p).otherwise(1 - p))).alias("loss"))
+    def loss(self, df: DataFrame, truth: str) -> DataFrame:
+        return log_loss(self.score(df), truth)
+
+
+def log_loss(scored: DataFrame, truth: str, eps: float = 1e-15) -> DataFrame:
+    """(loss, accuracy): the mean log loss of ``inlier_probability`` and the share of right ``inlier`` against a boolean column."""
+    p = F.least(F.greatest(F.col("inlier_probability"), F.lit(eps)), F.lit(1 - eps))
+    return scored.agg(F.avg(-F.log(F.when(F.col(truth), p).otherwise(1 - p))).alias("loss"), F.avg((F.col("inlier") == F.col(truth)).cast("double")).alias("accuracy"))
+
+
+def extremes_table(df: DataFrame, distance: Column, cuts: list[tuple[int, float]], n: int, closed: bool) -> DataFrame:
+    """(expected, observed, low, high): rows beyond each cut, with the band of two deviations; ``cuts`` ascend in expected."""
+    # Rows are counted by the first cut that they pass, and the counts added up: a row is looked at once.
+    edges = F.array(*[F.lit(c) for _, c in cuts])  # falling, as many as there are cuts
+    first = F.size(F.filter(edges, lambda e: (F.col("c") < e) if closed else (F.col("c") <= e)))
+    by = df.select(distance.alias("c")).groupBy(first.alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    grid = df.sparkSession.createDataFrame([(k, i) for i, (k, _) in enumerate(cuts)], "expected int, place int")
+    counts = grid.join(F.broadcast(by), F.col("k") <= F.col("place"), "left").groupBy("expected").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("observed"))
+    band = 2 * F.sqrt(F.col("expected") * (1 - F.col("expected") / n))
+    return counts.select("expected", "observed", (F.col("expected") - band).alias("low"), (F.col("expected") + band).alias("high"))
 
 
 @dataclass(frozen=True)
@@ -162,7 +175,7 @@ class PCA:
 
     ``capped``: too many components are cut down (the authenticators' way) instead of an error.
     ``clean``: drop outliers and refit until none is left, take back what then looks regular,
-    and end with a classical fit (at most 100 rounds of each).
+    and end with a classical fit; an error if that takes over 100 rounds.
     """
 
     columns: Sequence[str]
@@ -173,7 +186,6 @@ class PCA:
     robust: str = "semi"
     clean: bool = False
     capped: bool = False
-    history: list = field(default_factory=list, compare=False)
 
     def fit(self, df: DataFrame) -> PCAModel:
         if self.robust not in ("semi", "classical"):
@@ -182,7 +194,7 @@ class PCA:
             return self._once(df, self.robust == "semi")
         if self.gamma is None:
             raise ValueError("cleaning needs gamma")
-        model, kept = self._once(df, True), F.lit(True)
+        model, kept, history = self._once(df, True), F.lit(True), []
         for _ in range(100):
             for _ in range(100):
                 part = df.where(kept)
@@ -193,11 +205,11 @@ class PCA:
                 kept = kept & (model.distance() < model.c_out)
             regular = model.distance() < model.c_out
             back = df.where(~kept & regular).limit(1).count()
-            self.history.append((model.n, bool(back)))
+            history.append((model.n, bool(back)))
             if not back:
-                break
+                return replace(self._once(df.where(kept), False), history=tuple(history))
             kept = kept | regular
-        return replace(self._once(df.where(kept), False), history=tuple(self.history))
+        raise RuntimeError("cleaning did not settle in 100 rounds")
 
     def _once(self, df: DataFrame, robust: bool) -> PCAModel:
         p = len(self.columns)
@@ -235,6 +247,9 @@ class SIMCAModel:
         out = out.withColumns({"decision": math.sqrt(self.f_crit) - F.sqrt("distance"), "inlier": F.col("distance") < self.f_crit})
         return out.withColumn("inlier_probability", inlier_probability(F.col("decision")))
 
+    def loss(self, df: DataFrame, truth: str) -> DataFrame:
+        return log_loss(self.score(df), truth)
+
 
 @dataclass(frozen=True)
 class SIMCA:
@@ -297,6 +312,14 @@ class EllipseModel:
         out = out.withColumns({"decision": math.sqrt(self.d_crit) - F.col("distance"), "inlier": F.col("distance") <= math.sqrt(self.d_crit)})
         return out.withColumn("inlier_probability", inlier_probability(F.col("decision")))
 
+    def loss(self, df: DataFrame, truth: str) -> DataFrame:
+        return log_loss(self.score(df), truth)
+
+    def extremes(self, df: DataFrame, n: int, upper_share: float = 0.25) -> DataFrame:
+        """Expected against observed extremes of ``n`` training rows: the fit stays, only the cut-off moves with alpha."""
+        cuts = [(k, math.sqrt(chi2_ppf(1 - k / n, len(self.columns)))) for k in range(1, max(1, int(n * upper_share)) + 1)]
+        return extremes_table(df, self.distance(), cuts, n, False)
+
     def shape(self) -> list[tuple[float, float]]:
         """(half axis, angle) of the boundary, longest first; in one dimension the half width."""
         value, vector = principal_axes(self.covariance, len(self.columns))
@@ -321,18 +344,18 @@ class Ellipse:
         model = EllipseModel(tuple(self.columns), m.mean, m.covariance, self.alpha)
         if not self.robust:
             return model
-        med = df.agg(*[F.percentile(c, 0.5).alias(c) for c in self.columns]).first()
-        model = replace(model, center=np.array([med[c] for c in self.columns], float))
+        med = quantiles(df, {c: F.col(c) for c in self.columns}, [0.5])
+        model = replace(model, center=np.array([med[c][0] for c in self.columns], float))
         last = math.inf
         for _ in range(self.rounds):
-            cut = df.agg(F.percentile(model.distance(), 0.5).alias("d")).first()["d"]
+            cut = quantiles(df, {"d": model.distance()}, [0.5])["d"][0]
             m = moments(df.where(model.distance() <= cut), self.columns)
             model = replace(model, center=m.mean, covariance=m.covariance)
             size = float(np.linalg.det(m.covariance))
             if size >= last * (1 - 1e-12):
                 break
             last = size
-        mid = df.agg(F.percentile(model.distance(), 0.5).alias("d")).first()["d"]
+        mid = quantiles(df, {"d": model.distance()}, [0.5])["d"][0]
         return replace(model, covariance=model.covariance * (mid * mid / chi2_ppf(0.5, len(self.columns))))
 
 

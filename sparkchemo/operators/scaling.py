@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkchemo.functions.quantiles import quantiles
+
 
 @dataclass(frozen=True)
 class ScalerModel:
@@ -58,7 +60,7 @@ class RobustScaler:
 
     def fit(self, df: DataFrame) -> ScalerModel:
         at = [0.5, self.rng[0] / 100, self.rng[1] / 100]
-        row = df.agg(*[F.percentile(c, at).alias(c) for c in self.columns]).first()
+        row = quantiles(df, {c: F.col(c) for c in self.columns}, at)
         center = tuple(row[c][0] if self.with_median else 0.0 for c in self.columns)
         width = [row[c][2] - row[c][1] if self.with_iqr else 1.0 for c in self.columns]
         return ScalerModel(tuple(self.columns), center, tuple(math.sqrt(w) if self.pareto and self.with_iqr else w for w in width))

@@ -8,6 +8,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkchemo.functions.expr import total, uniform
+from sparkchemo.functions.lineage import cut_lineage
+from sparkchemo.functions.quantiles import ordered_quantile
+
 EPSILON = 1e-12
 
 
@@ -55,8 +59,6 @@ def feature_ranges(df: DataFrame, columns: Sequence[str], robust: bool = False)
     for c in columns:
         lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
         if robust:
-            from sparkchemo.functions.expr import ordered_quantile
-
             a, b = ordered_quantile(df, c, 0.25, "midpoint"), ordered_quantile(df, c, 0.75, "midpoint")
             lo, hi = max(a - 1.5 * (b - a), lo), min(b + 1.5 * (b - a), hi)
         if lo == hi:
@@ -158,20 +160,22 @@ def js_pairs(df: DataFrame, columns: Sequence[str], label: str, bins: int = 25)
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``df`` with r_<column>: ranks with ties averaged, from counts of distinct values, without one global sort.
+    """(_row, r_<column>...): ranks with ties averaged, for all columns in one long table.
 
-    Distinct values are dealt by range; parts are numbered by their sizes, so no task
-    sees a whole column.
+    Distinct values of all columns are counted and dealt by range; parts are numbered by
+    their sizes, so no task sees a whole column. Rows meet the ranks in one join, however
+    many columns there are, and come together again by their number.
     """
-    out = df
-    for c in columns:
-        values = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist()
-        sizes = values.groupBy("part").agg(F.sum("n").alias("n"))
-        ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-        inside = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
-        ranks = values.join(F.broadcast(ahead), "part").select(F.col("v").alias(f"v_{c}"), (F.col("ahead") + inside - (F.col("n") - 1) / 2).alias(f"r_{c}"))
-        out = out.join(ranks, F.col(c).eqNullSafe(F.col(f"v_{c}"))).drop(f"v_{c}")
-    return out
+    one = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), one.alias("x"))
+    long = numbered.select("_row", F.explode("x").alias("x")).select("_row", "x.f", "x.v")
+    values = cut_lineage(long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()))
+    sizes = values.groupBy("part", "f").agg(F.sum("n").alias("n"))
+    ahead = sizes.select("part", "f", (F.sum("n").over(Window.partitionBy("f").orderBy("part")) - F.col("n")).alias("ahead"))
+    inside = F.sum("n").over(Window.partitionBy("part", "f").orderBy("v"))
+    ranks = values.join(F.broadcast(ahead), ["part", "f"]).select("f", F.col("v").alias("w"), (F.col("ahead") + inside - (F.col("n") - 1) / 2).alias("r"))
+    met = long.join(ranks.withColumnRenamed("f", "g"), (F.col("f") == F.col("g")) & F.col("v").eqNullSafe(F.col("w")))
+    return met.groupBy("_row").agg(*[F.max(F.when(F.col("f") == i, F.col("r"))).alias(f"r_{c}") for i, c in enumerate(columns)])
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:

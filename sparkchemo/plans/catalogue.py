@@ -6,6 +6,7 @@ query; ``ORACLE`` the SQL of those that SQL can express.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,7 +160,19 @@ def savgol_interior(spark, d):
     return points(spectra_of(spark, d), spectra.savgol(F.col("x"), HOURS, 5, 2)).where("i between 2 and 21")
 
 
-@query()
+def _derivative_sql(window: int = 7, order: int = 3) -> str:
+    """Derivatives of the cubics fitted to unit impulses: the weight of place j in the result at place i."""
+    rows = []
+    for i in range(HOURS):
+        start = min(max(i - window // 2, 0), HOURS - window)
+        at = np.arange(start, start + window)
+        for j in at.tolist():
+            fit = np.polynomial.Polynomial.fit(at, (at == j).astype(float), order)
+            rows.append(f"({i}, {j}, {float(fit.deriv()(i))!r})")
+    return V_SQL + f", w(i, j, w) AS (VALUES {', '.join(rows)}) SELECT user_id, w.i::BIGINT AS i, round(sum(v * w), 4) + 0.0 AS v FROM v JOIN w ON w.j = v.i GROUP BY user_id, w.i"
+
+
+@query(_derivative_sql())
 def savgol_derivative(spark, d):
     return points(spectra_of(spark, d), spectra.savgol(F.col("x"), HOURS, 7, 3, deriv=1))
 
@@ -231,10 +244,13 @@ def red_flags(spark, d):
     return screens.red_flags(lines(spark, d), FEATURES, LABEL)
 
 
-def _js_sql(members: str, final: str, eps: str = "1e-12") -> str:
+SPAN_SQL = "SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature"
+
+
+def _js_sql(members: str, final: str, eps: str = "1e-12", span: str = SPAN_SQL) -> str:
     long = " UNION ALL ".join(f"SELECT l_returnflag AS cls, '{c}' AS feature, {c} AS x FROM lineitem" for c in FEATURES)
-    return f"""WITH l AS ({long}), r AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature),
-b AS (SELECT feature, cls, least(24, floor((x - lo) / (hi - lo) * 25))::INT AS bin, count(*) AS n FROM l JOIN r USING (feature) GROUP BY ALL),
+    return f"""WITH l AS ({long}), r AS ({span}),
+b AS (SELECT feature, cls, least(24, floor((x - lo) / (hi - lo) * 25))::INT AS bin, count(*) AS n FROM l JOIN r USING (feature) WHERE x BETWEEN lo AND hi GROUP BY ALL),
 mem AS ({members}), g AS (SELECT DISTINCT grp FROM mem),
 grid AS (SELECT DISTINCT feature, grp, bin FROM r CROSS JOIN g CROSS JOIN (SELECT unnest(range(0, 25)) AS bin)),
 sides AS (SELECT grid.feature, grid.grp, grid.bin, coalesce(sum(n) FILTER (mem.cls IS NOT NULL), 0) AS a, coalesce(sum(n) FILTER (mem.cls IS NULL), 0) AS z
@@ -264,7 +280,13 @@ def js_overall(spark, d):
     return screens.js_select(screens.js_per_class(lines(spark, d), FEATURES, LABEL), top=1, by_class=False)
 
 
-@query()
+#: The quartiles' fences by the midpoint rule, inside the least and greatest value.
+FENCE_SQL = """SELECT feature, greatest(a - 1.5 * (b - a), lo) AS lo, least(b + 1.5 * (b - a), hi) AS hi FROM (
+SELECT feature, min(x) AS lo, max(x) AS hi, avg(x) FILTER (k IN (floor((n - 1) * 0.25), ceil((n - 1) * 0.25))) AS a, avg(x) FILTER (k IN (floor((n - 1) * 0.75), ceil((n - 1) * 0.75))) AS b
+FROM (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY feature) AS n FROM l) GROUP BY feature)"""
+
+
+@query(_js_sql(ONE_SQL, "SELECT feature, grp AS cls, round(jsd, 7) + 0.0 AS jsd FROM j", span=FENCE_SQL))
 def js_robust(spark, d):
     return rounded(screens.js_per_class(lines(spark, d), FEATURES, LABEL, robust=True), 7)
 
@@ -311,6 +333,13 @@ def spearman_matrix(spark, d):
     return rounded(screens.spearman(lines(spark, d), FEATURES), 6)
 
 
+@query(f"SELECT l_orderkey, l_linenumber, {', '.join(FEATURES)} FROM lineitem")
+def collinear_select_cut(spark, d):
+    """A column that rises with another goes; at this cut nothing else belongs together."""
+    df = lines(spark, d).withColumn("squared", F.col("l_quantity") * F.col("l_quantity"))
+    return df.select(*ROW, *screens.select_collinear(df, [*FEATURES, "squared"], cut=0.5))
+
+
 @query()
 def collinear_select(spark, d):
     df = lines(spark, d)
@@ -454,7 +483,22 @@ def elliptic2d_predict(spark, d):
     return rounded(Ellipse(["l_quantity", "l_discount"]).fit(df).score(df).select(*ROW, "distance", "inlier"))
 
 
-@query()
+def _robust_ellipse_sql(rounds: int = 10) -> str:
+    """The concentration steps unrolled; one that no longer shrinks the determinant is the last that counts."""
+    x, y = TWO
+    dist = f"sqrt((pow({x} - m1, 2) * c - 2 * ({x} - m1) * ({y} - m2) * b + pow({y} - m2, 2) * a) / (a * c - b * b))"
+    stats = f"var_samp({x}) AS a, covar_samp({x}, {y}) AS b, var_samp({y}) AS c"
+    parts = [f"e0 AS (SELECT quantile_cont({x}, 0.5) AS m1, quantile_cont({y}, 0.5) AS m2, {stats}, 1e300::DOUBLE AS last, false AS done FROM lineitem)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"d{k} AS (SELECT {x}, {y}, {dist} AS d FROM lineitem, e{k - 1})")
+        parts.append(f"n{k} AS (SELECT avg({x}) AS m1, avg({y}) AS m2, {stats} FROM d{k} WHERE d <= (SELECT quantile_cont(d, 0.5) FROM d{k}))")
+        new = ", ".join(f"CASE WHEN e.done THEN e.{v} ELSE n.{v} END AS {v}" for v in ("m1", "m2", "a", "b", "c"))
+        parts.append(f"e{k} AS (SELECT {new}, n.a * n.c - n.b * n.b AS last, e.done OR n.a * n.c - n.b * n.b >= e.last * (1 - 1e-12) AS done FROM e{k - 1} AS e, n{k} AS n)")
+    parts.append(f"o AS (SELECT {dist} AS d FROM lineitem, e{rounds}), z AS (SELECT quantile_cont(d, 0.5) / sqrt(2 * ln(2)) AS s FROM o)")
+    return "WITH " + ", ".join(parts) + " SELECT d / s <= sqrt(-2 * ln(0.05)) AS inlier, count(*) AS n FROM o, z GROUP BY 1"
+
+
+@query(_robust_ellipse_sql())
 def elliptic_robust(spark, d):
     df = lines(spark, d)
     return Ellipse(TWO, robust=True).fit(df).score(df).groupBy("inlier").agg(F.count(F.lit(1)).alias("n"))
@@ -632,7 +676,13 @@ def merit_one_class(spark, d):
 # --- comparison -------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS i FROM customer GROUP BY 1),
+w AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS c_mktsegment, 0::BIGINT AS n, NULL::INT AS fold, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c UNION ALL
+SELECT i, c_mktsegment, n, f, a + CASE WHEN f = 0 THEN n ELSE 0 END, b + CASE WHEN f = 1 THEN n ELSE 0 END, c + CASE WHEN f = 2 THEN n ELSE 0 END
+FROM (SELECT g.i, g.c_mktsegment, g.n, a, b, c, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f FROM w JOIN g ON g.i = w.i + 1))
+SELECT c_mktsegment, n, fold FROM w WHERE i > 0"""
+)
 def group_folds(spark, d):
     return comparison.group_folds(table(spark, d, "customer"), "c_mktsegment", 3)
 
