@@ -8,9 +8,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkchemo.functions.expr import uniform
+from sparkchemo.functions.expr import total, uniform
+from sparkchemo.functions.lineage import cut_lineage
 from sparkchemo.functions.special import t_cdf
 from sparkchemo.operators.moments import grouped_moments
+from sparkchemo.operators.scaling import CorrectedScaler
 
 
 def fold_of(k: int, seed: int, keys: Sequence[str]) -> Column:
@@ -18,8 +20,8 @@ def fold_of(k: int, seed: int, keys: Sequence[str]) -> Column:
     return F.floor(uniform(seed, *[F.col(c) for c in keys]) * k).cast("int")
 
 
-def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: rows of a class are dealt in turn in a random order of their keys.
+def in_random_order(df: DataFrame, label: str, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """``df`` with ``_k``: the place (from 0) of each row in a random order of its class.
 
     A class may be most of the table, so the order is by buckets of the random number: places
     before a bucket come from the buckets' sizes, and only a bucket is sorted in one task.
@@ -29,24 +31,76 @@ def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, see
     rows = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
     sizes = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = sizes.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(label).orderBy("_b")) - F.col("_n")).drop("_n")
-    placed = rows.join(ahead, [label, "_b"]).withColumn("_k", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", *keys)) - 1 + F.col("_ahead"))
-    return placed.withColumn("fold", (F.col("_k") % k).cast("int")).drop("_u", "_b", "_ahead", "_k")
+    place = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", *keys)) - 1 + F.col("_ahead")
+    return rows.join(ahead, [label, "_b"]).withColumn("_k", place).drop("_u", "_b", "_ahead")
+
+
+def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, seed: int = 0) -> DataFrame:
+    """``df`` with ``fold``: rows of a class are dealt in turn in a random order of their keys."""
+    return in_random_order(df, label, keys, seed).withColumn("fold", (F.col("_k") % k).cast("int")).drop("_k")
+
+
+#: Groups that are placed one by one, the largest ones; smaller ones are dealt by a hash, which evens out by their number.
+PLACED = 10_000
 
 
-def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, n, fold): groups by falling size, each to the fold with fewest rows so far.
+def _with_the_rest(sizes: DataFrame, group: str, placed: list[tuple], k: int, seed: int) -> DataFrame:
+    """(group, n, fold): the placed groups, and all others by a hash."""
+    kind = sizes.schema[group].dataType.simpleString()
+    table = sizes.sparkSession.createDataFrame(placed, f"`{group}` {kind}, n bigint, fold int")
+    if len(placed) < PLACED:
+        return table
+    others = sizes.join(F.broadcast(table.select(group)), group, "left_anti")
+    return table.union(others.select(group, "n", F.floor(uniform(seed, F.col(group)) * k).cast("int")))
 
-    The greedy choice is sequential over groups, of which there are few; rows join the
-    small table.
+
+def group_folds(df: DataFrame, group: str, k: int, seed: int | None = None) -> DataFrame:
+    """(group, n, fold): groups by falling size, or with ``seed`` in a random order, each to the fold with fewest rows so far.
+
+    The choice is sequential, so only the PLACED largest groups are placed by it; a repeat is
+    a call with another seed. Rows join the small table.
     """
-    sizes = [(r[group], r["n"]) for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    first = sizes.withColumn("u", F.lit(0.0) if seed is None else uniform(seed, F.col(group))).orderBy(F.desc("n"), group).limit(PLACED).collect()
     load, rows = [0] * k, []
-    for g, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+    for r in sorted(first, key=lambda r: (-r["n"], r[group]) if seed is None else (r["u"], r[group])):
         f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += n
-        rows.append((g, n, f))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, n bigint, fold int")
+        load[f] += r["n"]
+        rows.append((r[group], r["n"], f))
+    return _with_the_rest(sizes, group, rows, k, seed or 0)
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0) -> DataFrame:
+    """(group, n, fold): whole groups, with the classes spread as evenly over the folds as a greedy choice gets them.
+
+    Groups of the most uneven classes come first, ties in a random order; each goes to the
+    fold that leaves the least deviation of the classes' shares over the folds.
+    """
+    cells = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.groupBy(group).agg(F.sum("n").alias("n"))
+    first = sizes.orderBy(F.desc("n"), group).limit(PLACED)
+    counts: dict = {}
+    for r in cells.join(F.broadcast(first.select(group)), group).withColumn("u", uniform(seed, F.col(group))).collect():  # PLACED groups times their classes
+        counts.setdefault((r["u"], r[group]), {})[r[label]] = r["n"]
+    totals = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted(totals, key=str)
+
+    def spread(values: list[float]) -> float:
+        mean = sum(values) / len(values)
+        return math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+
+    load, rows = [dict.fromkeys(classes, 0) for _ in range(k)], []
+    for (u, g), own in sorted(counts.items(), key=lambda x: (-spread([x[1].get(c, 0) for c in classes]), x[0])):
+
+        def uneven(f: int) -> tuple[float, int, int]:
+            each = [spread([(load[i][c] + (own.get(c, 0) if i == f else 0)) / totals[c] for i in range(k)]) for c in classes]  # noqa: B023
+            return sum(each) / len(each), sum(load[f].values()), f
+
+        f = min(range(k), key=uneven)
+        for c, n in own.items():
+            load[f][c] += n
+        rows.append((g, sum(own.values()), f))
+    return _with_the_rest(sizes, group, rows, k, seed)
 
 
 def repeated_folds(df: DataFrame, keys: Sequence[str], k: int, repeats: int, seed: int = 0, group: str | None = None) -> DataFrame:
@@ -56,23 +110,36 @@ def repeated_folds(df: DataFrame, keys: Sequence[str], k: int, repeats: int, see
     return each.withColumn("fold", F.floor(uniform(seed, F.col("repeat"), *[F.col(c) for c in by]) * k).cast("int"))
 
 
-def kennard_stone(df: DataFrame, columns: Sequence[str], key: str, most: int = 5000) -> list:
-    """Keys in Kennard-Stone order: far apart first. Sequential by nature, so at most ``most`` rows are taken."""
-    import numpy as np
+def kennard_stone(df: DataFrame, columns: Sequence[str], key: str, n: int, every: int = 16) -> DataFrame:
+    """(key, place): ``n`` rows far apart: first the one farthest from the mean, then each time the one farthest from all chosen.
 
-    rows = df.select(key, *columns).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; sample first")
-    x = np.array([[r[c] for c in columns] for r in rows], float)
-    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    first = int(np.argmax(((x - x.mean(0)) ** 2).sum(1)))
-    order, near = [first], ((x - x[first]) ** 2).sum(1)
-    while len(order) < len(x):
-        near[order[-1]] = -1
-        k = int(np.argmax(near))
-        order.append(k)
-        near = np.where(near < 0, near, np.minimum(near, ((x - x[k]) ** 2).sum(1)))
-    return [rows[k][key] for k in order]
+    Distances are in standardised columns; ties go to the least key. The choice is sequential:
+    a step is one aggregate over all rows, which carry their least distance so far, cut off
+    in the shared folder each ``every`` steps. Nulls in a column leave a row out.
+    """
+    model = CorrectedScaler(columns).fit(df)
+    x = model.transform(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])).dropna()
+    gap = lambda point: total([F.pow(F.col(c) - F.lit(float(v)), 2) for c, v in zip(columns, point, strict=True)])
+    rows = x.withColumn("_near", gap([0.0] * len(columns)))
+    chosen: list[tuple] = []
+    for place in range(n):
+        r = rows.agg(F.min_by(F.struct(key, *columns, "_near"), F.struct(-F.col("_near"), F.col(key))).alias("r")).first()["r"]
+        if r is None or (place and r["_near"] < 0):
+            break
+        chosen.append((r[key], place))
+        near = gap([r[c] for c in columns])
+        # A chosen row falls below 0 and never comes again.
+        least = near if not place else F.when(F.col("_near") >= 0, F.least("_near", near)).otherwise(F.col("_near"))
+        rows = rows.withColumn("_near", F.when(F.col(key) == F.lit(r[key]), -1.0).otherwise(least))
+        if place % every == every - 1:
+            rows = cut_lineage(rows)
+    return df.sparkSession.createDataFrame(chosen, f"`{key}` {df.schema[key].dataType.simpleString()}, place int")
+
+
+def kennard_stone_folds(df: DataFrame, columns: Sequence[str], key: str, k: int, n: int, seed: int = 0) -> DataFrame:
+    """``df`` with ``fold``: the ``n`` rows of the Kennard-Stone order are dealt in turn, so each fold spans the data; the others by hash."""
+    order = kennard_stone(df, columns, key, n)
+    return df.join(F.broadcast(order), key, "left").withColumn("fold", F.coalesce(F.col("place") % k, fold_of(k, seed, [key]))).drop("place")
 
 
 def cross_validated_regression(folded: DataFrame, columns: Sequence[str], y: str, components: Sequence[int]) -> DataFrame:
@@ -120,16 +187,28 @@ def paired_summary(scores: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.avg(F.col("x") - F.col("y")).alias("mean_diff"), F.var_samp(F.col("x") - F.col("y")).alias("var_diff"))
 
 
+def with_corrected_t(summary: DataFrame, repeats: int) -> DataFrame:
+    """``summary`` with ``t`` of the test that a beats b, its variance corrected for shared training rows (Nadeau and Bengio)."""
+    share = F.lit(float(repeats)) / F.col("n")  # of a split that is held out
+    return summary.withColumn("t", F.try_divide(F.col("mean_diff"), F.sqrt((1 / F.col("n") + share / (1 - share)) * F.col("var_diff"))))
+
+
 def corrected_t(summary: DataFrame, repeats: int) -> dict[str, float]:
-    """Nadeau and Bengio's one-sided test that a beats b, variance corrected for shared training rows."""
-    r = summary.first()
+    """t and p of the one-sided test that a, which must be the better one, beats b."""
+    r = with_corrected_t(summary, repeats).first()
     if r["mean_diff"] < 0:
         raise ValueError("a must be the better one")
-    share = repeats / r["n"]  # of a split that is held out
-    t = r["mean_diff"] / math.sqrt((1 / r["n"] + share / (1 - share)) * r["var_diff"]) if r["var_diff"] else math.inf
+    t = math.inf if r["t"] is None else r["t"]
     return {"t": t, "p": 1 - t_cdf(t, r["n"] - 1) if math.isfinite(t) else 0.0}
 
 
+def ranked(scores: DataFrame) -> DataFrame:
+    """(estimator, n, mean, deviation, place): estimators by falling mean score; ties by name."""
+    seen = F.when(~F.isnan("score"), F.col("score"))
+    table = scores.groupBy("estimator").agg(F.count(seen).alias("n"), F.avg(seen).alias("mean"), F.stddev_pop(seen).alias("deviation"))
+    return table.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean"), "estimator")))  # a row an estimator
+
+
 def bayesian_comparison(summary: DataFrame, repeats: int, rope: float = 0.0) -> dict[str, float]:
     """Probabilities that b is better, that they are alike within ``rope``, and that a is (correlated t posterior)."""
     r = summary.first()

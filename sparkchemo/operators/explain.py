@@ -65,3 +65,38 @@ def resample(x: Column, n: int) -> Column:
         return a + (b - a) * (place - low)
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def nearest(x: Column, n: int) -> Column:
+    """An array stretched to ``n`` places by the nearest of its own."""
+    place = lambda i: F.round(i * (F.size(x) - 1) / F.lit(float(max(1, n - 1)))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(x, place(i)))
+
+
+def color_table(df: DataFrame, key: str, series: Column, importance: Column, n: int, interpolate: bool = True, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """(key, i, value, color): a series of ``n`` places with its importances stretched over it and scaled to [0, 1].
+
+    The scale is the importances' own range, or ``bounds``; equal ends give null.
+    """
+    up = (resample if interpolate else nearest)(importance, n)
+    low, high = (F.array_min(importance), F.array_max(importance)) if bounds is None else (F.lit(float(bounds[0])), F.lit(float(bounds[1])))
+    each = df.select(key, F.posexplode(F.arrays_zip(series.alias("value"), up.alias("up"))).alias("i", "z"), low.alias("_low"), high.alias("_high"))
+    return each.select(key, "i", F.col("z.value").alias("value"), F.try_divide(F.col("z.up") - F.col("_low"), F.col("_high") - F.col("_low")).alias("color"))
+
+
+def pick_rates(df: DataFrame, step: str, rate: str, loss: str, beta: float = 0.98, skip: int = 0, worse: float = 4.0) -> DataFrame:
+    """(base, top) of a cyclical rate from a sweep of rising rates, one row a step: the sweep is one small array.
+
+    Losses are smoothed; steps up to the first whose loss is ``worse`` times the least so far
+    count. ``top`` is the rate of the least smoothed loss, ``base`` that of its steepest fall before it.
+    """
+    sweep = df.agg(F.array_sort(F.collect_list(F.struct(step, rate, loss))).alias("s"))
+    smooth = sweep.select("s", smoothed_losses(F.transform("s", lambda r: r[loss].cast("double")), beta).alias("l"))
+    rows = smooth.select(F.posexplode(F.arrays_zip(F.transform("s", lambda r: r[rate]).alias("rate"), F.col("l").alias("loss"))).alias("i", "z"), "l").where(F.col("i") >= skip)
+    least = lambda i: F.array_min(F.slice("l", 1, i + 1))
+    rows = rows.select("i", "z.rate", "z.loss", (F.col("z.loss") - F.get("l", F.col("i") - 1)).alias("fall"), (F.col("z.loss") > worse * least(F.col("i"))).alias("bad"))
+    end = rows.agg(F.min(F.when(F.col("bad"), F.col("i"))).alias("end"))
+    kept = rows.join(F.broadcast(end), F.col("end").isNull() | (F.col("i") < F.col("end")), "inner")
+    top = kept.agg(F.min_by(F.struct("i", "rate"), F.struct("loss", "i")).alias("t"))
+    down = kept.join(F.broadcast(top), F.col("i") <= F.col("t.i"))
+    return down.agg(F.min_by("rate", F.struct(F.coalesce("fall", F.lit(0.0)), "i")).alias("base"), F.first("t.rate").alias("top"))

@@ -13,15 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import total, uniform
+from sparkchemo.functions.lineage import cut_lineage
+from sparkchemo.operators.comparison import in_random_order
+from sparkchemo.operators.scaling import CorrectedScaler
 
 
-def neighbours(queries: DataFrame, points: DataFrame, columns: Sequence[str], key: str, k: int, blocks: int = 8, same: str | None = None) -> DataFrame:
+#: Points that a block of a neighbour search has.
+BLOCK = 4096
+
+
+def neighbours(queries: DataFrame, points: DataFrame, columns: Sequence[str], key: str, k: int, blocks: int | None = None, same: str | None = None) -> DataFrame:
     """(q, rank, <point columns as n_...>): the ``k`` nearest points of each query, itself left out; ties by key.
 
     Each query meets each block of points in its own task and keeps k of it; the k best of
-    the blocks' bests remain, so what is shuffled grows with queries * blocks * k. ``same`` restricts to
+    the blocks' bests remain, so what is shuffled grows with queries * blocks * k. A block has
+    about BLOCK points unless ``blocks`` says how many there are. ``same`` restricts to
     points with an equal value of that column.
     """
+    blocks = blocks or max(8, points.count() // BLOCK)
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     p = points.select(block.alias("_block"), *[F.col(c).alias(f"n_{c}") for c in dict.fromkeys([key, *columns, *([same] if same else [])])])
     q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -35,17 +44,18 @@ def neighbours(queries: DataFrame, points: DataFrame, columns: Sequence[str], ke
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("_d", f"n_{key}"))).where(F.col("rank") <= k).drop("_k", "_block")
 
 
-def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 5, seed: int = 0) -> DataFrame:
+def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 5, seed: int = 0, named: bool = False) -> DataFrame:
     """``df`` (key, columns, label) and made-up rows until all classes are as many as the largest.
 
     A made-up row lies between a row of its class and one of its ``k`` nearest there, at a
-    place that follows from the seed; its key is null. How many each row gives is even.
+    place that follows from the seed; its key is null, or with ``named`` a text that names its
+    source (and all keys become text). How many each row gives is even.
     """
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     top = max(sizes.values())
     small = [c for c, n in sizes.items() if n < top]
     if not small:
-        return df
+        return df.select(F.col(key).cast("string" if named else df.schema[key].dataType).alias(key), *columns, label)
     rows = df.where(F.col(label).isin(small))
     near = neighbours(rows, rows, columns, key, k, same=label)
     lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", *[f"n_{c}" for c in columns]))).alias("near"))  # k entries
@@ -54,13 +64,14 @@ def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int =
         each, more = divmod(top - sizes[c], sizes[c])
         # ``more`` of the class's rows by hash give one further row.
         want = F.when(F.col(label) == c, F.lit(each) + (F.col("_place") < more).cast("int")).otherwise(want)
-    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)) - 1)
+    placed = in_random_order(rows, label, [key], seed).withColumnRenamed("_k", "_place")
     give = placed.withColumn("_want", want).where("_want > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_want"))))
     give = give.join(lists, F.col(key) == F.col("q"))
     pick = F.get("near", F.floor(uniform(seed, F.col(key), F.col("_copy"), F.lit("pick")) * F.size("near")).cast("int"))
     u = uniform(seed, F.col(key), F.col("_copy"), F.lit("step"))
-    made = give.select(F.lit(None).cast(df.schema[key].dataType).alias(key), *[(F.col(c) + u * (pick[f"n_{c}"] - F.col(c))).alias(c) for c in columns], label)
-    return df.select(key, *columns, label).union(made)
+    made_key = F.concat(F.lit("made-"), F.col(key).cast("string"), F.lit("-"), F.col("_copy").cast("string")) if named else F.lit(None).cast(df.schema[key].dataType)
+    made = give.select(made_key.alias(key), *[(F.col(c) + u * (pick[f"n_{c}"] - F.col(c))).alias(c) for c in columns], label)
+    return df.select(F.col(key).cast(made.schema[key].dataType).alias(key), *columns, label).union(made)
 
 
 def edited_neighbours(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 3, kind: str = "all", spare: str | None = None) -> DataFrame:
@@ -76,3 +87,13 @@ def edited_neighbours(df: DataFrame, columns: Sequence[str], label: str, key: st
     bad = (agree < k) if kind == "all" else (2 * agree < k)
     gone = voted.groupBy("q").agg(bad.alias("bad")).where("bad").select(F.col("q").alias(key))
     return df.join(gone, key, "left_anti")
+
+
+def scaled_smote_enn(df: DataFrame, columns: Sequence[str], label: str, key: str, k_smote: int = 5, k_enn: int = 3, kind: str = "all", spare: str = "", seed: int = 0) -> DataFrame:
+    """SMOTE, then edited neighbours, both in standardised columns; the result is in the original units.
+
+    Keys become text; made-up rows name their source. No class is spared unless ``spare`` names it.
+    """
+    model = CorrectedScaler(columns).fit(df)
+    whole = cut_lineage(smote(model.transform(df.select(key, *columns, label)), columns, label, key, k_smote, seed, named=True))
+    return model.inverse_transform(edited_neighbours(whole, columns, label, key, k_enn, kind, spare))

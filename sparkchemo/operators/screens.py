@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkchemo.functions.expr import total, uniform
+from sparkchemo.functions.expr import total
 from sparkchemo.functions.lineage import cut_lineage
 from sparkchemo.functions.quantiles import ordered_quantile
 
@@ -225,3 +225,74 @@ def select_collinear(df: DataFrame, columns: Sequence[str], cut: float | None =
     dist = [[0.0 if a == b else 1 - abs(rho.get((a, b), rho.get((b, a))) or 0.0) for b in columns] for a in columns]
     numbers = ward_clusters(dist, cut)
     return [c for i, c in enumerate(columns) if numbers.index(numbers[i]) == i]
+
+
+def close_pairs(df: DataFrame, columns: Sequence[str], key: str, tol: float) -> DataFrame:
+    """(a, b), a < b: rows whose columns are less than ``tol`` apart; rows with equal columns count once, for their least key.
+
+    Cells of len(columns) + 1 shifted grids are hashed: a column splits two near rows in at
+    most one of the grids, so they share a cell of some grid whole, and only rows of a cell are compared.
+    """
+    p = len(columns)
+    width = 2.0 * tol * (p + 1)
+    one = df.groupBy(*columns).agg(F.min(key).alias("_key"))
+    cell = lambda g: F.xxhash64(F.lit(g), *[F.floor(F.col(c) / width + g / (p + 1)) for c in columns])
+    placed = one.withColumn("_cell", F.explode(F.array(*[cell(g) for g in range(p + 1)])))
+    other = placed.select("_cell", F.col("_key").alias("_other"), *[F.col(c).alias(f"_o_{c}") for c in columns])
+    near = F.sqrt(total([F.pow(F.col(c) - F.col(f"_o_{c}"), 2) for c in columns])) < tol
+    met = placed.join(other, "_cell").where((F.col("_key") < F.col("_other")) & near)
+    return met.select(F.col("_key").alias("a"), F.col("_other").alias("b")).distinct()
+
+
+def relabel(df: DataFrame, label: str, groups: Sequence[str]) -> DataFrame:
+    """``df`` with the classes of each group, named as in ``class_groups``, under the group's name; others keep theirs."""
+    out = F.col(label)
+    for g in groups:
+        out = F.when(F.col(label).isin(g.split(" AND ")), F.lit(g)).otherwise(out)
+    return df.withColumn(label, out)
+
+
+def group_table(grid: DataFrame, how: str = "max") -> DataFrame:
+    """(grp, best, deviation): each group's best or mean divergence over the features, and their deviation."""
+    return grid.groupBy("grp").agg((F.max if how == "max" else F.avg)("jsd").alias("best"), F.stddev_pop("jsd").alias("deviation"))
+
+
+def best_feature_histograms(df: DataFrame, columns: Sequence[str], label: str, grid: DataFrame, bins: int = 25) -> DataFrame:
+    """(grp, feature, bin, inside, n): for each group the histograms of its most divergent feature, in the group and outside."""
+    best = grid.groupBy("grp").agg(F.max(F.struct("jsd", "feature")).alias("m")).select("grp", "m.feature")
+    counts = histograms(df, columns, label, bins).join(F.broadcast(best), "feature")  # a row a group
+    inside = F.array_contains(F.split("grp", " AND "), F.col("cls"))
+    return counts.groupBy("grp", "feature", "bin", inside.alias("inside")).agg(F.sum("n").alias("n"))
+
+
+def least_label_entropy(df: DataFrame, clusters: dict[int, list[str]], labels: dict[str, str], share: float = 0.9, restarts: int = 20, seed: int = 0) -> list[str]:
+    """One column of each cluster so that the chosen columns' labels have the least entropy found.
+
+    Columns with values in at most ``share`` of the rows are left out. From random choices,
+    each cluster in turn takes the column that lowers the entropy most until none does; the
+    best of the restarts wins, the first by name among equals.
+    """
+    import math
+    import random
+    from collections import Counter
+
+    columns = [c for own in clusters.values() for c in own]
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in columns]).first()
+    safe = [sorted(c for c in own if row[c] > int(row["_n"] * share)) for _, own in sorted(clusters.items())]
+    if not all(safe):
+        raise ValueError("a cluster has no column with values in enough rows")
+
+    def entropy(chosen: list[str]) -> float:
+        return -sum(n / len(chosen) * math.log(n / len(chosen)) for n in Counter(labels[c] for c in chosen).values())
+
+    rng, best = random.Random(seed), None
+    for _ in range(restarts):
+        chosen = [rng.choice(own) for own in safe]
+        now, before = entropy(chosen), math.inf
+        while now < before - 1e-12:
+            before = now
+            for i, own in enumerate(safe):
+                chosen[i] = min(own, key=lambda c: (entropy([*chosen[:i], c, *chosen[i + 1 :]]), c))  # noqa: B023
+            now = entropy(chosen)
+        best = min(best or (now, chosen), (now, chosen))
+    return best[1]

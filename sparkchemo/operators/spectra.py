@@ -141,3 +141,21 @@ def _outside(k: int, n: int, mode: str) -> int | None:
         k %= 2 * n - 2
         return k if k < n else 2 * n - 2 - k
     return {"nearest": min(max(k, 0), n - 1), "wrap": k % n, "constant": None}[mode]
+
+
+def gramian_field(x: Column, difference: bool = False) -> Column:
+    """The Gramian angular field of a spectrum, an array of rows: values rescaled to [-1, 1] are cosines of angles.
+
+    Entry (i, j) is the cosine of the sum of two places' angles, or the sine of their
+    difference. A constant spectrum, which has no scale, gives null.
+    """
+
+    def field(v: Column) -> Column:
+        low, high = F.array_min(v), F.array_max(v)
+        scaled = F.transform(v, lambda a: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(2 * a - low - high, high - low))))
+        pairs = F.transform(scaled, lambda c: F.struct(c.alias("c"), F.sqrt(1 - c * c).alias("s")))
+        entry = (lambda a, b: a["s"] * b["c"] - a["c"] * b["s"]) if difference else (lambda a, b: a["c"] * b["c"] - a["s"] * b["s"])
+        made = _let(pairs, lambda p: F.transform(p, lambda a: F.transform(p, lambda b: entry(a, b))))
+        return F.when(high > low, made)
+
+    return _let(x, field)

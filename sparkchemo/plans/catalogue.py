@@ -15,7 +15,7 @@ from sparkchemo.operators.moments import moments
 from sparkchemo.operators.projection import PCA, PLSDA, SIMCA, Authenticator, Ellipse, LatentRegression, variable_importance
 from sparkchemo.operators.scaling import CorrectedScaler, RobustScaler
 from sparkchemo.plans import model_sql
-from sparkchemo.sources.tables import batch_summary, table
+from sparkchemo.sources.tables import batch_summary, keep_classes, pack_npy, table, unpack_npy
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ROW = ["l_orderkey", "l_linenumber"]
@@ -96,6 +96,13 @@ def scaler_inverse(spark, d):
     return rounded(model.inverse_transform(model.transform(df)))
 
 
+@query(f"WITH s AS (SELECT {sql_columns('avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}')} FROM lineitem) SELECT l_orderkey, l_linenumber, {sql_columns('round({c} * s_{c} + m_{c}, 2) + 0.0 AS {c}')} FROM lineitem, s")
+def scaler_inverse_raw(spark, d):
+    """The inverse alone, of values that were never standardised."""
+    df = lines(spark, d).drop(LABEL)
+    return rounded(CorrectedScaler(FEATURES).fit(df).inverse_transform(df), 2)
+
+
 def _robust_sql(low: float, high: float, root: str = "{w}") -> str:
     width = root.format(w=f"(quantile_cont({{c}}, {high}) - quantile_cont({{c}}, {low}))")
     return f"WITH s AS (SELECT {sql_columns(f'quantile_cont({{c}}, 0.5) AS m_{{c}}, {width} AS s_{{c}}')} FROM lineitem) SELECT l_orderkey, l_linenumber, {sql_columns('round(({c} - m_{c}) / s_{c}, 4) + 0.0 AS {c}')} FROM lineitem, s"
@@ -182,6 +189,27 @@ def axis_clip_renorm_log(spark, d):
     return points(spectra_of(spark, d), spectra.clip_renormalise_log(F.col("x"), 4, 20))
 
 
+FIELD_SQL = V_SQL + """, r AS (SELECT user_id, i, min(v) OVER w AS lo, max(v) OVER w AS hi, v FROM v WINDOW w AS (PARTITION BY user_id)),
+a AS (SELECT user_id, i, least(1, greatest(-1, (2 * v - lo - hi) / (hi - lo))) AS c FROM r WHERE hi > lo)
+"""
+
+
+def field(spark, d, difference: bool) -> DataFrame:
+    rows = spectra_of(spark, d).select("user_id", F.posexplode(spectra.gramian_field(F.col("x"), difference)).alias("i", "row"))
+    flat = rows.select("user_id", F.col("i").cast("bigint").alias("i"), F.posexplode("row").alias("j", "v"))
+    return rounded(flat.withColumn("j", F.col("j").cast("bigint")), 5)
+
+
+@query(FIELD_SQL + "SELECT a.user_id, a.i, b.i AS j, round(a.c * b.c - sqrt(1 - a.c * a.c) * sqrt(1 - b.c * b.c), 5) + 0.0 AS v FROM a JOIN a b ON a.user_id = b.user_id")
+def gramian_sum(spark, d):
+    return field(spark, d, False)
+
+
+@query(FIELD_SQL + "SELECT a.user_id, a.i, b.i AS j, round(sqrt(1 - a.c * a.c) * b.c - a.c * sqrt(1 - b.c * b.c), 5) + 0.0 AS v FROM a JOIN a b ON a.user_id = b.user_id")
+def gramian_difference(spark, d):
+    return field(spark, d, True)
+
+
 # --- imputation -------------------------------------------------------------------------------------------------
 
 
@@ -311,6 +339,37 @@ def js_interesting(spark, d):
     return rounded(screens.js_interesting(screens.js_incremental(screens.js_screen(lines(spark, d), FEATURES, LABEL, 2)), threshold=1e-6), 7)
 
 
+#: Two halves of the quantities, each dealt to two classes: only together are these told apart.
+HALVES_SQL = "((CASE WHEN l_quantity <= 25 THEN 'low' ELSE 'high' END) || (l_linenumber % 2))"
+
+
+def halves(spark, d) -> DataFrame:
+    return lines(spark, d).withColumn(LABEL, F.concat(F.when(F.col("l_quantity") <= 25, "low").otherwise("high"), (F.col("l_linenumber") % 2).cast("string")))
+
+
+@query(_js_sql(TWO_SQL, STEPS_SQL + "SELECT grp, round(max(final), 7) + 0.0 AS final FROM st GROUP BY grp HAVING bool_or(final > 0.7 AND final - delta < 0.7 AND delta > 0) AND max(alone) < max(final)").replace("l_returnflag", HALVES_SQL))
+def js_interesting_halves(spark, d):
+    return rounded(screens.js_interesting(screens.js_incremental(screens.js_screen(halves(spark, d), FEATURES, LABEL, 2))), 7)
+
+
+@query(_js_sql(TWO_SQL, "SELECT grp, round(max(jsd), 7) + 0.0 AS best, round(stddev_pop(jsd), 7) + 0.0 AS deviation FROM j GROUP BY grp").replace("l_returnflag", HALVES_SQL))
+def js_group_table(spark, d):
+    return rounded(screens.group_table(screens.js_screen(halves(spark, d), FEATURES, LABEL, 2)), 7)
+
+
+@query(
+    _js_sql(ONE_SQL, ", top AS (SELECT grp, arg_max(feature, jsd) AS feature FROM j GROUP BY grp) SELECT top.grp, top.feature, b.bin, b.cls = top.grp AS inside, sum(b.n)::BIGINT AS n FROM top JOIN b ON b.feature = top.feature GROUP BY ALL").replace("l_returnflag", HALVES_SQL)
+)
+def js_best_histograms(spark, d):
+    df = halves(spark, d)
+    return screens.best_feature_histograms(df, FEATURES, LABEL, screens.js_screen(df, FEATURES, LABEL, 1))
+
+
+@query("WITH c AS (SELECT c_acctbal, c_nationkey, min(c_custkey) AS k FROM customer GROUP BY ALL) SELECT x.k AS a, y.k AS b FROM c x JOIN c y ON x.k < y.k AND sqrt((x.c_acctbal - y.c_acctbal) ** 2 + (x.c_nationkey - y.c_nationkey) ** 2) < 2.5")
+def close_customers(spark, d):
+    return screens.close_pairs(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey", 2.5)
+
+
 @query(
     f"""WITH l AS ({" UNION ALL ".join(f"SELECT l_returnflag AS cls, '{c}' AS feature, {c} AS x FROM lineitem" for c in FEATURES)}), r AS (SELECT feature, cls, min(x) AS lo, max(x) AS hi FROM l GROUP BY ALL),
 pr AS (SELECT s.feature, s.cls AS a, t.cls AS b, least(s.lo, t.lo) AS lo, greatest(s.hi, t.hi) AS hi FROM r s JOIN r t ON s.feature = t.feature AND s.cls < t.cls),
@@ -351,7 +410,7 @@ def collinear_select(spark, d):
 
 @query("SELECT CASE WHEN l_returnflag IN ('A', 'R') THEN 'A AND R' ELSE l_returnflag END AS cls, count(*) AS n FROM lineitem GROUP BY 1")
 def macroclass_relabel(spark, d):
-    return lines(spark, d).groupBy(F.when(F.col(LABEL).isin("A", "R"), F.lit("A AND R")).otherwise(F.col(LABEL)).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    return screens.relabel(lines(spark, d), LABEL, ["A AND R"]).groupBy(F.col(LABEL).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT l_returnflag, round(sum(count(*)) OVER () / (count(*) * count(*) OVER ()), 6) AS weight FROM lineitem GROUP BY l_returnflag")
@@ -371,7 +430,26 @@ def batches(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_returnflag <> 'R'")
 def include_exclude(spark, d):
-    return lines(spark, d).where(F.col(LABEL).isin("A", "R") & ~F.col(LABEL).isin("R")).select(*ROW, LABEL)
+    return keep_classes(lines(spark, d), LABEL, ["A", "R"], ["R"]).select(*ROW, LABEL)
+
+
+@query("SELECT vec_id, len(embedding)::BIGINT AS n, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) + 0.0 AS total FROM embeddings")
+def npy_round_trip(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.array(F.lit(8), F.lit(8)).alias("shape"), F.col("embedding").alias("data"))
+    back = unpack_npy(pack_npy(e))
+    return rounded(back.select(F.col("path").cast("bigint").alias("vec_id"), F.size("data").cast("bigint").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, v: a + v).alias("total")))
+
+
+def _covariance_sql(n: int = 64) -> str:
+    return f"""WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT a.i AS a, b.i AS b, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i <= b.i AND b.i < {n} GROUP BY a.i, b.i"""
+
+
+@query(_covariance_sql())
+def wide_covariances(spark, d):
+    names = [f"e{i}" for i in range(64)]
+    c = moments(table(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names).covariance
+    return rounded(spark.createDataFrame([(i, j, float(c[i, j])) for i in range(64) for j in range(i, 64)], "a bigint, b bigint, cov double"), 6)
 
 
 # --- projection models ------------------------------------------------------------------------------------------
@@ -432,6 +510,24 @@ def ddsimca_predict(spark, d):
     return rounded(PCA(FEATURES, 2, scale=True, capped=True).fit(df.where(F.col(LABEL) == "R")).score(df).select(*ROW, LABEL, "distance", "inlier", "extreme", "outlier"))
 
 
+PROBABLE_SQL = "1 / (1 + exp(-({crit} - {dist})))"
+
+
+def _loss_sql(probability: str, inlier: str, truth: str) -> str:
+    p = f"least(greatest({probability}, 1e-15), 1 - 1e-15)"
+    return f"SELECT round(avg(-ln(CASE WHEN {truth} THEN {p} ELSE 1 - {p} END)), 6) AS loss, round(avg((({inlier}) = ({truth}))::INT), 6) AS accuracy"
+
+
+@query(
+    model_sql.pca(RETURNED, ALL, FEATURES, 2, [LABEL], cuts=model_sql.LIMITS)
+    + _loss_sql(PROBABLE_SQL.format(crit=f"sqrt({model_sql.CRIT})", dist="sqrt(distance)"), f"distance < {model_sql.CRIT}", "l_returnflag = 'R'")
+    + " FROM f"
+)
+def ddsimca_loss(spark, d):
+    df = lines(spark, d)
+    return rounded(PCA(FEATURES, 2, scale=True, capped=True).fit(df.where(F.col(LABEL) == "R")).loss(df.withColumn("truth", F.col(LABEL) == "R"), "truth"), 6)
+
+
 @query()
 def ddsimca_clean(spark, d):
     df = lines(spark, d)
@@ -498,6 +594,29 @@ def _robust_ellipse_sql(rounds: int = 10) -> str:
     return "WITH " + ", ".join(parts) + " SELECT d / s <= sqrt(-2 * ln(0.05)) AS inlier, count(*) AS n FROM o, z GROUP BY 1"
 
 
+@query(
+    "WITH k AS (SELECT * FROM lineitem WHERE l_returnflag = 'R'), "
+    + ELLIPSE_SQL
+    + _loss_sql(PROBABLE_SQL.format(crit="sqrt(-2 * ln(0.05))", dist="dist"), "dist <= sqrt(-2 * ln(0.05))", "l_returnflag = 'R'")
+    + " FROM o"
+)
+def elliptic_loss(spark, d):
+    df = lines(spark, d)
+    return rounded(Ellipse(["l_quantity", "l_discount"]).fit(df.where(F.col(LABEL) == "R")).loss(df.withColumn("truth", F.col(LABEL) == "R"), "truth"), 6)
+
+
+@query(
+    """WITH s AS (SELECT count(*) AS n, avg(s_acctbal) AS m1, avg(s_nationkey) AS m2, var_samp(s_acctbal) AS a, covar_samp(s_acctbal, s_nationkey) AS b, var_samp(s_nationkey) AS c FROM supplier),
+o AS (SELECT sqrt(((s_acctbal - m1) ** 2 * c - 2 * (s_acctbal - m1) * (s_nationkey - m2) * b + (s_nationkey - m2) ** 2 * a) / (a * c - b * b)) AS d FROM supplier, s),
+k AS (SELECT unnest(range(1, n // 4 + 1)) AS k, n FROM s)
+SELECT k::INT AS expected, (SELECT count(*) FROM o WHERE d > sqrt(-2 * ln(k / n::DOUBLE))) AS observed, round(k - 2 * sqrt(k * (1 - k / n::DOUBLE)), 4) + 0.0 AS low, round(k + 2 * sqrt(k * (1 - k / n::DOUBLE)), 4) + 0.0 AS high FROM k"""
+)
+def elliptic_extremes(spark, d):
+    df = table(spark, d, "supplier")
+    two = ["s_acctbal", "s_nationkey"]
+    return rounded(Ellipse(two).fit(df).extremes(df, df.count()))
+
+
 @query(_robust_ellipse_sql())
 def elliptic_robust(spark, d):
     df = lines(spark, d)
@@ -693,10 +812,31 @@ def group_folds(spark, d):
 def corrected_t_stat(spark, d):
     s = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("repeat"), (F.col("l_partkey") % 4).alias("fold")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
     scores = s.select("repeat", "fold", F.explode(F.array(F.struct(F.lit("a").alias("estimator"), F.col("a").alias("score")), F.struct(F.lit("b").alias("estimator"), F.col("b").alias("score")))).alias("x")).select("repeat", "fold", "x.*")
-    summary = comparison.paired_summary(scores, "a", "b")
-    share = 5 / F.col("n")
-    t = F.col("mean_diff") / F.sqrt((1 / F.col("n") + share / (1 - share)) * F.col("var_diff"))
-    return rounded(summary.select("n", "mean_a", "mean_b", "mean_diff"), 6).join(rounded(summary.select("n", t.alias("t")), 3), "n")
+    summary = comparison.with_corrected_t(comparison.paired_summary(scores, "a", "b"), 5)
+    return rounded(summary.select("n", "mean_a", "mean_b", "mean_diff"), 6).join(rounded(summary.select("n", "t"), 3), "n")
+
+
+@query(
+    "WITH s AS (SELECT l_suppkey % 5 AS r, l_partkey % 4 AS f, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem GROUP BY ALL), l AS (SELECT 'a' AS estimator, a AS v FROM s UNION ALL SELECT 'b', b FROM s) SELECT estimator, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, (row_number() OVER (ORDER BY avg(v) DESC, estimator))::INT AS place FROM l GROUP BY estimator"
+)
+def ranked_scores(spark, d):
+    s = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("repeat"), (F.col("l_partkey") % 4).alias("fold")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
+    return rounded(comparison.ranked(s.select("repeat", "fold", F.expr("stack(2, 'a', a, 'b', b) AS (estimator, score)"))), 6)
+
+
+def _far_apart_sql(n: int) -> str:
+    """One column: the farthest from the mean, then each time the farthest from all before; ties to the least key."""
+    parts = ["x AS (SELECT s_suppkey, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER () AS v FROM supplier)", "c0 AS (SELECT s_suppkey, v FROM x ORDER BY abs(v) DESC, s_suppkey LIMIT 1)"]
+    for k in range(1, n):
+        near = ", ".join(f"abs(x.v - (SELECT v FROM c{j}))" for j in range(k))
+        gone = ", ".join(f"(SELECT s_suppkey FROM c{j})" for j in range(k))
+        parts.append(f"c{k} AS (SELECT s_suppkey, v FROM x WHERE s_suppkey NOT IN ({gone}) ORDER BY {f'least({near})' if k > 1 else near} DESC, s_suppkey LIMIT 1)")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT s_suppkey, {k} AS place FROM c{k}" for k in range(n))
+
+
+@query(_far_apart_sql(8))
+def kennard_stone(spark, d):
+    return comparison.kennard_stone(table(spark, d, "supplier"), ["s_acctbal"], "s_suppkey", 8)
 
 
 @query()
@@ -733,6 +873,17 @@ def edited_neighbours(spark, d):
     return rebalance.edited_neighbours(suppliers(spark, d), ["s_acctbal"], "cls", "s_suppkey").select("s_suppkey", "cls")
 
 
+@query(
+    """WITH s AS (SELECT s_suppkey, s_acctbal AS x, s_suppkey % 2 AS cls FROM supplier), n AS (SELECT a.s_suppkey, a.cls, b.cls AS vote, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.x - b.x), b.s_suppkey::VARCHAR) AS k FROM s a JOIN s b ON a.s_suppkey <> b.s_suppkey),
+g AS (SELECT s_suppkey FROM n WHERE k <= 3 GROUP BY s_suppkey HAVING count(*) FILTER (vote = cls) < 2)
+SELECT s_suppkey::VARCHAR AS s_suppkey, cls::VARCHAR AS cls, round(x, 4) AS s_acctbal FROM s WHERE s_suppkey NOT IN (SELECT s_suppkey FROM g)"""
+)
+def scaled_smote_enn_balanced(spark, d):
+    """Two classes of the same size, to which SMOTE adds nothing: what the scaled neighbours leave."""
+    df = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_suppkey") % 2).cast("string").alias("cls"))
+    return rounded(rebalance.scaled_smote_enn(df, ["s_acctbal"], "cls", "s_suppkey", kind="mode").select("s_suppkey", "cls", "s_acctbal"))
+
+
 @query(
     """WITH s AS (SELECT s_suppkey AS k, s_acctbal AS x, s_nationkey % 3 AS c FROM supplier), n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
 p AS (SELECT a.k, a.c, b.c AS d, sum((a.x - b.x) ** 2) / (CASE WHEN a.c = b.c THEN nullif(n.n - 1, 0) ELSE n.n END) AS v FROM s a CROSS JOIN s b JOIN n ON n.c = b.c GROUP BY a.k, a.c, b.c, n.n),
@@ -751,3 +902,49 @@ def elbow(spark, d):
 @query("SELECT i AS step, round(0.001 + 0.005 * greatest(0, 1 - abs(i / 8.0 - 2 * floor(1 + i / 16.0) + 1)) / 2 ** (floor(1 + i / 16.0) - 1), 7) AS rate FROM (SELECT unnest(range(0, 50)) AS i)")
 def cyclical_rate(spark, d):
     return rounded(spark.range(50).select(F.col("id").alias("step"), explain.cyclical_rate(F.col("id"), 0.001, 0.006, 8, "triangular2").alias("rate")), 7)
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT i, 1e-4 * 1.2 ** i AS rate, 0.2 + (i - 30) ** 2 / 500.0 AS loss FROM (SELECT unnest(range(0, 45)) AS i)),
+m AS (SELECT -1::BIGINT AS i, 0::DOUBLE AS m, NULL::DOUBLE AS rate UNION ALL SELECT r.i, 0.98 * m.m + 0.02 * r.loss, r.rate FROM m JOIN r ON r.i = m.i + 1),
+l AS (SELECT i, rate, m / (1 - 0.98 ** (i + 1)) AS loss FROM m WHERE i >= 0), f AS (SELECT *, loss - lag(loss) OVER (ORDER BY i) AS fall FROM l), t AS (SELECT arg_min(i, loss) AS i FROM f)
+SELECT round(arg_min(rate, coalesce(fall, 0)), 7) AS base, round(max(rate), 7) AS top FROM f WHERE i <= (SELECT i FROM t)"""
+)
+def rate_pick(spark, d):
+    sweep = spark.range(45).select("id", (1e-4 * F.pow(F.lit(1.2), "id")).alias("rate"), (0.2 + F.pow(F.col("id") - 30, 2) / 500).alias("loss"))
+    return rounded(explain.pick_rates(sweep, "id", "rate", "loss"), 7)
+
+
+CAM_SQL = """WITH l AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1) // 8 AS p, (generate_subscripts(embedding, 1) - 1) % 8 AS c, unnest(embedding)::DOUBLE AS v FROM embeddings),
+g AS (SELECT vec_id, p AS c, {weight} AS g FROM l GROUP BY vec_id, p), r AS (SELECT l.vec_id, l.p, greatest(0, sum({product})) AS v FROM l JOIN {with} GROUP BY l.vec_id, l.p)
+SELECT vec_id, p::BIGINT AS p, round(v / nullif(max(v) OVER (PARTITION BY vec_id), 0), 5) + 0.0 AS v FROM r"""
+
+
+def cam(spark, d, elementwise: bool) -> DataFrame:
+    """Eight places of eight channels; the gradients are the same numbers, places and channels exchanged."""
+    at = lambda i: F.col("embedding")[i].cast("double")
+    e = table(spark, d, "embeddings")
+    one, two = (F.array(*[F.array(*[at(8 * p + c if k == 0 else 8 * c + p) for c in range(8)]) for p in range(8)]) for k in (0, 1))
+    out = e.select("vec_id", F.posexplode(explain.activation_map(one, two, elementwise)).alias("p", "v"))
+    return rounded(out.withColumn("p", F.col("p").cast("bigint")), 5)
+
+
+@query(CAM_SQL.replace("{weight}", "avg(v)").replace("{product}", "l.v * g.g").replace("{with}", "g ON g.vec_id = l.vec_id AND g.c = l.c"))
+def activation_map(spark, d):
+    return cam(spark, d, False)
+
+
+@query(CAM_SQL.replace("{weight}", "avg(v)").replace("{product}", "l.v * t.v").replace("{with}", "l t ON t.vec_id = l.vec_id AND t.p = l.c AND t.c = l.p"))
+def activation_map_elementwise(spark, d):
+    return cam(spark, d, True)
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding[1:24]::DOUBLE[] AS x, embedding[25:32]::DOUBLE[] AS m FROM embeddings), p AS (SELECT vec_id, x, m, unnest(range(0, 24)) AS i FROM e),
+q AS (SELECT *, i * 7 / 23.0 AS y FROM p), u AS (SELECT *, m[floor(y)::INT + 1] + (m[least(7, floor(y)::INT + 1) + 1] - m[floor(y)::INT + 1]) * (y - floor(y)) AS up FROM q)
+SELECT vec_id, i, round(x[i + 1], 5) + 0.0 AS value, round((up - list_min(m)) / (list_max(m) - list_min(m)), 5) + 0.0 AS color FROM u"""
+)
+def color_series(spark, d):
+    part = lambda a, n: F.transform(F.slice("embedding", a, n), lambda v: v.cast("double"))
+    out = explain.color_table(table(spark, d, "embeddings"), "vec_id", part(1, 24), part(25, 8), 24)
+    return rounded(out.withColumn("i", F.col("i").cast("bigint")), 5)
