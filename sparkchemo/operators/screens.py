@@ -296,3 +296,47 @@ def least_label_entropy(df: DataFrame, clusters: dict[int, list[str]], labels: d
             now = entropy(chosen)
         best = min(best or (now, chosen), (now, chosen))
     return best[1]
+
+
+def shadows(df: DataFrame, columns: Sequence[str], seed: int) -> DataFrame:
+    """``df`` with s_<column>: values of other rows, each column moved by another number of places in a random order.
+
+    The order is cut into random buckets of about 50,000 rows, within which the last rows'
+    values come to the first ones.
+    """
+    buckets = max(1, df.count() // 50_000)
+    rows = df.withColumn("_u", F.rand(seed)).withColumn("_b", F.floor(F.rand(seed + 1) * buckets))
+    order, whole = Window.partitionBy("_b").orderBy("_u"), Window.partitionBy("_b")
+    placed = cut_lineage(rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(whole)}))
+    back = placed.withColumns({"_at": F.explode(F.sequence(F.lit(1), F.lit(len(columns))))})
+    own = F.coalesce(*[F.when(F.col("_at") == k + 1, F.col(c)) for k, c in enumerate(columns)])
+    moved = back.select("_b", F.pmod(F.col("_i") + F.col("_at"), F.col("_n")).alias("_i"), "_at", own.alias("_v"))
+    wide = moved.groupBy("_b", "_i").agg(*[F.max(F.when(F.col("_at") == k + 1, F.col("_v"))).alias(f"s_{c}") for k, c in enumerate(columns)])
+    return placed.join(wide, ["_b", "_i"]).drop("_b", "_i", "_u", "_n")
+
+
+def boruta(df: DataFrame, columns: Sequence[str], label: str, trials: int = 20, alpha: float = 0.05, seed: int = 0, trees: int = 40) -> DataFrame:
+    """(feature, hits, trials, status): columns whose importance in a random forest beats that of every shadow.
+
+    In each trial a forest of ml sees the columns and their shadows, which cannot tell the
+    classes; a hit is an importance above the greatest of a shadow. Too many hits to be a fair
+    coin's make a column 'accepted', too few 'rejected' (binomial, corrected for the number of
+    columns), else it is 'tentative'.
+    """
+    from math import comb
+
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    rows = StringIndexer(inputCol=label, outputCol="_y").fit(df).transform(df.select(label, *columns))
+    assembler = VectorAssembler(inputCols=[*columns, *[f"s_{c}" for c in columns]], outputCol="_x")
+    hits = dict.fromkeys(columns, 0)
+    for t in range(trials):
+        mixed = assembler.transform(shadows(rows, columns, seed + 2 * t))
+        found = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=trees, seed=seed + t).fit(mixed).featureImportances.toArray()
+        for c, v in zip(columns, found, strict=False):
+            hits[c] += int(v > found[len(columns) :].max())
+    tail = lambda k: sum(comb(trials, i) for i in range(k, trials + 1)) / 2**trials
+    limit = alpha / len(columns)
+    status = {c: "accepted" if tail(h) < limit else "rejected" if tail(trials - h) < limit else "tentative" for c, h in hits.items()}
+    return df.sparkSession.createDataFrame([(c, h, trials, status[c]) for c, h in hits.items()], "feature string, hits int, trials int, status string")

@@ -528,8 +528,16 @@ def ddsimca_loss(spark, d):
     return rounded(PCA(FEATURES, 2, scale=True, capped=True).fit(df.where(F.col(LABEL) == "R")).loss(df.withColumn("truth", F.col(LABEL) == "R"), "truth"), 6)
 
 
-@query()
+@query(
+    model_sql.pca(ALL, ALL, FEATURES, 2, cuts=model_sql.LIMITS)
+    + ", cd AS (SELECT greatest(round(2 * avg(h) ** 2 / var_samp(h)), 1) AS nh, avg(h) AS h0, greatest(round(2 * avg(q) ** 2 / var_samp(q)), 1) AS nq, avg(q) AS q0 FROM ht), "
+    + model_sql.chi2("y", f"SELECT v.id, v.p, nh + nq AS n FROM (SELECT v.id, v.p FROM s, LATERAL (VALUES {model_sql.LIMITS}) AS v(id, p)) v, cd")
+    + f""", o AS (SELECT nh * h / h0 + nq * q / q0 AS c FROM ht, cd)
+SELECT c < (SELECT x FROM y WHERE id = 0) AS inlier, c >= (SELECT x FROM y WHERE id = 1) AS outlier, count(*) AS n FROM o
+WHERE NOT EXISTS (SELECT 1 FROM f WHERE distance >= {model_sql.OUT}) GROUP BY ALL"""
+)
 def ddsimca_clean(spark, d):
+    """No line is an outlier of the first fit (the SQL gives nothing otherwise), so cleaning ends with its classical fit."""
     df = lines(spark, d)
     m = PCA(FEATURES, 2, scale=True, capped=True, clean=True).fit(df)
     return m.score(df).groupBy("inlier", "outlier").agg(F.count(F.lit(1)).alias("n"))

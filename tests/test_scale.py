@@ -137,3 +137,13 @@ def test_colors_by_nearest_place_and_bounds(spark):
     df = spark.createDataFrame([(1, [5.0, 6.0, 7.0, 8.0, 9.0], [0.0, 1.0, 4.0])], "id int, s array<double>, m array<double>")
     rows = explain.color_table(df, "id", F.col("s"), F.col("m"), 5, interpolate=False, bounds=(0, 8)).orderBy("i").collect()
     assert [r["color"] for r in rows] == [0.0, 0.125, 0.125, 0.5, 0.5] and [r["value"] for r in rows] == [5.0, 6.0, 7.0, 8.0, 9.0]
+
+
+def test_boruta_takes_what_tells_the_classes(spark):
+    rng = np.random.default_rng(7)
+    rows = [("ab"[k % 2], float(k % 2 + 0.3 * rng.normal()), float(rng.normal()), float(rng.normal())) for k in range(120)]
+    df = spark.createDataFrame(rows, "y string, good double, n1 double, n2 double")
+    moved = screens.shadows(df, ["good", "n1"], 3)
+    assert sorted(r["s_good"] for r in moved.collect()) == sorted(r[1] for r in rows) and moved.where("s_good = good").count() == 0
+    got = {r["feature"]: r["status"] for r in screens.boruta(df, ["good", "n1", "n2"], "y", trials=7, trees=12).collect()}
+    assert got["good"] == "accepted" and "accepted" not in (got["n1"], got["n2"])
