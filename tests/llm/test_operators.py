@@ -598,3 +598,77 @@ def test_quality_sample_skips_a_long_text_and_falls_back_to_the_base_rate(spark,
     for marked, base in ((labels.where("quality = 1"), 21 / 22), (labels.limit(0), 0.5)):
         scores = [r["score"] for r in quality_model.score_quality(docs, quality_model.fit(docs, marked)).collect()]
         assert len(scores) == 40 and scores == pytest.approx([base] * 40)
+
+
+def test_parse_of_a_text_longer_than_a_block():
+    """Greedy phrases, begun anew after each BLOCK symbols for all languages alike."""
+    rng = np.random.default_rng(11)
+    samples = {"p": prose(1, 300).encode(), "q": prose(2, 300)[::-1].encode()}
+    parser = language.CrossParser.fit(samples)
+    text = bytes(rng.choice(list(b"abcdehinorstw 12"), 700)) + prose(1, 200).encode()
+    data = language.spelled(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))[0].tobytes()
+
+    def greedy(sample):
+        known, n = language.spelled(np.frombuffer(sample, np.uint8), np.zeros(1, np.int64))[0].tobytes(), 0
+        for a in range(0, len(data), language.BLOCK):
+            t, at = data[a : a + language.BLOCK], 0
+            while at < len(t):
+                size = 1
+                while at + size < len(t) and t[at : at + size + 1] in known:
+                    size += 1
+                at, n = at + size, n + 1
+        return n
+
+    got = parser.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0, 1)
+    assert got[:, 0].tolist() == [greedy(s) for _, s in sorted(samples.items())] and len(data) > 2 * language.BLOCK
+
+
+def test_language_sample_takes_whole_texts(spark):
+    texts = {k: prose(k, 20 + 15 * k) for k in range(20)}
+    docs = spark.createDataFrame([(k, t, "x") for k, t in texts.items()] + [(99, prose(99, 3000), "x"), (100, "only a long one " * 400, "y")], "doc_id bigint, text string, lang string")
+    got = language.fit(docs, train_bytes=3000)
+    lines = got["x"].decode().strip("\n").split("\n")
+    assert set(got) == {"x"} and len(got["x"]) <= 3000 and len(lines) > 2 and set(lines) <= set(texts.values())
+
+
+def test_best_step_equals_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        n, limit = rng.integers(1, 30, 14), 60
+        place = rng.integers(0, 5, 14)
+        fill = np.bincount(place, n, 5).astype(np.int64)
+        if (fill > limit).any() or not fill[0]:
+            continue
+        rise = 0
+        own = np.flatnonzero(place == 0).tolist()
+        gives = [(k,) for k in own] + list(itertools.combinations(own, 2))
+        for give in gives:
+            for other in [b for b in range(1, 5) if 0 < fill[b] < limit]:
+                for take in [(), *[(k,) for k in np.flatnonzero(place == other)]]:
+                    gain = int(n[list(give)].sum() - n[list(take)].sum())
+                    if 0 < gain <= limit - fill[other]:
+                        rise = max(rise, gain * int(fill[other] - fill[0] + gain))
+        step = packing._best_step(0, place, n, fill, limit)
+        assert (step is None) == (rise == 0)
+        if step:
+            gain = int(n[step[0]].sum() - n[step[1]].sum())
+            assert gain * int(fill[step[2]] - fill[0] + gain) == rise and gain <= limit - fill[step[2]]
+
+
+def test_scores_of_rows_that_share_an_id(spark):
+    """Each row by its own text, also where words and runs are joined."""
+    texts = [prose(1, 80), prose(2, 60), prose(1, 80), None]
+    rows = spark.createDataFrame([(7, t) for t in texts], "doc_id bigint, text string")
+    alone = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    train = alone.where("doc_id < 2")
+    shape = lambda df: sorted(tuple(r[c] for c in ("n_tokens", "n_known", "train_tokens")) + (round(r["base_score"], 9), round(r["score"], 9)) for r in df.collect())
+    for limit in (1 << 20, 5):
+        assert shape(lm_score.score_texts(rows, train, limit=limit)) == shape(lm_score.score_texts(alone, train, limit=limit))
+
+
+def test_fences_on_both_sides(spark):
+    """Words far longer or shorter than the group's, and a text full of symbols, are outside; a group of one takes the corpus's fences."""
+    texts = [prose(k, 80) for k in range(60)] + [" ".join("extraordinarily" + w for w in prose(70, 80).split()), " ".join(w[0] + str(k % 10) for k, w in enumerate(prose(71, 80).split())), " # ".join(prose(72, 80).split())]
+    rows = [(k, t, "en", "one" if k == 5 else "s") for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert {k for k, (failed, kept) in got.items() if not failed and not kept} == {60, 62} | ({61} if not got[61][0] else set())
