@@ -21,9 +21,10 @@ def test_quantiles_by_narrowing(spark, few):
     columns["d"] = np.full(500, 7.0)
     df = spark.createDataFrame([tuple(float(v[k]) for v in columns.values()) for k in range(500)] + [(None, float("nan"), None, None)], "a double, b double, c double, d double")
     ranks = {0, 1, 249, 250, 499}
-    got = order_statistics(df, {c: F.col(c) for c in columns}, lambda n: ranks, bins=8, few=few)
-    for c, v in columns.items():
-        assert got[c] == (500, {k: np.sort(v)[k] for k in ranks})
+    for near in ((), (0.0, 0.5, 1.0), (0.25,)):
+        got = order_statistics(df, {c: F.col(c) for c in columns}, lambda n: ranks, near, bins=8, few=few)
+        for c, v in columns.items():
+            assert got[c] == (500, {k: np.sort(v)[k] for k in ranks})
     q = quantiles(df, {"a": F.col("a")}, [0.1, 0.5, 0.77])["a"]
     assert q == pytest.approx(np.quantile(columns["a"], [0.1, 0.5, 0.77]).tolist(), rel=1e-12)
     assert quantiles(df.limit(0), {"a": F.col("a")}, [0.5]) == {"a": [None]}
