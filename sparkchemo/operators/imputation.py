@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import linear, uniform
-from sparkchemo.functions.lineage import cut_lineage
-from sparkchemo.operators.moments import moments
+from sparkchemo.operators.moments import Moments, grouped_moments
 from sparkchemo.operators.projection import kernel_pls, principal_axes
 
 
@@ -77,14 +76,34 @@ class LowRankModel:
         return made.agg((-total).alias("score"))
 
 
+@dataclass(frozen=True)
+class _Pattern:
+    """Rows that lack the same columns: moments of what they have (0 elsewhere, y last), and their filled values as ``a`` z + ``b``."""
+
+    gone: np.ndarray
+    seen: Moments
+    a: np.ndarray
+    b: np.ndarray
+
+    def filled(self) -> Moments:
+        p = len(self.b)
+        t = np.eye(len(self.seen.mean))
+        t[:p, :p] = self.a
+        mean = t @ self.seen.mean
+        mean[:p] += self.b
+        return Moments(self.seen.columns, self.seen.n, mean, t @ self.seen.products @ t.T)
+
+
 @dataclass(frozen=True)
 class LowRankImputer:
     """Mean fill, then rounds of {standardise, low-rank fit, rebuild the missing values} until they settle.
 
     ``y`` None fits principal axes (deviations over n), else PLS directions towards ``y``
-    (deviations over n - 1). A round is one aggregate over the filled rows; the rows
-    themselves are rebuilt by expressions and cut off by a checkpoint in the shared
-    folder every few rounds.
+    (deviations over n - 1). Rounds settle when no value's change differs from the one before
+    by ``tol`` or more. A rebuilt value is a linear function of what its row has, the same for
+    all rows that lack the same columns, so a round needs only the moments of each such
+    pattern, which one aggregate gives; rows are read again only to see that the largest
+    change is small, once the mean square one is.
     """
 
     columns: Sequence[str]
@@ -93,33 +112,53 @@ class LowRankImputer:
     scale: bool = True
     max_rounds: int = 5000
     tol: float = 1e-6
-    checkpoint_every: int = 8
 
     def fit(self, df: DataFrame, marker: float | None = None) -> LowRankModel:
-        flags = df.select(*self.columns, *([self.y] if self.y else []), *[missing(c, marker).alias(f"_was_{c}") for c in self.columns])
-        rows = fill_means(flags, self.columns, marker).withColumns({f"_d_{c}": F.col(c) for c in self.columns})
-        for k in range(1, self.max_rounds + 1):
-            model = self._model(rows, k)
-            made = rows.withColumns({f"_new_{c}": v for c, v in model.reconstruct().items()})
-            new = {c: F.when(F.col(f"_was_{c}"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in self.columns}
-            delta = {c: F.when(F.col(f"_was_{c}"), F.col(f"_new_{c}") - F.col(c)).otherwise(F.lit(0.0)) for c in self.columns}
-            shift = F.greatest(*[F.abs(delta[c] - F.col(f"_d_{c}")) for c in self.columns]) if len(self.columns) > 1 else F.abs(delta[self.columns[0]] - F.col(f"_d_{self.columns[0]}"))
-            any_missing = F.lit(False)
-            for c in self.columns:
-                any_missing = any_missing | F.col(f"_was_{c}")
-            moved = made.where(any_missing).agg(F.max(shift).alias("m")).first()["m"]
-            rows = made.withColumns({**{f"_x_{c}": v for c, v in new.items()}, **{f"_e_{c}": v for c, v in delta.items()}}).select(
-                *([self.y] if self.y else []), *[f"_was_{c}" for c in self.columns], *[F.col(f"_x_{c}").alias(c) for c in self.columns], *[F.col(f"_e_{c}").alias(f"_d_{c}") for c in self.columns]
-            )
-            if k % self.checkpoint_every == 0:
-                rows = cut_lineage(rows)
-            if moved is None or moved < self.tol:
-                return replace(model, rounds=k)
+        columns, p = list(self.columns), len(self.columns)
+        names = [*columns, *([self.y] if self.y else [])]
+        lacks = [missing(c, marker) for c in columns]
+        pattern = F.concat(*[F.when(x, "1").otherwise("0") for x in lacks])
+        z = df.select(pattern.alias("_pattern"), *[F.when(~x, F.col(c)).otherwise(0.0).cast("double").alias(c) for c, x in zip(columns, lacks, strict=True)], *names[p:])
+        groups = {k: m for (k,), m in grouped_moments(z, names, ["_pattern"]).items()}
+        here = {k: np.array([c == "0" for c in k]) for k in groups}
+        count = sum(m.n * here[k] for k, m in groups.items())
+        mean = sum(m.n * m.mean[:p] * here[k] for k, m in groups.items()) / np.maximum(count, 1)
+        state = {k: _Pattern(~here[k], m, np.diag(here[k].astype(float)), np.where(here[k], 0.0, mean)) for k, m in groups.items()}
+        # A change is an affine function of the row too; before the first round the filled values themselves stand for it.
+        change = {k: (s.a, s.b) for k, s in state.items()}
+        for rounds in range(1, self.max_rounds + 1):
+            whole = None
+            for s in state.values():
+                whole = s.filled() if whole is None else whole + s.filled()
+            model = self._model(whole, rounds)
+            g = (model.rebuild @ model.project.T) * np.outer(model.scale, 1 / model.scale)
+            after, moved = {}, {}
+            for k, s in state.items():
+                a, b = np.where(s.gone[:, None], g @ s.a, s.a), np.where(s.gone, g @ (s.b - model.mean) + model.mean, s.b)
+                after[k] = replace(s, a=a, b=b)
+                moved[k] = (a - s.a, b - s.b)
+            turn = {k: ((moved[k][0] - change[k][0])[s.gone], (moved[k][1] - change[k][1])[s.gone]) for k, s in state.items() if s.gone.any()}
+            state, change = after, moved
+            size = max((self._root_mean_square(d, e, groups[k], p) for k, (d, e) in turn.items()), default=0.0)
+            if size < self.tol and (not turn or self._largest(z, columns, turn) < self.tol):
+                return model
         raise RuntimeError(f"the imputer did not settle in {self.max_rounds} rounds")
 
-    def _model(self, rows: DataFrame, k: int) -> LowRankModel:
+    @staticmethod
+    def _root_mean_square(d: np.ndarray, e: np.ndarray, m: Moments, p: int) -> float:
+        return float(np.sqrt(((d @ m.mean[:p] + e) ** 2 + np.einsum("ij,jk,ik->i", d, m.products[:p, :p], d) / m.n).max()))
+
+    @staticmethod
+    def _largest(z: DataFrame, columns: list[str], turn: dict[str, tuple[np.ndarray, np.ndarray]]) -> float:
+        """The largest absolute value of d z + e over all rows, d and e by pattern."""
+        rows = [(k, d.tolist(), e.tolist()) for k, (d, e) in turn.items()]
+        table = z.sparkSession.createDataFrame(rows, "_pattern string, d array<array<double>>, e array<double>")
+        x = z.select("_pattern", F.array(*columns).alias("x")).join(table, "_pattern")
+        dot = lambda row: F.aggregate(F.zip_with(row, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return x.agg(F.max(F.array_max(F.zip_with("d", "e", lambda row, e: F.abs(dot(row) + e)))).alias("m")).first()["m"]
+
+    def _model(self, m: Moments, k: int) -> LowRankModel:
         p = len(self.columns)
-        m = moments(rows, [*self.columns, *([self.y] if self.y else [])])
         s = np.sqrt(np.diag(m.products)[:p] / (m.n - (1 if self.y else 0))) if self.scale else np.ones(p)
         xx = m.products[:p, :p] / np.outer(s, s)
         if self.y:
