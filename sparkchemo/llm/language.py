@@ -50,7 +50,8 @@ def spelled(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out = SYMBOLS[data]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != GAP) | (out[:-1] != GAP)
-    return out[keep], np.concatenate([[0], np.cumsum(keep)])[edges]
+    sizes = [np.count_nonzero(keep[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return out[keep], int(np.count_nonzero(keep[: edges[0]])) + np.cumsum([0, *sizes])
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:

@@ -21,9 +21,13 @@ def blocks(data: np.ndarray, edges: np.ndarray, size: int, lead: int, pad: int)
     count = -(-length // size)
     text = np.repeat(np.arange(len(length)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    begin = edges[:-1][text] + nth * size
-    at = begin[None, :] + np.arange(-lead, size)[:, None]
-    inside = (at >= edges[:-1][text]) & (at < edges[1:][text])
-    out = np.full(at.shape, pad, np.uint8)
-    out[inside] = data[at[inside]]
+    flat = np.full(len(text) * size, pad, np.uint8)
+    for a, b, k in zip(edges[:-1].tolist(), edges[1:].tolist(), ((np.cumsum(count) - count) * size).tolist(), strict=True):
+        flat[k : k + b - a] = data[a:b]
+    out = np.full((lead + size, len(text)), pad, np.uint8)
+    out[lead:] = flat.reshape(-1, size).T
+    later = np.flatnonzero(nth > 0)  # blocks with symbols of their text before them
+    for k in range(min(lead, len(flat))):
+        own = later[nth[later] * size >= lead - k]
+        out[k, own] = flat[own * size - lead + k]
     return out, text

@@ -32,18 +32,29 @@ SLICE = 1 << 19
 THRESHOLD = 0.3
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks [n, CHUNK] padded with 0, each one's text); an empty text has one empty chunk."""
+def chunk_places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each chunk begins, its text); an empty text has one chunk."""
     length = np.diff(offsets)
     hop = CHUNK - OVERLAP
     count = np.maximum(1, -(-(length - OVERLAP) // hop))
     text = np.repeat(np.arange(len(length)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    at = (offsets[:-1][text] + nth * hop)[:, None] + np.arange(CHUNK)
+    return offsets[:-1][text] + nth * hop, text
+
+
+def cut_chunks(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The chunks [n, CHUNK] that begin there, padded with 0 beyond their text."""
+    at = begin[:, None] + np.arange(CHUNK)
     inside = at < offsets[1:][text][:, None]
     out = np.zeros(at.shape, np.uint8)
     out[inside] = data[at[inside]]
-    return out, text
+    return out
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all chunks, each one's text)."""
+    begin, text = chunk_places(offsets)
+    return cut_chunks(data, offsets, begin, text), text
 
 
 def cipher(rng: np.random.Generator) -> bytes:
@@ -143,11 +154,11 @@ class ByteNet:
         return self
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        grid, text = chunks(data, offsets)
+        begin, text = chunk_places(offsets)
         n = len(offsets) - 1
         p, logit = self.p, []
-        for a in range(0, len(grid), 256):
-            raw, _ = self.respond(grid[a : a + 256])
+        for a in range(0, len(text), 256):
+            raw, _ = self.respond(cut_chunks(data, offsets, begin[a : a + 256], text[a : a + 256]))
             top = raw.reshape(-1, (CHUNK - WIDTH) // STEP + 1, FILTERS).max(1) + p["bias"]
             logit.append(np.maximum(np.maximum(top, 0) @ p["hidden"] + p["hidden_bias"], 0) @ p["out"] + p["out_bias"][0])
         logit = np.concatenate(logit)

@@ -19,6 +19,8 @@ TO_LOWER[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit number per byte, for polynomial hashes modulo 2**64.
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at a time, about 30 bytes of memory each.
+STRETCH = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -106,12 +108,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash per word, the same for the same bytes everywhere."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODES[self.data] * powers(BASE, n), out=sums[1:])
-        # The sum over a word, moved to place 0.
-        got = (sums[self.end] - sums[self.start]) * powers(BASE_INVERSE, n + 1)[self.start]
-        return mix(got ^ (self.end - self.start).astype(np.uint64))
+        out = np.zeros(len(self.start), np.uint64)
+        k = 0
+        while k < len(out):  # runs of words of at most STRETCH bytes, or one longer word
+            base = int(self.start[k])
+            j = max(k + 1, int(np.searchsorted(self.end, base + STRETCH, "right")))
+            start, end = self.start[k:j] - base, self.end[k:j] - base
+            n = int(end[-1])
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(BYTE_CODES[self.data[base : base + n]] * powers(BASE, n), out=sums[1:])
+            # The sum over a word, moved to place 0.
+            got = (sums[end] - sums[start]) * powers(BASE_INVERSE, n + 1)[start]
+            out[k:j] = mix(got ^ (end - start).astype(np.uint64))
+            k = j
+        return out
 
 
 _ROLES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)

@@ -672,3 +672,23 @@ def test_fences_on_both_sides(spark):
     rows = [(k, t, "en", "one" if k == 5 else "s") for k, t in enumerate(texts)]
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
     assert {k for k, (failed, kept) in got.items() if not failed and not kept} == {60, 62} | ({61} if not got[61][0] else set())
+
+
+def test_kernels_on_texts_longer_than_a_stretch(monkeypatch):
+    """Hashes and blocks do not depend on how a long text is cut for the work."""
+    from sparkchemo.llm import lockstep, textkit
+
+    texts = [b"", prose(1, 300).encode(), b"x", b"a" * 500 + b" b", b" \n"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = Words(data, offsets, 0, len(texts)).hashes()
+    monkeypatch.setattr(textkit, "STRETCH", 64)
+    assert np.array_equal(Words(data, offsets, 0, len(texts)).hashes(), want)
+    for lead in (0, 3, 40):
+        grid, text = lockstep.blocks(data, offsets, 32, lead, 255)
+        assert np.bincount(text, minlength=5).tolist() == [-(-len(t) // 32) for t in texts]
+        first = np.searchsorted(text, text)
+        for k in range(len(text)):
+            own, at = texts[text[k]], (k - first[k]) * 32
+            row = [own[i] if 0 <= i < len(own) else 255 for i in range(at - lead, at + 32)]
+            assert grid[:, k].tolist() == row
+
