@@ -245,5 +245,5 @@ def test_group_folds_are_even_and_kennard_stone_starts_far(spark, df):
     for r in comparison.group_folds(g, "g", 2).collect():
         got[r["fold"]] += r["n"]
     assert sorted(got.values()) == [9, 12]
-    order = comparison.kennard_stone(df, C, "id")
-    assert sorted(order) == list(range(120))
+    order = [r["id"] for r in comparison.kennard_stone(df, C, "id", 12).orderBy("place").collect()]
+    assert len(set(order)) == 12 and set(order) < set(range(120))
