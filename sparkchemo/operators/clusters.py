@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import total
 
+#: Clusters whose moments are broadcast at most.
+FEW = 10_000
+
 
 def elbow(df: DataFrame, columns: Sequence[str], clusters: Sequence[int] = range(1, 11), seed: int = 0) -> DataFrame:
     """(k, inertia) of k-means for each k; one cluster is the total sum of squares."""
@@ -29,13 +32,14 @@ def elbow(df: DataFrame, columns: Sequence[str], clusters: Sequence[int] = range
     return df.sparkSession.createDataFrame(out, "k int, inertia double")
 
 
-def silhouettes(df: DataFrame, columns: Sequence[str], cluster: str, key: str, blocks: int = 8) -> DataFrame:
+def silhouettes(df: DataFrame, columns: Sequence[str], cluster: str, key: str) -> DataFrame:
     """(key, cluster, silhouette) by squared distances, which need each cluster's moments only: no pairs of rows.
 
     The mean squared distance from x to a cluster is |x|^2 - 2 x.mean + mean(|y|^2).
     """
     sizes = df.groupBy(F.col(cluster).alias("_c")).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in columns], F.avg(total([F.col(c) * F.col(c) for c in columns])).alias("_s"))
-    each = df.select(key, cluster, *columns).join(F.broadcast(sizes))  # a row per cluster, of which there are few
+    # A row per cluster: broadcast if there are few, else the planner decides.
+    each = df.select(key, cluster, *columns).crossJoin(F.broadcast(sizes) if sizes.count() <= FEW else sizes)
     d = total([F.col(c) * F.col(c) for c in columns]) - 2 * total([F.col(c) * F.col(f"_m_{c}") for c in columns]) + F.col("_s")
     own = F.col(cluster) == F.col("_c")
     d = F.when(own, F.try_divide(d * F.col("_n"), F.col("_n") - 1)).otherwise(d)
