@@ -10,36 +10,27 @@ from pyspark.sql import functions as F
 
 #: Bins of a pass, and values of an interval that may come to the driver.
 BINS, FEW = 1024, 2048
-#: Half the width, in shares, of the interval that a sketch of four times this accuracy gives.
-SLACK = 3e-4
 #: Infinite values count as this one in a pass, which keeps the listing apart.
 MOST = 1.7e308
 
 
-def order_statistics(df: DataFrame, values: dict[str, Column], ranks: Callable[[int], set[int]], near: Sequence[float] = (), bins: int = BINS, few: int = FEW) -> dict[str, tuple[int, dict[int, float]]]:
+def order_statistics(df: DataFrame, values: dict[str, Column], ranks: Callable[[int], set[int]], bins: int = BINS, few: int = FEW) -> dict[str, tuple[int, dict[int, float]]]:
     """name -> (n, {rank: value}) of each column's values that are not null; ``ranks`` gives the ranks (from 0) for n values.
 
-    The first pass takes ends and numbers, and from a sketch a narrow interval about each of
-    the shares ``near``. A further pass counts, for each interval that holds a wanted rank,
-    the values below and inside by bin; the bin with the rank is the next interval. An
-    interval of at most about ``few`` values is listed instead. What is shuffled and
-    collected in a pass is about ``bins`` small rows for each interval.
+    The first pass takes ends and numbers. A further pass counts, for each interval that
+    holds a wanted rank, the values below and inside by bin; the bin with the rank is the
+    next interval. An interval of at most ``few`` values is listed instead. What is shuffled
+    and collected in a pass is about ``bins`` small rows for each interval.
     """
     x = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
     x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in x.columns])
     names = list(values)
-    about = [min(1.0, max(0.0, q + d)) for q in near for d in (-SLACK, SLACK)]
-    sketch = {"about": lambda c: F.percentile_approx(c, about, round(4 / SLACK))} if near else {}
-    row = x.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in ({"lo": F.min, "hi": F.max, "n": F.count} | sketch).items()]).first()
+    row = x.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
     found: dict[str, tuple[int, dict[int, float]]] = {name: (row[f"n{i}"], {}) for i, name in enumerate(names)}
-    open_: dict[tuple[int, float, float], tuple[int, set[int]]] = {}  # column, lo, hi -> values inside (at a guess), wanted ranks
+    open_: dict[tuple[int, float, float], tuple[int, set[int]]] = {}  # column, lo, hi -> values inside, wanted ranks
     for i in range(len(names)):
-        n = row[f"n{i}"]
-        for k in ranks(n) if n else ():
-            share = k / max(1, n - 1)
-            at = next((j for j, q in enumerate(near) if abs(share - q) * n <= 1), None)
-            ends, inside = ((row[f"lo{i}"], row[f"hi{i}"]), n) if at is None else (tuple(row[f"about{i}"][2 * at : 2 * at + 2]), 2 * SLACK * n + 2)
-            open_.setdefault((i, *ends), (inside, set()))[1].add(k)
+        if row[f"n{i}"]:
+            open_[i, row[f"lo{i}"], row[f"hi{i}"]] = (row[f"n{i}"], ranks(row[f"n{i}"]))
     while open_:
         parts = []
         for at, ((i, lo, hi), (inside, _)) in enumerate(open_.items()):
@@ -56,17 +47,14 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: Callable[[
             counts.setdefault(r["at"], []).append(r)
         after: dict[tuple[int, float, float], tuple[int, set[int]]] = {}
         for at, ((i, _, _), (_, wanted)) in enumerate(open_.items()):
-            left, before = set(wanted), 0
+            before = 0
             for r in sorted(counts.get(at, []), key=lambda r: (not r["under"], r["place"])):
-                own = set() if r["under"] else {k for k in left if before <= k < before + r["n"]}
-                left -= own
+                own = set() if r["under"] else {k for k in wanted if before <= k < before + r["n"]}
                 before += r["n"]
                 if own and r["lo"] == r["hi"]:
                     found[names[i]][1].update(dict.fromkeys(own, r["lo"]))
                 elif own:
                     after.setdefault((i, r["lo"], r["hi"]), (r["n"], set()))[1].update(own)
-            if left:  # a sketch that was off
-                after.setdefault((i, row[f"lo{i}"], row[f"hi{i}"]), (row[f"n{i}"], set()))[1].update(left)
         open_ = after
     return found
 
@@ -74,7 +62,7 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: Callable[[
 def quantiles(df: DataFrame, values: dict[str, Column], qs: Sequence[float]) -> dict[str, list[float | None]]:
     """Each column's quantiles with linear interpolation between the neighbouring ranks; None without values."""
     ends = lambda n, q: (math.floor((n - 1) * q), math.ceil((n - 1) * q))
-    found = order_statistics(df, values, lambda n: {k for q in qs for k in ends(n, q)}, qs)
+    found = order_statistics(df, values, lambda n: {k for q in qs for k in ends(n, q)})
     out: dict[str, list[float | None]] = {}
     for name, (n, at) in found.items():
         out[name] = [at[a] + (at[b] - at[a]) * ((n - 1) * q - a) if n else None for q in qs for a, b in [ends(n, q)]]
@@ -84,5 +72,5 @@ def quantiles(df: DataFrame, values: dict[str, Column], qs: Sequence[float]) ->
 def ordered_quantile(df: DataFrame, value: str, q: float, rule: str = "lower") -> float | None:
     """A quantile by rank: the sorted element at floor((n-1)q), or the middle of it and the next."""
     ends = lambda n: (math.floor((n - 1) * q), math.floor((n - 1) * q) if rule == "lower" else math.ceil((n - 1) * q))
-    n, at = order_statistics(df, {value: F.col(value)}, lambda n: set(ends(n)), [q])[value]
+    n, at = order_statistics(df, {value: F.col(value)}, lambda n: set(ends(n)))[value]
     return sum(at[k] for k in ends(n)) / 2 if n else None
