@@ -46,6 +46,26 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: log2 of the bits of a bitmap of ids (8 MB): with more ids it lets more rows through, and a join decides.
+BITS = 26
+
+
+def let_through(rows: DataFrame, ids: DataFrame, columns: list[str], inside: bool) -> DataFrame:
+    """The ``rows`` that a bitmap of ``ids`` (both with ``columns``) lets through, or with ``inside`` false all others.
+
+    The bitmap has 2 ** BITS bits at any size, so it can be broadcast; those let through are
+    all that are asked for, and a few others.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(1 << BITS))
+    bits = ids.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 32768).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_slot") % 32768).alias("_bits"))
+    bits = stored(bits, "bitmap")
+    placed = rows.withColumn("_slot", slot).withColumn("_bucket", F.floor(F.col("_slot") / 32768)).join(F.broadcast(bits), "_bucket", "left")
+    bit = F.col("_slot") % 32768
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return placed.where(has if inside else ~has).select(*rows.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
