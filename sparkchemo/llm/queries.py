@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkchemo.llm import decontaminate, language, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from sparkchemo.llm import decontaminate, language, line_dedup, lm_score, near_dedup, negatives, packing, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
     "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
-ORACLE_SQL = {**url_filter.ORACLE, **decontaminate.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE}
+ORACLE_SQL = {**url_filter.ORACLE, **decontaminate.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE, **negatives.ORACLE}
