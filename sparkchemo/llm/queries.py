@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkchemo.llm import decontaminate, language, line_dedup, lm_score, near_dedup, negatives, packing, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from sparkchemo.llm import decontaminate, language, lexical_search, line_dedup, lm_score, near_dedup, negatives, packing, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lm_scoring": lm_score.op10_lm_scoring,
     "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
-ORACLE_SQL = {**url_filter.ORACLE, **decontaminate.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE, **negatives.ORACLE}
+ORACLE_SQL = {**url_filter.ORACLE, **decontaminate.ORACLE, **quality_rules.ORACLE, **line_dedup.ORACLE, **negatives.ORACLE, **lexical_search.ORACLE}

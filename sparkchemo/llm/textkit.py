@@ -73,18 +73,18 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    r"""The words ``[^\x20\x09-\x0D]+`` of texts i..j-1 of a batch.
+    r"""The words ``[^\x20\x09-\x0D]+`` of texts i..j-1 of a batch; ``gap`` says which bytes lie between words.
 
     ``start``/``end``: byte places in ``data``; ``first[k]``: index of the first word of text k
     (of those here), with one entry more at the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, lower: bool = True, gap: np.ndarray = IS_SPACE):
         a, b = int(offsets[i]), int(offsets[j])
         own = data[a:b]
         self.data = TO_LOWER[own] if lower else own
         inner = np.zeros(b - a + 2, bool)
-        np.logical_not(IS_SPACE[own], out=inner[1:-1])
+        np.logical_not(gap[own], out=inner[1:-1])
         edges = offsets[i : j + 1] - a
         # A word ends where its text ends, also if the next text begins with a word.
         change = inner[1:] != inner[:-1]
