@@ -28,8 +28,8 @@ SHORT_MASKS = {
 LONG = max(SHORT_MASKS) + 1
 #: A leak: in some window of WINDOW aligned tokens (or all of a shorter item) this percentage is equal.
 WINDOW, PERCENT = 16, 75
-#: Benchmark seeds that are broadcast at most (each about 40 bytes).
-BROADCAST_SEEDS = 1_000_000
+#: Benchmark seeds that are broadcast at most (each about 40 bytes), and seeds with their neighbourhoods (about 400 bytes).
+BROADCAST_SEEDS, BROADCAST_PLACES = 1_000_000, 100_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -71,22 +71,27 @@ def seeds(rows: DataFrame, lengths: list[int], own: bool = False) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*found))).where(F.col("seed").isNotNull())
 
 
-def overlap(doc: Column, item: Column, at: Column, pos: Column, window: int) -> Column:
-    """Around a hit (document place ``at``, item place ``pos``): the most equal tokens in a window.
+def neighbourhood(tokens: Column, at: Column, window: int) -> Column:
+    """(left, near): the tokens less than ``window`` places from ``at``, and how many of them stand before it."""
+    left = F.least(at, F.lit(window))
+    return F.struct(left.alias("left"), F.slice(tokens, at - left + 1, left + window).alias("near"))
+
+
+def overlap(doc: Column, item: Column, size: Column, window: int) -> Column:
+    """Around a hit the most equal tokens in a window of ``size``; ``doc`` and ``item`` are neighbourhoods of its two places.
 
     One walk along the alignment: each step counts the token that enters the window and takes off the one that leaves.
     """
-    begin = F.greatest(F.lit(0), pos - window, pos - at)
-    end = F.least(F.size(item), pos + window, pos - at + F.size(doc))
-    size = F.least(F.lit(window), F.size(item))
-    equal = lambda k: F.when(F.get(doc, at - pos + k) == F.get(item, k), 1).otherwise(0)
+    left = F.least(doc["left"], item["left"])
+    right = F.least(F.size(doc["near"]) - doc["left"], F.size(item["near"]) - item["left"], F.lit(window))
+    equal = lambda k: F.when(F.get(doc["near"], doc["left"] + k) == F.get(item["near"], item["left"] + k), 1).otherwise(0)
 
     def step(seen: Column, k: Column) -> Column:
-        left = F.when(k - size >= begin, equal(k - size)).otherwise(0)
+        gone = F.when(k - size >= -left, equal(k - size)).otherwise(0)
         # [equal tokens in the window that ends here, the most so far]
-        return F.array(seen[0] + equal(k) - left, F.greatest(seen[1], seen[0] + equal(k) - left))
+        return F.array(seen[0] + equal(k) - gone, F.greatest(seen[1], seen[0] + equal(k) - gone))
 
-    return F.aggregate(F.sequence(begin, end - 1), F.array(F.lit(0), F.lit(0)), step)[1]
+    return F.aggregate(F.sequence(-left, right - 1), F.array(F.lit(0), F.lit(0)), step)[1]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -96,25 +101,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, perc
     place (in tokens) of a seed in it, the first of the best. ``docs`` has doc_id and
     text, ``benchmark`` item_id and text; other columns are not read.
 
-    Seeds of up to ``broadcast_seeds`` benchmark places are broadcast, and documents are then
-    read in one pass without a shuffle; beyond that, seeds meet in a shuffle join and only
-    documents with a hit are read again. Null and empty texts hold nothing and leak nothing.
-    Every pair that meets the rule has a hit at the default ``window`` and ``percent`` or a higher ``percent``. Repeated rows change nothing. Empty tables
-    give an empty result.
+    What a hit finds depends on the neighbourhoods of its two places alone, so places of a text
+    with the same one are one place, however often its words repeat, and neither whole texts
+    nor pairs of repeated places are ever formed. Seeds of up to ``broadcast_seeds`` benchmark places are
+    broadcast, and documents are then read in one pass without a shuffle; beyond that, seeds meet
+    in a shuffle join and only documents with a hit are read again. Null and empty texts hold nothing
+    and leak nothing. Every pair that meets the rule has a hit at the default ``window`` and ``percent`` or a
+    higher ``percent``. Repeated rows change nothing. Empty tables give an empty result.
     """
-    items = stored(tokenised(benchmark, "item_id").distinct(), "leak-items")
+    items = tokenised(benchmark, "item_id").distinct()
     lengths = sorted(r["n"] for r in items.select(F.least(F.size("tokens"), F.lit(LONG)).alias("n")).distinct().collect()) or [LONG]
-    own = stored(seeds(items, lengths, own=True).select("item_id", F.col("at").alias("pos"), "seed").distinct(), "leak-seeds")
+    near = neighbourhood(F.col("tokens"), F.col("at"), window)
+    own = seeds(items, lengths, own=True).select("item_id", F.least(F.lit(window), F.size("tokens")).alias("size"), "seed", near.alias("item"), "at")
+    own = stored(own.groupBy("item_id", "size", "seed", "item").agg(F.min("at").alias("pos")), "leak-seeds")
+    keys = own.select("seed").distinct()
+    n_seeds = own.count()
     texts = tokenised(docs, "doc_id")
-    items = items.withColumnRenamed("tokens", "item")
-    few = own.count() <= broadcast_seeds
-    if few:
-        hits = seeds(texts, lengths).join(F.broadcast(own), "seed").join(F.broadcast(items), "item_id")
+    if n_seeds <= broadcast_seeds:
+        places = seeds(texts, lengths).join(F.broadcast(keys), "seed")
     else:
-        places = seeds(texts, lengths).select("doc_id", "at", "seed").join(own, "seed").select("doc_id", "item_id", "at", "pos").distinct()
-        hits = places.join(texts, "doc_id").join(items, "item_id")
-    n_equal = overlap(F.col("tokens"), F.col("item"), F.col("at"), F.col("pos"), window)
-    found = hits.select("doc_id", "item_id", n_equal.alias("n_equal"), "at", "pos", F.least(F.lit(window), F.size("item")).alias("size"))
+        places = seeds(texts, lengths).select("doc_id", "at", "seed").join(keys, "seed").distinct().join(texts, "doc_id")
+    places = places.select("doc_id", "seed", near.alias("doc"), "at").groupBy("doc_id", "seed", "doc").agg(F.min("at").alias("at"))
+    hits = places.join(F.broadcast(own) if n_seeds <= min(broadcast_seeds, BROADCAST_PLACES) else own, "seed")
+    n_equal = overlap(F.col("doc"), F.col("item"), F.col("size"), window)
+    found = hits.select("doc_id", "item_id", n_equal.alias("n_equal"), "at", "pos", "size")
     # Too few equal tokens are told apart only after the grouping, so each overlap is computed once.
     best = F.max(F.struct("n_equal", (-F.col("at")).alias("at"), (-F.col("pos")).alias("pos"), "size"))
     leaks = found.groupBy("doc_id", "item_id").agg(best.alias("b")).where(100 * F.col("b.n_equal") >= percent * F.col("b.size"))
@@ -127,6 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item of which it holds a passage, with the most equal tokens of a window."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "item_id", "n_equal")
 

@@ -26,6 +26,8 @@ from sparkchemo.llm.textkit import slices, texts
 
 #: The sample of each language: whole texts of at most so many documents, and so many bytes together.
 SAMPLE_DOCS, TRAIN_BYTES = 200, 24_000
+#: Characters of a piece of a text that is longer than the sample.
+PIECE = 2000
 #: Languages whose automata a task holds at once; more are parsed in several passes.
 PART = 64
 BLOCK, SLICE = 512, 2 << 20
@@ -143,27 +145,32 @@ class CrossParser:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, train_bytes: int = TRAIN_BYTES) -> dict[str, bytes]:
     """Each language's texts to learn from, a bounded sample of the rows of ``docs`` (doc_id, text, lang).
 
-    Of the texts of a language that have at most ``train_bytes``, the ``sample_docs`` first by
-    a hash of their ids are looked at in that order, and each that still fits into
-    ``train_bytes`` is taken whole. Empty if no row has both text and lang; a language
-    that has only longer texts is not learned. Rows that share a doc_id are each a text.
+    The ``sample_docs`` first texts of a language by a hash of their ids are looked at in that order, and each that
+    still fits into ``train_bytes`` is taken whole. Texts that are longer than ``train_bytes`` are looked at in pieces
+    of PIECE characters (an eighth of ``train_bytes`` at most), each with a place of its own in that order. Empty if no row has both text and lang. Equal
+    rows are one; other rows that share a doc_id are each a text.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "bytes")
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sized = known.select("doc_id", "lang", F.octet_length("text").alias("bytes")).where(F.col("bytes") < train_bytes)
-    drawn = sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    long, size = F.octet_length("text") >= train_bytes, max(1, min(PIECE, train_bytes // 8))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int")), lambda k: F.struct(F.xxhash64("doc_id", k).alias("place"), F.substring("text", k * size + 1, F.lit(size)).alias("text")))
+    whole = F.array(F.struct(F.xxhash64("doc_id").alias("place"), F.col("text")))
+    parts = known.select("doc_id", "lang", F.explode(F.when(long, cut).otherwise(whole)).alias("p")).select("doc_id", "lang", "p.place", "p.text")
+    parts = parts.withColumns({"bytes": F.octet_length("text"), "mark": F.xxhash64("text")})
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "bytes", "mark")
+    drawn = parts.drop("text").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
     used: dict[str, int] = {}
     chosen = set()
     for r in sorted(drawn.collect(), key=lambda r: r["k"]):  # sample_docs small rows a language at most
         if used.get(r["lang"], 0) + r["bytes"] < train_bytes:
             used[r["lang"]] = used.get(r["lang"], 0) + r["bytes"] + 1
-            chosen.add((r["doc_id"], r["lang"], r["bytes"]))
+            chosen.add((r["doc_id"], r["lang"], r["place"], r["bytes"], r["mark"]))
     if not chosen:
         return {}
-    wanted = docs.sparkSession.createDataFrame(sorted(chosen), sized.schema)
-    rows = known.withColumn("bytes", F.octet_length("text")).join(F.broadcast(wanted), ["doc_id", "lang", "bytes"], "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+    keys = ["lang", "place", "bytes", "mark"]
+    wanted = docs.sparkSession.createDataFrame(sorted({c[1:] for c in chosen}), parts.select(*keys).schema)
+    rows = parts.join(F.broadcast(wanted), keys, "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text")).distinct()
     samples: dict[str, bytearray] = {}
-    for row in sorted(set(rows.collect())):  # train_bytes a language; only texts that repeat an id and a length may add to it
+    for row in sorted(rows.collect(), key=lambda r: (r["doc_id"] is not None, r)):  # train_bytes a language
         own = samples.setdefault(row["lang"], bytearray())
         if len(own) + len(row["text"]) < train_bytes:
             own += row["text"] + b"\n"
@@ -235,7 +242,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes], part: int = PART) -> Dat
         last = at + part >= len(names)
         model = docs.sparkSession.sparkContext.broadcast(CrossParser.fit({k: samples[k] for k in own}) if own else None)  # at most 2 * TRAIN_BYTES states a language
         if last:
-            return rows.mapInArrow(_predict(model, True), "doc_id bigint, lang_pred string, lang_score double")
+            return rows.mapInArrow(_predict(model, True), f"doc_id {id_type}, lang_pred string, lang_score double")
         rows = stored(rows.mapInArrow(_predict(model, False), f"doc_id {id_type}, text binary, lang string, first double, second double"), "language-pass")
         model.unpersist()
 

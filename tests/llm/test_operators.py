@@ -270,6 +270,17 @@ def test_leaks_tolerate_substitutions(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_in_repeated_words_cost_no_pairs(spark):
+    """Thousands of equal words meet an item of equal words: places with the same neighbours are one place."""
+    same, pair = " ".join(["junk"] * 2000), " ".join(["a b"] * 900)
+    texts = [same, same, pair, "b " * 30 + prose(5, 300), " ".join(["junk"] * 20000), prose(6, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(["junk"] * 100)), (2, " ".join(["junk"] * 500)), (3, "a b " * 40), (4, "junk a b junk junk a b b")], "item_id bigint, text string")
+    for limit in (1 << 20, 0):
+        found = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["doc_token"], r["item_token"]) for r in decontaminate.find_leaks(docs, bench, broadcast_seeds=limit).collect()}
+        assert {k: v[0] for k, v in found.items()} == {(0, 1): 16, (0, 2): 16, (1, 1): 16, (1, 2): 16, (2, 3): 16, (4, 1): 16, (4, 2): 16}
+
+
 def test_packing_round_trip(spark, docs, plain):
     from tokenizers import Tokenizer
 
@@ -627,8 +638,12 @@ def test_language_sample_takes_whole_texts(spark):
     texts = {k: prose(k, 20 + 15 * k) for k in range(20)}
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts.items()] + [(99, prose(99, 3000), "x"), (100, "only a long one " * 400, "y")], "doc_id bigint, text string, lang string")
     got = language.fit(docs, train_bytes=3000)
-    lines = got["x"].decode().strip("\n").split("\n")
-    assert set(got) == {"x"} and len(got["x"]) <= 3000 and len(lines) > 2 and set(lines) <= set(texts.values())
+    assert set(got) == {"x", "y"} and all(len(v) <= 3000 for v in got.values())
+    lines, long = got["x"].decode().strip("\n").split("\n"), prose(99, 3000)
+    assert len(lines) > 2 and all(t in texts.values() or (len(t) <= 375 and t in long) for t in lines)
+    # A language with long texts only is learned from pieces of them; equal rows add nothing to the sample.
+    assert len(got["y"]) > 1000 and all(t in "only a long one " * 400 for t in got["y"].decode().strip("\n").split("\n"))
+    assert language.fit(docs.union(docs), train_bytes=3000) == got
 
 
 def test_best_step_equals_brute_force():

@@ -42,6 +42,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == whole
 
 
+def test_language_stage_keeps_texts_whose_id_repeats(spark):
+    """A null text goes alone, not with the other texts of its doc_id; null ids are rows like others."""
+    rows = [(1, prose(1, 60), "en"), (1, None, "en"), (None, prose(2, 60), "en"), (None, "12", "en"), (2, prose(3, 60), None), (2, prose(3, 60), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == sorted([r for r in rows if r[1] and r[1] != "12"], key=repr)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_run_packs_every_document_that_is_left(spark):
     out = corpus_pipeline.run(spark, FOLDER)
