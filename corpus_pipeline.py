@@ -19,9 +19,10 @@ ALIKE = 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the cross-parser can tell; those without text or letters go."""
-    found = language.predict(docs, language.fit(docs))
-    rejected = found.where(F.col("lang_pred") == language.UNKNOWN).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    own = F.struct("doc_id", F.xxhash64("text").alias("text"))  # a doc_id may repeat with another text, or be null
+    found = language.predict(docs.select(own.alias("doc_id"), "text"), language.fit(docs))
+    rejected = found.where(F.col("lang_pred") == language.UNKNOWN).select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(rejected, own == F.col("_row"), "left_anti")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
