@@ -32,7 +32,7 @@ WIDTH = 200
 #: Byte places that the first digit is worked out for at a time.
 STRETCH = 1 << 18
 #: Bytes of a group's different runs up to which one task sorts it, and bytes sorted together.
-GROUP_BYTES, SORT_BYTES = 1 << 20, 4 << 20
+GROUP_BYTES, SORT_BYTES = 1 << 18, 4 << 20
 _ONE = np.uint64(1)
 
 
