@@ -52,13 +52,17 @@ PARTS = 64
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
-    """Moments over all rows: one scan for the means, one for the centred products."""
+    """Moments over all rows without a null or NaN in ``columns``: one scan for the means, one for the centred products."""
     return next(iter(grouped_moments(df, columns, []).values()))
 
 
 def grouped_moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> dict[tuple, Moments]:
-    """Moments per group of few groups; products are taken about the overall means, so they stay exact and additive."""
+    """Moments per group of few groups; products are taken about the overall means, so they stay exact and additive.
+
+    A row with a null or NaN in one of the columns counts nowhere, however many columns there are; a null key is a group.
+    """
     columns = list(columns)
+    df = df.dropna(subset=columns)
     if len(columns) > WIDE:
         return _in_blocks(df, columns, list(keys))
     means = df.agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("_n")).first()

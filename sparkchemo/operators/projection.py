@@ -213,6 +213,7 @@ class PCA:
 
     def _once(self, df: DataFrame, robust: bool) -> PCAModel:
         p = len(self.columns)
+        df = df.dropna(subset=list(self.columns))
         n = df.count()
         most = max(1, min(n, p) - 1) if self.capped else min(n - 1, p)
         if not 1 <= self.n_components <= most and not self.capped:
@@ -259,6 +260,7 @@ class SIMCA:
     scale: bool = True
 
     def fit(self, df: DataFrame) -> SIMCAModel:
+        df = df.dropna(subset=list(self.columns))
         p, n = len(self.columns), df.count()
         space, _ = fit_subspace(df, self.columns, min(self.n_components, max(1, min(p, n) - 1)), self.scale, signs=False)
         residual = df.agg(F.sum(space.q(True)).alias("s")).first()["s"]
@@ -340,6 +342,7 @@ class Ellipse:
     rounds: int = 10
 
     def fit(self, df: DataFrame) -> EllipseModel:
+        df = df.dropna(subset=list(self.columns))
         m = moments(df, self.columns)
         model = EllipseModel(tuple(self.columns), m.mean, m.covariance, self.alpha)
         if not self.robust:
@@ -421,20 +424,30 @@ class LatentRegression:
     scale: bool = False
     robust: bool = True
 
+    def _directions(self, m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scales, products of the scaled columns, loadings, rotations, slope in scaled units); the last column of ``m`` is y."""
+        p = len(self.columns)
+        s = np.sqrt(np.diag(m.covariance)[:p]) if self.scale else np.ones(p)
+        xx, xy = m.products[:p, :p] / np.outer(s, s), m.products[:p, p] / s
+        if self.kind == "pls":
+            _, rotation, loading, inner = kernel_pls(xx, xy[:, None], self.n_components)
+            return s, xx, loading, rotation, rotation @ inner[:, 0]
+        _, loading = principal_axes(xx, self.n_components)
+        return s, xx, loading, loading, loading @ np.linalg.solve(loading.T @ xx @ loading, loading.T @ xy)
+
+    def coefficients(self, m: Moments) -> tuple[np.ndarray, float]:
+        """The fit's (slopes, intercept) in the columns' units, from moments alone."""
+        s, *_, slope = self._directions(m)
+        slope = slope / s
+        return slope, float(m.mean[-1] - slope @ m.mean[:-1])
+
     def fit(self, df: DataFrame) -> RegressionModel:
         p = len(self.columns)
         m = moments(df, [*self.columns, self.y])
         if not 1 <= self.n_components <= min(m.n - 1, p):
             raise ValueError(f"n_components must be in 1..{min(m.n - 1, p)}")
-        s = np.sqrt(np.diag(m.covariance)[:p]) if self.scale else np.ones(p)
-        xx, xy = m.products[:p, :p] / np.outer(s, s), m.products[:p, p] / s
-        if self.kind == "pls":
-            weights, rotation, loading, inner = kernel_pls(xx, xy[:, None], self.n_components)
-            slope = rotation @ inner[:, 0]
-        else:
-            _, loading = principal_axes(xx, self.n_components)
-            rotation = loading
-            slope = rotation @ np.linalg.solve(rotation.T @ xx @ rotation, rotation.T @ xy)
+        df = df.dropna(subset=[*self.columns, self.y])
+        s, xx, loading, rotation, slope = self._directions(m)
         variance = np.diag(rotation.T @ xx @ rotation) / (m.n - 1)
         space = Subspace(tuple(self.columns), m.mean[:p], s, loading, variance)
         coefficients = slope / s
@@ -522,6 +535,13 @@ class DiscriminantModel:
             dense = [r / total(raw) for r in raw]
         return out.withColumns({"predicted": predicted, **{f"p_{c}": v for c, v in zip(self.classes, dense, strict=True)}})
 
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The nearest class of each row of a matrix of the columns, the first by name among equals."""
+        t = x @ self.coefficients + self.intercept
+        gaps = [t - self.centers[i] for i in range(len(self.classes))]
+        d = np.stack([np.einsum("ij,jk,ik->i", g, self.inverse[c], g) for g, c in zip(gaps, self.classes, strict=True)], 1)
+        return np.array(self.classes, object)[d.argmin(1)]
+
     def outliers(self, df: DataFrame, label: str) -> DataFrame:
         """Training rows farther from their own class than its outlier limit (soft only)."""
         far = F.lit(False)
@@ -543,8 +563,11 @@ class PLSDA:
 
     def fit(self, df: DataFrame) -> DiscriminantModel:
         """All from per-class moments in one pass: predictions are linear in x, so their moments are too."""
+        return self.from_groups(grouped_moments(df.where(F.col(self.label).isNotNull()), self.columns, [self.label]))
+
+    def from_groups(self, groups: dict[tuple, Moments]) -> DiscriminantModel:
+        """The model from the moments of each class."""
         p = len(self.columns)
-        groups = grouped_moments(df.where(F.col(self.label).isNotNull()), self.columns, [self.label])
         classes = tuple(sorted(k[0] for k in groups))
         if len(classes) < 2:
             raise ValueError("at least two classes are needed")

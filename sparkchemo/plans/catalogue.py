@@ -956,3 +956,7 @@ def color_series(spark, d):
     part = lambda a, n: F.transform(F.slice("embedding", a, n), lambda v: v.cast("double"))
     out = explain.color_table(table(spark, d, "embeddings"), "vec_id", part(1, 24), part(25, 8), 24)
     return rounded(out.withColumn("i", F.col("i").cast("bigint")), 5)
+
+
+# Further queries register themselves here; they need the helpers above.
+from sparkchemo.plans import selection  # noqa: E402, F401
