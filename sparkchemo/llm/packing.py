@@ -25,8 +25,6 @@ from sparkchemo.llm.textkit import Words, slices, texts
 END_ID, MAX_TOKENS = 1, 4096
 #: Pieces packed together in one task.
 GROUP = 8192
-#: Bins that the local search tries to empty in vain before it ends.
-PATIENCE = 40
 #: Words whose ids a worker remembers (about 20 bytes each), bytes of text worked on at a time, words encoded at a time.
 MEMORY, SLICE, AT_ONCE = 2_000_000, 4 << 20, 1000
 #: Between words that are encoded together; it is one id, and a word that has it is encoded alone.
@@ -166,12 +164,12 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], limit: int, patience: int = PATIENCE) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
     """Local search: the emptiest bin gives pieces to other underfull bins until it is empty.
 
     A step moves a piece, exchanges one for a smaller one, or two for a smaller one: of all
-    such steps the one that raises the sum of squared fills most. The search ends when no
-    bin has been emptied in ``patience`` attempts, each with another bin, or when no fewer
+    such steps the one that raises the sum of squared fills most. The search ends when every
+    underfull bin has been the giver in vain since one was last emptied, or when no fewer
     bins could hold the pieces.
     """
     n = np.array(lengths, np.int64)
@@ -180,7 +178,7 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int, patience: int
         place[own] = b
     fill = np.bincount(place, n, len(bins)).astype(np.int64)
     tried, least = np.zeros(len(bins), bool), -(-int(n.sum()) // limit)
-    while (fill > 0).sum() > least and tried.sum() < patience:
+    while (fill > 0).sum() > least:
         giver = np.where((fill > 0) & (fill < limit) & ~tried, fill, limit)
         b = int(giver.argmin())
         if giver[b] == limit:

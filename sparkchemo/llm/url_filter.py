@@ -44,16 +44,18 @@ def path_of(url: Column) -> Column:
     return F.when(at > 0, F.substring_index(F.translate(rest, "?", "#"), "#", 1)).otherwise("")
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
+def candidate_keys(host: Column, path: Column, path_lengths: list[int], labels: list[int]) -> Column:
     """Every (host suffix + path prefix) that a rule could have, longest first.
 
-    ``path_lengths`` are the distinct lengths of the listed paths. A key is the text
+    ``path_lengths`` are the distinct lengths of the listed paths, ``labels`` the distinct numbers of labels of the listed hosts, so a
+    host has as many suffixes however many labels it has itself. A key is the text
     ``suffix`` + space + ``prefix``; a space occurs in neither a listed host nor path.
     """
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(path_lengths, reverse=True)]), lambda p: p.isNotNull())
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit(" "), p))))
+    own = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.array(*[F.when(own >= n, F.substring_index(host, ".", -n)) for n in sorted(labels, reverse=True)])
+    prefixes = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(path_lengths, reverse=True)])
+    some = lambda a: F.filter(a.cast("array<string>"), lambda x: x.isNotNull())
+    return F.flatten(F.transform(some(suffixes), lambda s: F.transform(some(prefixes), lambda p: F.concat(s, F.lit(" "), p))))
 
 
 def _slots(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
@@ -116,7 +118,7 @@ class Cascade:
         return out
 
 
-def build_cascade(pages: DataFrame, listed: DataFrame, path_lengths: list[int], false_rate: float = 0.01, max_bytes: int = MAX_BYTES, max_levels: int = MAX_LEVELS) -> Cascade | None:
+def build_cascade(pages: DataFrame, listed: DataFrame, path_lengths: list[int], labels: list[int], false_rate: float = 0.01, max_bytes: int = MAX_BYTES, max_levels: int = MAX_LEVELS) -> Cascade | None:
     """The cascade over ``listed`` (column ``key``) and all candidate keys of ``pages`` (columns host, path); None beyond its bounds.
 
     Level 0 filters the exploded keys before anything is shuffled, so only mistaken keys
@@ -126,7 +128,7 @@ def build_cascade(pages: DataFrame, listed: DataFrame, path_lengths: list[int],
     n = listed.count()
     if not n:
         return Cascade((), tuple(path_lengths))
-    universe = pages.select(F.explode(candidate_keys(F.col("host"), F.col("path"), path_lengths)).alias("key"))
+    universe = pages.select(F.explode(candidate_keys(F.col("host"), F.col("path"), path_lengths, labels)).alias("key"))
     levels = [build_level(listed, 0, n, false_rate, max_bytes)]
     if levels[0] is None:
         return None
@@ -166,11 +168,12 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, def
     spark = pages.sparkSession
     if len({r[:2] for r in rules}) < len(rules):
         raise ValueError("a host and path are listed twice")
-    lengths = sorted({len(path) for _, path, _ in rules})
+    lengths, labels = sorted({len(path) for _, path, _ in rules}), sorted({host.count(".") + 1 for host, *_ in rules})
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    listed = {v: spark.range(1).select(F.explode(F.array(*[F.lit(f"{h} {p}") for h, p, w in rules if w == v]).cast("array<string>")).alias("key")) for v in ("allow", "block")}
-    cascades = {v: build_cascade(parts, listed[v], lengths, max_bytes=max_bytes) for v in ("allow", "block")}
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    # One text literal for a list of rules, however long.
+    listed = {v: spark.range(1).select(F.explode(F.split(F.lit("\n".join(f"{h} {p}" for h, p, w in rules if w == v)), "\n")).alias("key")).where("key <> ''") for v in ("allow", "block")}
+    cascades = {v: build_cascade(parts, listed[v], lengths, labels, max_bytes=max_bytes) for v in ("allow", "block")}
+    keys = candidate_keys(F.col("host"), F.col("path"), lengths, labels)
     if None in cascades.values():
         judged = hits_by_join(parts, rules, keys)
     else:

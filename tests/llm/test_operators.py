@@ -243,12 +243,19 @@ def test_url_rules_by_brute_force(spark):
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, max_bytes=most).collect()}
         assert got == {i: judge(u) for i, u in enumerate(urls)}
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    # A host of many labels has no more suffixes than the rules have label counts; many rules go by the join.
+    long = "http://" + "a." * 20000 + "example.com/en/"
+    many = [(f"h{k}.org", "/", "block") for k in range(30000)] + [("example.com", "/en/", "block")]
+    odd = spark.createDataFrame([(1, long), (2, "x://a.h29999.org/"), (3, "x://h30000.org/")], "page_id bigint, url string")
+    for rules, most in ((url_filter.RULES, url_filter.MAX_BYTES), (many, 4096)):
+        got = {r["page_id"]: r["rule"] for r in url_filter.filter_urls(odd, rules, max_bytes=most).collect()}
+        assert got[1] == "example.com/en/" and got[2] == ("h29999.org/" if rules is many else None) and got[3] is None
 
 
 def test_cascade_is_exact_over_its_universe(spark):
     pages = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("host"), F.lit("/").alias("path"))
     listed = spark.range(0, 3000, 7).select(F.concat(F.lit("h"), "id", F.lit(".org /")).alias("key"))
-    cascade = url_filter.build_cascade(pages, listed, [1], false_rate=0.3)
+    cascade = url_filter.build_cascade(pages, listed, [1], [2], false_rate=0.3)
     assert len(cascade.levels) > 2
     keys = spark.range(3000).select("id", F.concat(F.lit("h"), "id", F.lit(".org /")).alias("key"))
     wrong = keys.where(cascade.holds(F.col("key")) != (F.col("id") % 7 == 0)).count()
