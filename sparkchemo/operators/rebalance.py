@@ -1,49 +1,23 @@
 """Class rebalancing: SMOTE and edited nearest neighbours over scaled columns.
 
-Neighbours are exact. All rows of a small class are compared with that class only; for
-ENN, rows are compared in blocks of a hash join on block numbers, so that no single task
-sees all of them. Distances are in the scaled columns that the caller passes.
+Neighbours are exact, from a join over Voronoi cells that looks only where a neighbour can be.
+Distances are in the columns that the caller passes, scaled or not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkchemo.functions.expr import total, uniform
+from sparkchemo.functions.expr import uniform
 from sparkchemo.functions.lineage import cut_lineage
 from sparkchemo.operators.comparison import in_random_order
+from sparkchemo.operators.neighbours import neighbours
 from sparkchemo.operators.scaling import CorrectedScaler
 
 
-#: Points that a block of a neighbour search has.
-BLOCK = 4096
-
-
-def neighbours(queries: DataFrame, points: DataFrame, columns: Sequence[str], key: str, k: int, blocks: int | None = None, same: str | None = None) -> DataFrame:
-    """(q, rank, <point columns as n_...>): the ``k`` nearest points of each query, itself left out; ties by key.
-
-    Each query meets each block of points in its own task and keeps k of it; the k best of
-    the blocks' bests remain, so what is shuffled grows with queries * blocks * k. A block has
-    about BLOCK points unless ``blocks`` says how many there are. ``same`` restricts to
-    points with an equal value of that column.
-    """
-    blocks = blocks or max(8, points.count() // BLOCK)
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    p = points.select(block.alias("_block"), *[F.col(c).alias(f"n_{c}") for c in dict.fromkeys([key, *columns, *([same] if same else [])])])
-    q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    on = (q["_block"] == p["_block"]) & (q[key] != p[f"n_{key}"])
-    if same:
-        on = on & (q[same] == p[f"n_{same}"])
-    d = total([F.pow(q[c] - p[f"n_{c}"], 2) for c in columns])
-    near = q.join(p, on).select(q[key].alias("q"), d.alias("_d"), *[p[c] for c in p.columns])
-    best = F.row_number().over(Window.partitionBy("q", "_block").orderBy("_d", f"n_{key}"))
-    near = near.withColumn("_k", best).where(F.col("_k") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("_d", f"n_{key}"))).where(F.col("rank") <= k).drop("_k", "_block")
-
-
 def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 5, seed: int = 0, named: bool = False) -> DataFrame:
     """``df`` (key, columns, label) and made-up rows until all classes are as many as the largest.
 
@@ -57,8 +31,8 @@ def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int =
     if not small:
         return df.select(F.col(key).cast("string" if named else df.schema[key].dataType).alias(key), *columns, label)
     rows = df.where(F.col(label).isin(small))
-    near = neighbours(rows, rows, columns, key, k, same=label)
-    lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", *[f"n_{c}" for c in columns]))).alias("near"))  # k entries
+    near = neighbours(rows, rows, columns, key, k, label, within=True)
+    lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "x"))).alias("near"))  # k entries
     want = F.lit(0)
     for c in small:
         each, more = divmod(top - sizes[c], sizes[c])
@@ -70,7 +44,7 @@ def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int =
     pick = F.get("near", F.floor(uniform(seed, F.col(key), F.col("_copy"), F.lit("pick")) * F.size("near")).cast("int"))
     u = uniform(seed, F.col(key), F.col("_copy"), F.lit("step"))
     made_key = F.concat(F.lit("made-"), F.col(key).cast("string"), F.lit("-"), F.col("_copy").cast("string")) if named else F.lit(None).cast(df.schema[key].dataType)
-    made = give.select(made_key.alias(key), *[(F.col(c) + u * (pick[f"n_{c}"] - F.col(c))).alias(c) for c in columns], label)
+    made = give.select(made_key.alias(key), *[(F.col(c) + u * (pick["x"][i] - F.col(c))).alias(c) for i, c in enumerate(columns)], label)
     return df.select(F.col(key).cast(made.schema[key].dataType).alias(key), *columns, label).union(made)
 
 
@@ -81,11 +55,10 @@ def edited_neighbours(df: DataFrame, columns: Sequence[str], label: str, key: st
     """
     if spare is None:
         spare = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy("n", label).first()[label]
-    near = neighbours(df.where(F.col(label) != spare), df, [*columns], key, k).select("q", "n_" + key)
-    voted = near.join(df.select(F.col(key).alias("n_" + key), F.col(label).alias("vote")), "n_" + key).join(df.select(F.col(key).alias("q"), F.col(label).alias("own")), "q")
-    agree = F.sum((F.col("vote") == F.col("own")).cast("int"))
+    near = neighbours(df.where(F.col(label) != spare), df, columns, key, k, label)
+    agree = F.sum((F.col("label") == F.col("q_label")).cast("int"))
     bad = (agree < k) if kind == "all" else (2 * agree < k)
-    gone = voted.groupBy("q").agg(bad.alias("bad")).where("bad").select(F.col("q").alias(key))
+    gone = near.groupBy("q").agg(bad.alias("bad")).where("bad").select(F.col("q").alias(key))
     return df.join(gone, key, "left_anti")
 
 

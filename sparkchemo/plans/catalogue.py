@@ -894,7 +894,7 @@ def scaled_smote_enn_balanced(spark, d):
 
 @query(
     """WITH s AS (SELECT s_suppkey AS k, s_acctbal AS x, s_nationkey % 3 AS c FROM supplier), n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
-p AS (SELECT a.k, a.c, b.c AS d, sum((a.x - b.x) ** 2) / (CASE WHEN a.c = b.c THEN nullif(n.n - 1, 0) ELSE n.n END) AS v FROM s a CROSS JOIN s b JOIN n ON n.c = b.c GROUP BY a.k, a.c, b.c, n.n),
+p AS (SELECT a.k, a.c, b.c AS d, sum(sqrt((a.x - b.x) ** 2)) / (CASE WHEN a.c = b.c THEN nullif(n.n - 1, 0) ELSE n.n END) AS v FROM s a CROSS JOIN s b JOIN n ON n.c = b.c GROUP BY a.k, a.c, b.c, n.n),
 q AS (SELECT k, c, max(v) FILTER (c = d) AS a, min(v) FILTER (c <> d) AS b FROM p GROUP BY k, c)
 SELECT k AS s_suppkey, c::VARCHAR AS cls, round((b - a) / greatest(a, b), 4) + 0.0 AS silhouette FROM q"""
 )
@@ -902,6 +902,28 @@ def silhouette(spark, d):
     return rounded(clusters.silhouettes(suppliers(spark, d), ["s_acctbal"], "cls", "s_suppkey"))
 
 
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_acctbal AS x, s_nationkey % 3 AS c FROM supplier), n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
+p AS (SELECT a.k, a.c, b.c AS d, sum((a.x - b.x) ** 2) / (CASE WHEN a.c = b.c THEN nullif(n.n - 1, 0) ELSE n.n END) AS v FROM s a CROSS JOIN s b JOIN n ON n.c = b.c GROUP BY a.k, a.c, b.c, n.n),
+q AS (SELECT k, c, max(v) FILTER (c = d) AS a, min(v) FILTER (c <> d) AS b FROM p GROUP BY k, c)
+SELECT k AS s_suppkey, c::VARCHAR AS cls, round((b - a) / greatest(a, b), 4) + 0.0 AS silhouette FROM q"""
+)
+def silhouette_squared(spark, d):
+    return rounded(clusters.squared_silhouettes(suppliers(spark, d), ["s_acctbal"], "cls", "s_suppkey"))
+
+
+@query(
+    """WITH s AS (SELECT c_custkey AS k, c_acctbal AS x, c_nationkey * 100.0 AS y, c_mktsegment AS c FROM customer), n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
+p AS (SELECT a.k, a.c, b.c AS d, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / (CASE WHEN a.c = b.c THEN nullif(n.n - 1, 0) ELSE n.n END) AS v FROM s a CROSS JOIN s b JOIN n ON n.c = b.c GROUP BY a.k, a.c, b.c, n.n),
+q AS (SELECT k, c, max(v) FILTER (c = d) AS a, min(v) FILTER (c <> d) AS b FROM p GROUP BY k, c)
+SELECT k AS c_custkey, c AS c_mktsegment, round((b - a) / greatest(a, b), 4) + 0.0 AS silhouette FROM q"""
+)
+def silhouette_customers(spark, d):
+    """Euclidean silhouettes of the market segments in two columns."""
+    df = table(spark, d, "customer").withColumn("y", F.col("c_nationkey") * 100.0)
+    return rounded(clusters.silhouettes(df, ["c_acctbal", "y"], "c_mktsegment", "c_custkey"))
+
+
 @query()
 def elbow(spark, d):
     return clusters.elbow(suppliers(spark, d), ["s_acctbal"], range(1, 5))

@@ -1,12 +1,13 @@
-"""Queries of model selection: nested searches, with the same searches in SQL over all rows for each split."""
+"""Queries of model selection and neighbours, with the same in SQL: over all rows for each split, over all pairs of rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkchemo.operators import search
+from sparkchemo.operators import neighbours, rebalance, search
 from sparkchemo.operators.projection import PLSDA, LatentRegression
-from sparkchemo.plans.catalogue import FEATURES, LABEL, query, rounded
+from sparkchemo.operators.scaling import CorrectedScaler
+from sparkchemo.plans.catalogue import FEATURES, LABEL, ROW, query, rounded
 from sparkchemo.sources.tables import table
 
 PRICE = ["l_quantity", "l_discount", "l_tax"]
@@ -67,3 +68,39 @@ def nested_plsda_search(spark, d):
     """Components and scaling of PLS-DA by the share of right classes; tests hold it against a fit for each split."""
     df = search.nested_folds(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *FEATURES, LABEL), ["l_orderkey", "l_linenumber", *FEATURES], 4, 3)
     return search.nested_search(df, PLSDA(FEATURES, LABEL), search.grid({"n_components": [2, 3, 4], "scale": [True, False]}))
+
+
+# --- neighbours -------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_size * 20.0 AS x, p_retailprice AS y FROM part),
+n AS (SELECT a.k, b.k AS o, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM p a JOIN p b ON a.k <> b.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, o) AS rank FROM n)
+SELECT k AS p_partkey, rank::INT AS rank, o AS neighbour, round(d, 2) + 0.0 AS gap FROM r WHERE rank <= 3"""
+)
+def nearest_parts(spark, d):
+    """The three nearest parts to each by size and price."""
+    df = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 20.0).alias("x"), F.col("p_retailprice").alias("y"))
+    near = neighbours.neighbours(df, df, ["x", "y"], "p_partkey", 3)
+    return rounded(near.select(F.col("q").alias("p_partkey"), "rank", F.col("id").alias("neighbour"), F.col("d").alias("gap")), 2)
+
+
+@query(
+    """WITH s AS (SELECT c_custkey AS k, c_acctbal AS x, c_nationkey * 100.0 AS y, c_mktsegment AS cls FROM customer), sp AS (SELECT cls FROM s GROUP BY cls ORDER BY count(*), cls LIMIT 1),
+n AS (SELECT a.k, a.cls, b.cls AS vote, row_number() OVER (PARTITION BY a.k ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.k) AS r FROM s a JOIN s b ON a.k <> b.k WHERE a.cls NOT IN (SELECT cls FROM sp)),
+g AS (SELECT k FROM n WHERE r <= 3 GROUP BY k HAVING 2 * count(*) FILTER (vote = cls) < 3)
+SELECT k AS c_custkey, cls AS c_mktsegment FROM s WHERE k NOT IN (SELECT k FROM g)"""
+)
+def edited_customers(spark, d):
+    """Customers whose segment is not outvoted by their three nearest, in two columns."""
+    df = table(spark, d, "customer").select("c_custkey", "c_acctbal", (F.col("c_nationkey") * 100.0).alias("y"), "c_mktsegment")
+    return rebalance.edited_neighbours(df, ["c_acctbal", "y"], "c_mktsegment", "c_custkey", kind="mode").select("c_custkey", "c_mktsegment")
+
+
+@query()
+def edited_lineitem(spark, d):
+    """Edited neighbours of all line items in four standardised columns: rows left by class; SQL would need all pairs."""
+    rows = table(spark, d, "lineitem").select(F.concat_ws("-", *ROW, *FEATURES, LABEL).alias("id"), *FEATURES, LABEL)
+    df = CorrectedScaler(FEATURES).fit(rows).transform(rows)
+    return rebalance.edited_neighbours(df, FEATURES, LABEL, "id", kind="mode").groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
