@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import total
 from sparkchemo.functions.lineage import cut_lineage
 from sparkchemo.functions.quantiles import ordered_quantile
+from sparkchemo.operators.attribution import attribute, shap_importance
 
 EPSILON = 1e-12
 
@@ -299,43 +302,63 @@ def least_label_entropy(df: DataFrame, clusters: dict[int, list[str]], labels: d
 
 
 def shadows(df: DataFrame, columns: Sequence[str], seed: int) -> DataFrame:
-    """``df`` with s_<column>: values of other rows, each column moved by another number of places in a random order.
+    """``df`` with s_<column>: each column's values in another order, within random buckets of about 50,000 rows.
 
-    The order is cut into random buckets of about 50,000 rows, within which the last rows'
-    values come to the first ones.
+    One shuffle for all columns. A bucket's rows are sorted before they are mixed, so a task that is run
+    again gives the same.
     """
     buckets = max(1, df.count() // 50_000)
-    rows = df.withColumn("_u", F.rand(seed)).withColumn("_b", F.floor(F.rand(seed + 1) * buckets))
-    order, whole = Window.partitionBy("_b").orderBy("_u"), Window.partitionBy("_b")
-    placed = cut_lineage(rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(whole)}))
-    back = placed.withColumns({"_at": F.explode(F.sequence(F.lit(1), F.lit(len(columns))))})
-    own = F.coalesce(*[F.when(F.col("_at") == k + 1, F.col(c)) for k, c in enumerate(columns)])
-    moved = back.select("_b", F.pmod(F.col("_i") + F.col("_at"), F.col("_n")).alias("_i"), "_at", own.alias("_v"))
-    wide = moved.groupBy("_b", "_i").agg(*[F.max(F.when(F.col("_at") == k + 1, F.col("_v"))).alias(f"s_{c}") for k, c in enumerate(columns)])
-    return placed.join(wide, ["_b", "_i"]).drop("_b", "_i", "_u", "_n")
+    names, kept = list(columns), df.columns
+    rows = df.select(*kept, *[F.col(c).cast("double").alias(f"s_{c}") for c in names])
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
 
+    def mix(table: pa.Table) -> pa.Table:
+        own = [table.column(f"s_{c}").to_numpy() for c in names]
+        order = np.lexsort(own)
+        table = table.take(pa.array(order))
+        rng = np.random.default_rng([seed, table.column("_b")[0].as_py()])
+        for c, v in zip(names, own, strict=True):
+            table = table.set_column(table.schema.get_field_index(f"s_{c}"), f"s_{c}", pa.array(v[order][rng.permutation(len(v))], from_pandas=True))
+        return table.drop_columns(["_b"])
 
-def boruta(df: DataFrame, columns: Sequence[str], label: str, trials: int = 20, alpha: float = 0.05, seed: int = 0, trees: int = 40) -> DataFrame:
-    """(feature, hits, trials, status): columns whose importance in a random forest beats that of every shadow.
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_b").schema)
+    return rows.groupBy("_b").applyInArrow(mix, kinds)
+
+
+def boruta(
+    df: DataFrame, columns: Sequence[str], label: str, trials: int = 20, alpha: float = 0.05, seed: int = 0, trees: int = 40, depth: int = 5, percentile: float = 100, importance: str = "shap"
+) -> DataFrame:
+    """(feature, hits, trials, status): columns whose importance in a random forest beats that of the shadows.
 
     In each trial a forest of ml sees the columns and their shadows, which cannot tell the
-    classes; a hit is an importance above the greatest of a shadow. Too many hits to be a fair
+    classes; a hit is an importance above the ``percentile`` of the shadows' (100: above all). ``importance`` is 'shap', the mean
+    absolute SHAP value over all rows, or 'impurity', the forest's own. Too many hits to be a fair
     coin's make a column 'accepted', too few 'rejected' (binomial, corrected for the number of
-    columns), else it is 'tentative'.
+    columns), else it is 'tentative'. Rows with a null in a column or no label are left out.
     """
     from math import comb
 
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    rows = StringIndexer(inputCol=label, outputCol="_y").fit(df).transform(df.select(label, *columns))
-    assembler = VectorAssembler(inputCols=[*columns, *[f"s_{c}" for c in columns]], outputCol="_x")
+    if importance not in ("shap", "impurity"):
+        raise ValueError("importance is 'shap' or 'impurity'")
+    rows = df.select(label, *columns).dropna()
+    rows = StringIndexer(inputCol=label, outputCol="_y").fit(rows).transform(rows)
+    features = [*columns, *[f"s_{c}" for c in columns]]
+    assembler = VectorAssembler(inputCols=features, outputCol="_x")
     hits = dict.fromkeys(columns, 0)
     for t in range(trials):
-        mixed = assembler.transform(shadows(rows, columns, seed + 2 * t))
-        found = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=trees, seed=seed + t).fit(mixed).featureImportances.toArray()
+        mixed = shadows(rows, columns, seed + 2 * t)
+        forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed + t).fit(assembler.transform(mixed))
+        if importance == "shap":
+            by = {r["feature"]: r["importance"] for r in shap_importance(attribute(forest, df.sparkSession), mixed, features).collect()}
+            found = np.array([by[c] for c in features])
+        else:
+            found = forest.featureImportances.toArray()
+        limit = np.percentile(found[len(columns) :], percentile)
         for c, v in zip(columns, found, strict=False):
-            hits[c] += int(v > found[len(columns) :].max())
+            hits[c] += int(v > limit)
     tail = lambda k: sum(comb(trials, i) for i in range(k, trials + 1)) / 2**trials
     limit = alpha / len(columns)
     status = {c: "accepted" if tail(h) < limit else "rejected" if tail(trials - h) < limit else "tentative" for c, h in hits.items()}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkchemo.operators import neighbours, rebalance, search
-from sparkchemo.operators.projection import PLSDA, LatentRegression
+from sparkchemo.operators import attribution, neighbours, rebalance, screens, search
+from sparkchemo.operators.mcd import minimum_covariance
+from sparkchemo.operators.projection import PLSDA, Ellipse, LatentRegression
 from sparkchemo.operators.scaling import CorrectedScaler
 from sparkchemo.plans.catalogue import FEATURES, LABEL, ROW, query, rounded
 from sparkchemo.sources.tables import table
@@ -104,3 +105,58 @@ def edited_lineitem(spark, d):
     rows = table(spark, d, "lineitem").select(F.concat_ws("-", *ROW, *FEATURES, LABEL).alias("id"), *FEATURES, LABEL)
     df = CorrectedScaler(FEATURES).fit(rows).transform(rows)
     return rebalance.edited_neighbours(df, FEATURES, LABEL, "id", kind="mode").groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- robust covariance ------------------------------------------------------------------------------------------
+
+#: In one dimension the half of least variance is a stretch of the sorted rows, so SQL finds it among all of them. Fixed
+#: values: the chi-squared quantiles of one degree of freedom at 0.5 and 0.975.
+MCD_SQL = """WITH x AS (SELECT (l_extendedprice / 1000) ** 2 AS x, l_returnflag, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem),
+c AS (SELECT *, (n + 3) // 2 AS h, x - avg(x) OVER () AS z FROM x),
+s AS (SELECT *, sum(z) OVER (ORDER BY i) AS s1, sum(z * z) OVER (ORDER BY i) AS s2 FROM c),
+w AS (SELECT b.i, (b.s2 - coalesce(a.s2, 0)) / b.h - ((b.s1 - coalesce(a.s1, 0)) / b.h) ** 2 AS v FROM s b LEFT JOIN s a ON a.i = b.i - b.h WHERE b.i >= b.h),
+best AS (SELECT arg_min(i, v) AS i FROM w), core AS (SELECT avg(x) AS m, var_pop(x) AS v FROM c, best WHERE c.i <= best.i AND c.i > best.i - h),
+raw AS (SELECT any_value(m) AS m, quantile_cont((x - m) ** 2, 0.5) / 0.45493642311957283 AS v FROM x, core),
+fin AS (SELECT avg(x) AS m, var_pop(x) AS v FROM x, raw WHERE (x - raw.m) ** 2 / raw.v < 5.023886187314888)
+"""
+
+
+def squares(spark, d):
+    return table(spark, d, "lineitem").select(F.pow(F.col("l_extendedprice") / 1000, 2).alias("x"), LABEL)
+
+
+@query(MCD_SQL + "SELECT round(raw.m, 2) + 0.0 AS raw_location, round(sqrt(raw.v), 2) + 0.0 AS raw_scale, round(fin.m, 2) + 0.0 AS location, round(sqrt(fin.v), 2) + 0.0 AS scale FROM raw, fin")
+def mcd_price(spark, d):
+    """The robust location and scale of the squared prices, which crowd at their low end."""
+    raw, final = minimum_covariance(squares(spark, d), ["x"])
+    row = [float(v) for s in (raw, final) for v in (s.location[0], s.covariance[0, 0] ** 0.5)]
+    return rounded(spark.createDataFrame([row], "raw_location double, raw_scale double, location double, scale double"), 2)
+
+
+@query(MCD_SQL + "SELECT l_returnflag, (x - fin.m) ** 2 / fin.v <= 3.841458820694124 AS inlier, count(*) AS n FROM x, fin GROUP BY 1, 2")
+def mcd_limits(spark, d):
+    """Line items inside and outside the robust limits of the squared price, by class."""
+    df = squares(spark, d)
+    return Ellipse(["x"], robust="mcd").fit(df).score(df).groupBy(LABEL, "inlier").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- attributions -----------------------------------------------------------------------------------------------
+
+
+@query()
+def shap_lineitem(spark, d):
+    """The mean absolute SHAP value of each column in a forest for the return flag; tests enumerate feature subsets."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    df = table(spark, d, "lineitem").select(*FEATURES, LABEL)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(StringIndexer(inputCol=LABEL, outputCol="y", stringOrderType="alphabetAsc").fit(df).transform(df))
+    forest = RandomForestClassifier(labelCol="y", featuresCol="v", numTrees=10, maxDepth=4, seed=1).fit(rows)
+    return rounded(attribution.shap_importance(attribution.attribute(forest, spark), df, FEATURES))
+
+
+@query()
+def boruta_lineitem(spark, d):
+    """Columns that tell the line status apart from their shadows: the shipping day does, quantity and the rest do not."""
+    df = table(spark, d, "lineitem").select(F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("day"), *FEATURES, "l_linestatus")
+    return screens.boruta(df, ["day", *FEATURES], "l_linestatus", trials=8, trees=10, depth=4)
