@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,67 +42,126 @@ def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, see
     return in_random_order(df, label, keys, seed).withColumn("fold", (F.col("_k") % k).cast("int")).drop("_k")
 
 
-#: Groups that are placed one by one, the largest ones; smaller ones are dealt by a hash, which evens out by their number.
-PLACED = 10_000
+#: Different counts of groups told apart by class; beyond them, counts are by their leading bits only.
+KINDS = 100_000
+#: A run of equal groups: places from start to before stop go to the folds in turn.
+Run = tuple[int, int, list[int]]
 
 
-def _with_the_rest(sizes: DataFrame, group: str, placed: list[tuple], k: int, seed: int) -> DataFrame:
-    """(group, n, fold): the placed groups, and all others by a hash."""
-    kind = sizes.schema[group].dataType.simpleString()
-    table = sizes.sparkSession.createDataFrame(placed, f"`{group}` {kind}, n bigint, fold int")
-    if len(placed) < PLACED:
-        return table
-    others = sizes.join(F.broadcast(table.select(group)), group, "left_anti")
-    return table.union(others.select(group, "n", F.floor(uniform(seed, F.col(group)) * k).cast("int")))
+def _even_runs(load: list[int], size: int, m: int) -> list[Run]:
+    """``m`` groups of ``size`` rows, each to the fold with fewest rows so far, in closed form; ``load`` is changed.
+
+    The folds that are not ahead by a group or more take turns until the next one is caught up with, so there
+    are at most as many runs as folds and one.
+    """
+    runs, at = [], 0
+    while at < m:
+        order = sorted(range(len(load)), key=lambda i: (load[i], i))
+        least, first = load[order[0]], order[0]
+        if not size:
+            return [*runs, (at, m, [first])]
+        turn = [i for i in order if (load[i], i) < (least + size, first)]
+        rounds = -(-(m - at) // len(turn))
+        for i in order[len(turn) :]:  # rounds before fold i joins
+            ahead = load[i] - least
+            rounds = min(rounds, ahead // size - (ahead % size == 0 and i < first))
+        stop = min(m, at + max(1, rounds) * len(turn))
+        for j, i in enumerate(turn):
+            load[i] += size * len(range(at + j, stop, len(turn)))
+        runs.append((at, stop, turn))
+        at = stop
+    return runs
+
+
+def _stratified_runs(load: np.ndarray, own: np.ndarray, totals: np.ndarray, m: int) -> list[Run]:
+    """``m`` groups of ``own`` rows by class, each to the fold that leaves the classes' shares most even; ``load`` [fold, class] is changed.
+
+    As soon as each fold has had one in turn, the differences of the loads are what they were, and so are all turns to
+    come. Groups that after 64 choices a fold are still catching up go in batches that shrink to one.
+    """
+    k = len(load)
+    runs: list[Run] = []
+
+    def best() -> int:
+        share = load / totals
+        spread = [float(np.where(np.arange(k)[:, None] == f, share + own / totals, share).std(0).mean()) for f in range(k)]
+        return min(range(k), key=lambda f: (round(spread[f], 12), load[f].sum(), f))
+
+    at = 0
+    while at < m:
+        last = [f for *_, (f,) in runs[-k:]]
+        if len(set(last)) == k and all(stop - start == 1 for start, stop, _ in runs[-k:]):
+            for j, f in enumerate(last):
+                load[f] += own * len(range(at + j, m, k))
+            return [*runs, (at, m, last)]
+        size = 1 if len(runs) < 64 * k else max(1, (m - at) // (64 * k))
+        f = best()
+        load[f] += own * size
+        runs.append((at, at + size, [f]))
+        at += size
+    return runs
+
+
+def _placed(groups: DataFrame, group: str, kind: list[str], runs: dict[tuple, list[Run]]) -> DataFrame:
+    """(group, n, fold): groups of a kind are numbered by ``_order`` and the group, part by part of a range of them, and meet the runs."""
+    spread = cut_lineage(groups.repartitionByRange(*kind, "_order", group).withColumn("_part", F.spark_partition_id()))
+    sizes = spread.groupBy("_part", *kind).agg(F.count(F.lit(1)).alias("_m"))
+    ahead = sizes.select("_part", *kind, (F.sum("_m").over(Window.partitionBy(*kind).orderBy("_part")) - F.col("_m")).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_part", *kind).orderBy("_order", group)) - 1
+    numbered = spread.withColumn("_k", place).join(ahead, ["_part", *kind]).withColumn("_k", F.col("_k") + F.col("_ahead"))
+    rows = [(*own, *run) for own, several in runs.items() for run in several]
+    types = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in kind)
+    table = groups.sparkSession.createDataFrame(rows, f"{types}, _start bigint, _stop bigint, _turn array<int>")
+    met = numbered.join(F.broadcast(table) if len(rows) <= 10 * KINDS else table, kind).where("_k >= _start and _k < _stop")
+    return met.select(group, "n", F.get("_turn", ((F.col("_k") - F.col("_start")) % F.size("_turn")).cast("int")).alias("fold"))
 
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int | None = None) -> DataFrame:
-    """(group, n, fold): groups by falling size, or with ``seed`` in a random order, each to the fold with fewest rows so far.
+    """(group, n, fold): groups by falling size, each to the fold with fewest rows so far; ties by the group.
 
-    The choice is sequential, so only the PLACED largest groups are placed by it; a repeat is
-    a call with another seed. Rows join the small table.
+    With ``seed``, a repeat: sizes are as in a random 1 - 1/k of the rows, drawn for each group by its hash. Any number of
+    groups: those of a size are placed in turns worked out at once, so the driver sees a row for each
+    size that occurs (at most the root of twice the rows), and groups meet their turn in a join. Null is a group.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.withColumn("u", F.lit(0.0) if seed is None else uniform(seed, F.col(group))).orderBy(F.desc("n"), group).limit(PLACED).collect()
-    load, rows = [0] * k, []
-    for r in sorted(first, key=lambda r: (-r["n"], r[group]) if seed is None else (r["u"], r[group])):
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        rows.append((r[group], r["n"], f))
-    return _with_the_rest(sizes, group, rows, k, seed or 0)
-
-
-def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0) -> DataFrame:
+    drawn = F.col("n")
+    if seed is not None:
+        u, v = (uniform(seed + j, F.col(group)) for j in (0, 1 << 20))
+        normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
+        drawn = F.greatest(F.lit(0), F.least(F.col("n"), F.round(F.col("n") * (1 - 1 / k) + F.sqrt(F.col("n") * (1 - 1 / k) / k) * normal).cast("bigint")))
+    sizes = sizes.withColumns({"_size": drawn, "_order": F.lit(0)})
+    load, runs = [0] * k, {}
+    for r in sorted(sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("m")).collect(), key=lambda r: -r["_size"]):
+        runs[r["_size"],] = _even_runs(load, r["_size"], r["m"])
+    return _placed(sizes, group, ["_size"], runs)
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0, kinds: int = KINDS) -> DataFrame:
     """(group, n, fold): whole groups, with the classes spread as evenly over the folds as a greedy choice gets them.
 
     Groups of the most uneven classes come first, ties in a random order; each goes to the
-    fold that leaves the least deviation of the classes' shares over the folds.
+    fold that leaves the least deviation of the classes' shares over the folds. Groups with equal counts of all classes
+    are a kind and are placed in turns worked out at once, so the driver sees a row for each kind. Where there are
+    over ``kinds`` of them, counts are told apart by their first 8, 4, 2 or 1 binary digits.
     """
     cells = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
-    sizes = cells.groupBy(group).agg(F.sum("n").alias("n"))
-    first = sizes.orderBy(F.desc("n"), group).limit(PLACED)
-    counts: dict = {}
-    for r in cells.join(F.broadcast(first.select(group)), group).withColumn("u", uniform(seed, F.col(group))).collect():  # PLACED groups times their classes
-        counts.setdefault((r["u"], r[group]), {})[r[label]] = r["n"]
-    totals = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r[label]: r["n"] for r in cells.groupBy(label).agg(F.sum("n").alias("n")).collect()}
     classes = sorted(totals, key=str)
-
-    def spread(values: list[float]) -> float:
-        mean = sum(values) / len(values)
-        return math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-
-    load, rows = [dict.fromkeys(classes, 0) for _ in range(k)], []
-    for (u, g), own in sorted(counts.items(), key=lambda x: (-spread([x[1].get(c, 0) for c in classes]), x[0])):
-
-        def uneven(f: int) -> tuple[float, int, int]:
-            each = [spread([(load[i][c] + (own.get(c, 0) if i == f else 0)) / totals[c] for i in range(k)]) for c in classes]  # noqa: B023
-            return sum(each) / len(each), sum(load[f].values()), f
-
-        f = min(range(k), key=uneven)
-        for c, n in own.items():
-            load[f][c] += n
-        rows.append((g, sum(own.values()), f))
-    return _with_the_rest(sizes, group, rows, k, seed)
+    counts = [F.coalesce(F.sum(F.when(F.col(label).eqNullSafe(F.lit(c)), F.col("n"))), F.lit(0)) for c in classes]
+    groups = cells.groupBy(group).agg(F.sum("n").alias("n"), F.array(*counts).alias("_own")).withColumn("_order", uniform(seed, F.col(group)))
+    groups = cut_lineage(groups)
+    for bits in (None, 8, 4, 2, 1):
+        step = lambda c: F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(c, F.lit(1)))) - (bits - 1)))  # noqa: B023, E731
+        coarse = F.col("_own") if bits is None else F.transform("_own", lambda c: (F.floor(c / step(c)) * step(c)).cast("bigint"))  # noqa: B023
+        marked = groups.withColumn("_kind", F.array_join(coarse, ","))
+        if bits == 1 or marked.select("_kind").distinct().limit(kinds + 1).count() <= kinds:
+            break
+    means = [F.avg(F.col("_own")[i]).alias(f"c{i}") for i in range(len(classes))]
+    found = [(r["_kind"], r["m"], np.array([r[f"c{i}"] for i in range(len(classes))])) for r in marked.groupBy("_kind").agg(F.count(F.lit(1)).alias("m"), *means).collect()]
+    load, whole, runs = np.zeros((k, len(classes))), np.array([totals[c] for c in classes], float), {}
+    for name, m, own in sorted(found, key=lambda f: (-round(float(f[2].std()), 12), zlib.crc32(f"{seed},{f[0]}".encode()))):
+        runs[name,] = _stratified_runs(load, own, whole, m)
+    return _placed(marked, group, ["_kind"], runs)
 
 
 def repeated_folds(df: DataFrame, keys: Sequence[str], k: int, repeats: int, seed: int = 0, group: str | None = None) -> DataFrame:

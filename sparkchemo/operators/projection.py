@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkchemo.functions.expr import inlier_probability, linear, quadratic, total
+from sparkchemo.functions.expr import chi2_tail, inlier_probability, linear, quadratic, total
 from sparkchemo.functions.quantiles import quantiles
 from sparkchemo.functions.special import chi2_ppf, f_ppf, minimise_1d
 from sparkchemo.operators.mcd import minimum_covariance
@@ -145,8 +145,8 @@ class PCAModel:
 
     def extremes(self, df: DataFrame, upper_share: float = 0.25) -> DataFrame:
         """Expected against observed extremes: the fit stays, only the cut-off moves with alpha."""
-        top = max(1, int(self.n * upper_share))
-        return extremes_table(df, self.distance(), [(k, float(self.critical(k / self.n))) for k in range(1, top + 1)], self.n, True)
+        tail = chi2_tail(self.distance(), self.dof_h[0] + self.dof_q[0])
+        return extremes_table(df, F.ceil(F.lit(self.n) * tail), max(1, int(self.n * upper_share)), self.n)
 
     def loss(self, df: DataFrame, truth: str) -> DataFrame:
         return log_loss(self.score(df), truth)
@@ -158,14 +158,23 @@ def log_loss(scored: DataFrame, truth: str, eps: float = 1e-15) -> DataFrame:
     return scored.agg(F.avg(-F.log(F.when(F.col(truth), p).otherwise(1 - p))).alias("loss"), F.avg((F.col("inlier") == F.col(truth)).cast("double")).alias("accuracy"))
 
 
-def extremes_table(df: DataFrame, distance: Column, cuts: list[tuple[int, float]], n: int, closed: bool) -> DataFrame:
-    """(expected, observed, low, high): rows beyond each cut, with the band of two deviations; ``cuts`` ascend in expected."""
-    # Rows are counted by the first cut that they pass, and the counts added up: a row is looked at once.
-    edges = F.array(*[F.lit(c) for _, c in cuts])  # falling, as many as there are cuts
-    first = F.size(F.filter(edges, lambda e: (F.col("c") < e) if closed else (F.col("c") <= e)))
-    by = df.select(distance.alias("c")).groupBy(first.alias("k")).agg(F.count(F.lit(1)).alias("m"))
-    grid = df.sparkSession.createDataFrame([(k, i) for i, (k, _) in enumerate(cuts)], "expected int, place int")
-    counts = grid.join(F.broadcast(by), F.col("k") <= F.col("place"), "left").groupBy("expected").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("observed"))
+#: Expected counts whose running sum one task makes.
+STEP = 100_000
+
+
+def extremes_table(df: DataFrame, first: Column, top: int, n: int) -> DataFrame:
+    """(expected, observed, low, high) for 1 to ``top`` expected extremes of ``n``, with the band of two deviations.
+
+    ``first`` is the least expected count whose cut-off a row passes, from its own tail probability: so the rows are counted by
+    it, and the counts added up, without a cut-off being worked out for any count.
+    """
+    by = df.select(F.greatest(F.lit(1), first).cast("bigint").alias("expected")).where(F.col("expected") <= top).groupBy("expected").agg(F.count(F.lit(1)).alias("m"))
+    grid = df.sparkSession.range(1, top + 1).withColumnRenamed("id", "expected")
+    each = grid.join(by, "expected", "left").select("expected", F.coalesce("m", F.lit(0)).alias("m"), F.floor(F.col("expected") / STEP).alias("part"))
+    sums = each.groupBy("part").agg(F.sum("m").alias("m"))  # top / STEP rows
+    ahead = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("ahead"))
+    inside = F.sum("m").over(Window.partitionBy("part").orderBy("expected"))
+    counts = each.join(ahead, "part").select(F.col("expected").cast("int").alias("expected"), (F.col("ahead") + inside).alias("observed"))
     band = 2 * F.sqrt(F.col("expected") * (1 - F.col("expected") / n))
     return counts.select("expected", "observed", (F.col("expected") - band).alias("low"), (F.col("expected") + band).alias("high"))
 
@@ -320,8 +329,8 @@ class EllipseModel:
 
     def extremes(self, df: DataFrame, n: int, upper_share: float = 0.25) -> DataFrame:
         """Expected against observed extremes of ``n`` training rows: the fit stays, only the cut-off moves with alpha."""
-        cuts = [(k, math.sqrt(chi2_ppf(1 - k / n, len(self.columns)))) for k in range(1, max(1, int(n * upper_share)) + 1)]
-        return extremes_table(df, self.distance(), cuts, n, False)
+        d = self.distance()
+        return extremes_table(df, F.floor(F.lit(n) * chi2_tail(d * d, len(self.columns))) + 1, max(1, int(n * upper_share)), n)
 
     def shape(self) -> list[tuple[float, float]]:
         """(half axis, angle) of the boundary, longest first; in one dimension the half width."""

@@ -245,3 +245,22 @@ def test_group_folds_are_even_and_kennard_stone_starts_far(spark, df):
     assert sorted(got.values()) == [9, 12]
     order = [r["id"] for r in comparison.kennard_stone(df, C, "id", 12).orderBy("place").collect()]
     assert len(set(order)) == 12 and set(order) < set(range(120))
+
+
+def test_chi_squared_tails_and_extremes_by_inversion(spark):
+    from sparkchemo.functions.expr import chi2_tail
+    from sparkchemo.functions.special import chi2_ppf, gamma_p
+
+    dofs, xs = [1, 2, 3, 4, 7, 30, 151], [0.0, 1e-6, 0.3, 2.0, 6.2, 12.4, 12.6, 40.0, 160.0, 900.0, 2000.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[chi2_tail(F.col("x"), d).alias(f"d{d}") for d in dofs]).collect()
+    for r in got:
+        assert all(r[f"d{d}"] == pytest.approx(1 - gamma_p(d / 2, r["x"] / 2), abs=1e-13) for d in dofs)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * [1, 2, 3]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    model, ellipse = PCA(["a", "b", "c"], 2).fit(df), Ellipse(["a", "b", "c"]).fit(df)
+    for table, cut, scored in ((model.extremes(df), lambda k: model.critical(k / 400), model.score(df)), (ellipse.extremes(df, 400, 0.5), lambda k: chi2_ppf(1 - k / 400, 3) ** 0.5, ellipse.score(df))):
+        d = np.array([r["distance"] for r in scored.select("distance").collect()])
+        rows = table.orderBy("expected").collect()
+        assert [r["expected"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) in (100, 200)
+        assert [r["observed"] for r in rows] == [int((d > cut(k)).sum()) for k in range(1, len(rows) + 1)]

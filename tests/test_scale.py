@@ -63,23 +63,54 @@ def test_npy_round_trip_and_file_order(spark, tmp_path):
     assert x.columns == ["id", "1460.8"] and y.columns == ["id", "y"]
 
 
-def test_group_folds(spark, monkeypatch):
+def test_turns_equal_a_choice_for_each_group():
+    """The closed form against one choice after the other, of equal groups from any loads."""
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        load, size, m = rng.integers(0, 40, int(rng.integers(1, 6))).tolist(), int(rng.integers(0, 9)), int(rng.integers(1, 60))
+        loads, want = list(load), []
+        for _ in range(m):
+            f = min(range(len(loads)), key=lambda i: (loads[i], i))
+            loads[f] += size
+            want.append(f)
+        runs = comparison._even_runs(load, size, m)
+        assert [turn[(p - a) % len(turn)] for a, b, turn in runs for p in range(a, b)] == want and load == loads
+    # Groups that take turns for ever give as few runs, whatever their number.
+    assert len(comparison._even_runs([0, 7, 10**9], 3, 10**12)) <= 6
+    load = np.zeros((3, 2))
+    many = comparison._stratified_runs(load, np.array([2.0, 1.0]), np.array([9e12, 9e12]), 10**12)
+    assert len(many) <= 6 and np.ptp(load[:, 0]) <= 2 and load.sum() == 3 * 10**12
+
+
+def test_group_folds(spark):
     rng = np.random.default_rng(3)
     rows = [(f"g{g:02d}", "ab"[int(rng.random() < (0.9 if g % 2 else 0.1))]) for g in range(40) for _ in range(int(rng.integers(1, 30)))]
-    df = spark.createDataFrame(rows, "g string, y string")
+    df = spark.createDataFrame(rows, "g string, y string").coalesce(2)
     size = Counter(g for g, _ in rows)
-    for table in (comparison.group_folds(df, "g", 4), comparison.group_folds(df, "g", 4, seed=1), comparison.stratified_group_folds(df, "g", "y", 4)):
-        got = {r["g"]: (r["n"], r["fold"]) for r in table.collect()}
-        assert {g: n for g, (n, _) in got.items()} == size and {f for _, f in got.values()} == set(range(4))
-    share = defaultdict(Counter)
-    for g, y in rows:
-        share[got[g][1]][y] += 1
-    whole = Counter(y for _, y in rows)
-    assert all(abs(c["a"] / c.total() - whole["a"] / whole.total()) < 0.1 for c in share.values())
-    # Beyond the groups that are placed one by one, each still has a fold.
-    monkeypatch.setattr(comparison, "PLACED", 10)
-    rest = comparison.stratified_group_folds(df, "g", "y", 4).collect()
-    assert sorted(r["g"] for r in rest) == sorted(size) and all(0 <= r["fold"] < 4 for r in rest)
+    load, want = [0] * 4, {}
+    for g, n in sorted(size.items(), key=lambda x: (-x[1], x[0])):
+        want[g] = load.index(min(load))
+        load[want[g]] += n
+    for kinds in (comparison.KINDS, 5):
+        for table in (comparison.group_folds(df, "g", 4), comparison.group_folds(df, "g", 4, seed=1), comparison.stratified_group_folds(df, "g", "y", 4, kinds=kinds)):
+            got = {r["g"]: (r["n"], r["fold"]) for r in table.collect()}
+            assert {g: n for g, (n, _) in got.items()} == size and {f for _, f in got.values()} == set(range(4))
+        share = defaultdict(Counter)
+        for g, y in rows:
+            share[got[g][1]][y] += 1
+        whole = Counter(y for _, y in rows)
+        assert all(abs(c["a"] / c.total() - whole["a"] / whole.total()) < (0.1 if kinds > 5 else 0.2) for c in share.values())
+    assert {r["g"]: r["fold"] for r in comparison.group_folds(df, "g", 4).collect()} == want
+
+
+def test_many_groups_are_placed_evenly(spark):
+    """Far more groups than any list on the driver was long, a third of the rows in one, most of one row, a null group."""
+    df = spark.range(60000).select(F.when(F.col("id") < 20000, "hot").when(F.col("id") % 20 == 0, F.concat(F.lit("p"), F.col("id") % 1000)).when(F.col("id") != 59999, F.col("id").cast("string")).alias("g"), (F.col("id") % 3 == 0).alias("y"))
+    for table in (comparison.group_folds(df, "g", 4), comparison.stratified_group_folds(df, "g", "y", 4)):
+        n = {r["fold"]: (r["n"], r["groups"]) for r in table.groupBy("fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).collect()}
+        assert sum(a for a, _ in n.values()) == 60000 and sum(b for _, b in n.values()) == df.select("g").distinct().count()
+        rest = sorted(a for a, _ in n.values())
+        assert rest[3] == 20000 and rest[2] - rest[0] <= 800  # the hot group alone; the others level within a group of 800
 
 
 def test_kennard_stone(spark):
