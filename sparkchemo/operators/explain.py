@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkchemo.operators.spectra import _let
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, weight): rows / (classes * rows of the class)."""
@@ -39,22 +41,81 @@ def smoothed_losses(losses: Column, beta: float = 0.98) -> Column:
     return F.transform(raw, lambda v, i: v / (1 - F.pow(F.lit(beta), i + 1)))
 
 
-def activation_map(activation: Column, gradient: Column, elementwise: bool = False) -> Column:
-    """Relevance by place from arrays [place][channel]: channels weighted by their mean gradient, or entry by entry."""
+def _relevance(activation: Column, gradient: Column, elementwise: bool) -> Column:
+    """The signed relevance of each place of arrays [place][channel]."""
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
     if elementwise:
-        raw = F.zip_with(activation, gradient, dot)
-    else:
-        channels = F.sequence(F.lit(0), F.size(gradient[0]) - 1)
-        mean = F.transform(channels, lambda c: F.aggregate(gradient, F.lit(0.0), lambda s, row: s + F.get(row, c)) / F.size(gradient))
-        raw = F.transform(activation, lambda row: F.aggregate(F.zip_with(row, mean, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v))
-    up = F.transform(raw, lambda v: F.greatest(v, F.lit(0.0)))
+        return F.zip_with(activation, gradient, dot)
+    channels = F.sequence(F.lit(0), F.size(gradient[0]) - 1)
+    mean = F.transform(channels, lambda c: F.aggregate(gradient, F.lit(0.0), lambda s, row: s + F.get(row, c)) / F.size(gradient))
+    return F.transform(activation, lambda row: dot(row, mean))
+
+
+def activation_map(activation: Column, gradient: Column, elementwise: bool = False) -> Column:
+    """Relevance by place from arrays [place][channel]: channels weighted by their mean gradient, or entry by entry."""
+    up = F.transform(_relevance(activation, gradient, elementwise), lambda v: F.greatest(v, F.lit(0.0)))
     return F.transform(up, lambda v: F.try_divide(v, F.array_max(up)))
 
 
+def activation_map_2d(activation: Column, gradient: Column, elementwise: bool = True, symmetric: bool = True) -> Column:
+    """[row][column] relevance in [0, 1] of an image from arrays [row][column][channel]; null where nothing speaks for the class.
+
+    With ``symmetric`` (square maps), entries (i, j) and (j, i) are averaged before negative ones become 0, so what
+    speaks against the class on one side counts on the other.
+    """
+    width = F.size(activation[0])
+
+    def whole(flat: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(0), F.size(activation) - 1), lambda i: F.slice(flat, i * width + 1, width))
+        if symmetric:
+            at = lambda i, j: F.get(flat, i * width + j)
+            places = F.sequence(F.lit(0), width - 1)
+            rows = F.transform(places, lambda i: F.transform(places, lambda j: (at(i, j) + at(j, i)) / 2))
+        return _let(F.transform(rows, lambda row: F.transform(row, lambda v: F.greatest(v, F.lit(0.0)))), lambda up: _let(F.array_max(F.flatten(up)), lambda top: F.transform(up, lambda row: F.transform(row, lambda v: F.try_divide(v, top)))))
+
+    return _let(_relevance(F.flatten(activation), F.flatten(gradient), elementwise), whole)
+
+
+def condense(image: Column, how: str = "mean") -> Column:
+    """One importance for each column of an image [row][column]: the mean or the max of its entries."""
+    if how not in ("mean", "max"):
+        raise ValueError("how is 'mean' or 'max'")
+    column = lambda j: F.transform(image, lambda row: F.get(row, j))
+    one = (lambda v: F.array_max(v)) if how == "max" else (lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
+    return F.transform(F.sequence(F.lit(0), F.size(image[0]) - 1), lambda j: one(column(j)))
+
+
+def _weights(i: Column, size: Column, n: int) -> Column:
+    """(place, weight) of the places of an array of ``size`` that make place ``i`` of ``n``: a triangle about its centre."""
+    scale = size / F.lit(float(n))
+    center, reach = (i + 0.5) * scale, F.greatest(F.lit(1.0), scale)
+    first, last = F.greatest(F.lit(0), F.floor(center - reach + 0.5).cast("int")), F.least(size, F.floor(center + reach + 0.5).cast("int")) - 1
+    return F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("k"), F.greatest(F.lit(0.0), 1 - F.abs(k + 0.5 - center) / reach).alias("w")))
+
+
+def _blend(weights: Column, value) -> Column:
+    """The weighted mean of ``value`` of the places."""
+    sums = F.aggregate(weights, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, p: F.struct((a["s"] + p["w"] * value(p["k"])).alias("s"), (a["w"] + p["w"]).alias("w")))
+    return _let(sums, lambda a: a["s"] / a["w"])
+
+
+def resize_image(image: Column, rows: int, columns: int) -> Column:
+    """An image [row][column] stretched or shrunk to ``rows`` by ``columns`` by bilinear interpolation between the pixels' centres.
+
+    Shrinking averages over all pixels that a new one covers, by a triangle; edges are held.
+    """
+    wide = F.transform(image, lambda row: F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: _blend(_weights(j, F.size(row), columns), lambda k: F.get(row, k))))
+
+    def high(part: Column) -> Column:
+        pixel = lambda i, j: _blend(_weights(i, F.size(part), rows), lambda k: F.get(F.get(part, k), j))
+        return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: pixel(i, j)))
+
+    return _let(wide, high)
+
+
 def resample(x: Column, n: int) -> Column:
     """An array stretched to ``n`` places by linear interpolation."""
 

@@ -145,8 +145,8 @@ class PCAModel:
 
     def extremes(self, df: DataFrame, upper_share: float = 0.25) -> DataFrame:
         """Expected against observed extremes: the fit stays, only the cut-off moves with alpha."""
-        tail = chi2_tail(self.distance(), self.dof_h[0] + self.dof_q[0])
-        return extremes_table(df, F.ceil(F.lit(self.n) * tail), max(1, int(self.n * upper_share)), self.n)
+        tail = chi2_tail(F.col("c"), self.dof_h[0] + self.dof_q[0])
+        return extremes_table(df, self.distance(), F.ceil(F.lit(self.n) * tail), max(1, int(self.n * upper_share)), self.n)
 
     def loss(self, df: DataFrame, truth: str) -> DataFrame:
         return log_loss(self.score(df), truth)
@@ -162,13 +162,13 @@ def log_loss(scored: DataFrame, truth: str, eps: float = 1e-15) -> DataFrame:
 STEP = 100_000
 
 
-def extremes_table(df: DataFrame, first: Column, top: int, n: int) -> DataFrame:
+def extremes_table(df: DataFrame, distance: Column, first: Column, top: int, n: int) -> DataFrame:
     """(expected, observed, low, high) for 1 to ``top`` expected extremes of ``n``, with the band of two deviations.
 
-    ``first`` is the least expected count whose cut-off a row passes, from its own tail probability: so the rows are counted by
+    ``first`` is the least expected count whose cut-off a row passes, from the tail probability of its ``distance``, column c: so the rows are counted by
     it, and the counts added up, without a cut-off being worked out for any count.
     """
-    by = df.select(F.greatest(F.lit(1), first).cast("bigint").alias("expected")).where(F.col("expected") <= top).groupBy("expected").agg(F.count(F.lit(1)).alias("m"))
+    by = df.select(distance.alias("c")).select(F.greatest(F.lit(1), first).cast("bigint").alias("expected")).where(F.col("expected") <= top).groupBy("expected").agg(F.count(F.lit(1)).alias("m"))
     grid = df.sparkSession.range(1, top + 1).withColumnRenamed("id", "expected")
     each = grid.join(by, "expected", "left").select("expected", F.coalesce("m", F.lit(0)).alias("m"), F.floor(F.col("expected") / STEP).alias("part"))
     sums = each.groupBy("part").agg(F.sum("m").alias("m"))  # top / STEP rows
@@ -329,8 +329,8 @@ class EllipseModel:
 
     def extremes(self, df: DataFrame, n: int, upper_share: float = 0.25) -> DataFrame:
         """Expected against observed extremes of ``n`` training rows: the fit stays, only the cut-off moves with alpha."""
-        d = self.distance()
-        return extremes_table(df, F.floor(F.lit(n) * chi2_tail(d * d, len(self.columns))) + 1, max(1, int(n * upper_share)), n)
+        tail = chi2_tail(F.col("c") * F.col("c"), len(self.columns))
+        return extremes_table(df, self.distance(), F.floor(F.lit(n) * tail) + 1, max(1, int(n * upper_share)), n)
 
     def shape(self) -> list[tuple[float, float]]:
         """(half axis, angle) of the boundary, longest first; in one dimension the half width."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,3 +160,35 @@ def gramian_field(x: Column, difference: bool = False) -> Column:
         return F.when(high > low, made)
 
     return _let(x, field)
+
+
+def image_table(
+    df: DataFrame, key: str, spectrum: str, label: str, start: int = 0, stop: int | None = None, test_size: float = 0.0, exclude: Sequence[str] = (), renormalise: bool = True, difference: bool = False, seed: int = 42
+) -> DataFrame:
+    """(key, label, code, split, spectrum, image): spectra made images in one lazy plan.
+
+    Classes of ``exclude`` go; the part [start, stop) of a spectrum, with ``renormalise`` divided by its sum, becomes
+    logarithms and these a Gramian angular field, each from its own spectrum alone. Each class is split alike: of its
+    rows, in the order of a hash of the key, the last ``test_size`` share, rounded up, is 'test'. ``code`` numbers the classes that are left by name. Rows without label or spectrum are left out, and
+    spectra without a sum or all alike give a null image.
+    """
+    from sparkchemo.operators.comparison import in_random_order
+    from sparkchemo.operators.explain import encode_labels
+
+    if stop is not None and start >= stop:
+        raise ValueError("the range goes from low to high")
+    if not 0 <= test_size < 1:
+        raise ValueError("test_size is a share below 1")
+    rows = df.select(key, F.col(spectrum).alias("_x"), label).dropna()
+    rows = encode_labels(rows.where(~F.col(label).isin(list(exclude))) if exclude else rows, label)
+    size = (F.lit(stop) if stop is not None else F.size("_x")) - start
+    rows = rows.withColumn("split", F.lit("train"))
+    if test_size:
+        placed = in_random_order(rows.drop("split"), label, [key], seed)
+        n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # a row a class
+        rows = placed.join(F.broadcast(n), label).withColumn("split", F.when(F.col("_k") >= F.col("_n") - F.ceil(F.col("_n") * test_size), "test").otherwise("train"))
+    part = F.slice("_x", start + 1, size)
+    log = lambda x: F.transform(x, lambda v: F.log(F.greatest(v, F.lit(1e-7))))
+    made = _let(part, lambda y: _let(array_sum(y), lambda s: log(F.transform(y, lambda v: F.try_divide(v, s))))) if renormalise else log(part)
+    rows = rows.select(key, label, "code", "split", made.alias("spectrum"))
+    return rows.withColumn("image", gramian_field(F.col("spectrum"), difference))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkchemo.operators import attribution, neighbours, rebalance, screens, search
+from sparkchemo.operators import attribution, explain, neighbours, rebalance, screens, search, spectra
 from sparkchemo.operators.mcd import minimum_covariance
 from sparkchemo.operators.projection import PLSDA, Ellipse, LatentRegression
 from sparkchemo.operators.scaling import CorrectedScaler
-from sparkchemo.plans.catalogue import FEATURES, LABEL, ROW, query, rounded
+from sparkchemo.plans.catalogue import FEATURES, LABEL, ROW, V_SQL, query, rounded, spectra_of
 from sparkchemo.sources.tables import table
 
 PRICE = ["l_quantity", "l_discount", "l_tax"]
@@ -160,3 +160,71 @@ def boruta_lineitem(spark, d):
     """Columns that tell the line status apart from their shadows: the shipping day does, quantity and the rest do not."""
     df = table(spark, d, "lineitem").select(F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("day"), *FEATURES, "l_linestatus")
     return screens.boruta(df, ["day", *FEATURES], "l_linestatus", trials=8, trees=10, depth=4)
+
+
+# --- images -----------------------------------------------------------------------------------------------------
+
+#: Four by four places of four channels; the gradients are the same numbers, places and channels exchanged.
+MAP_SQL = """WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS z, unnest(embedding)::DOUBLE AS v FROM embeddings),
+a AS (SELECT vec_id, z // 16 AS r, z // 4 % 4 AS c, z % 4 AS ch, v FROM l), g AS (SELECT vec_id, z // 4 % 4 AS r, z % 4 AS c, z // 16 AS ch, v FROM l),
+w AS (SELECT a.vec_id, a.r, a.c, sum(a.v * g.v) AS v FROM a JOIN g USING (vec_id, r, c, ch) GROUP BY ALL),
+s AS (SELECT w.vec_id, w.r, w.c, greatest(0, (w.v + t.v) / 2) AS v FROM w JOIN w t ON t.vec_id = w.vec_id AND t.r = w.c AND t.c = w.r),
+m AS (SELECT vec_id, r, c, v / nullif(max(v) OVER (PARTITION BY vec_id), 0) AS v FROM s)
+"""
+
+
+def maps(spark, d):
+    at = lambda i: F.col("embedding")[i].cast("double")
+    image = lambda place: F.array(*[F.array(*[F.array(*[at(place(r, c, ch)) for ch in range(4)]) for c in range(4)]) for r in range(4)])
+    found = explain.activation_map_2d(image(lambda r, c, ch: 16 * r + 4 * c + ch), image(lambda r, c, ch: 16 * ch + 4 * r + c))
+    return table(spark, d, "embeddings").select("vec_id", found.alias("map"))
+
+
+@query(
+    MAP_SQL
+    + """, p AS (SELECT i, k, greatest(0, 1 - abs(k + 0.5 - (i + 0.5) * 4 / 10.0)) AS w FROM (SELECT unnest(range(0, 10)) AS i), (SELECT unnest(range(0, 4)) AS k)),
+n AS (SELECT i, k, w / sum(w) OVER (PARTITION BY i) AS w FROM p)
+SELECT vec_id, a.i AS r, b.i AS c, round(sum(a.w * b.w * v), 5) + 0.0 AS v FROM m JOIN n a ON a.k = m.r JOIN n b ON b.k = m.c WHERE v IS NOT NULL GROUP BY ALL"""
+)
+def activation_image(spark, d):
+    """Symmetric activation maps of four by four places, stretched to ten by ten."""
+    out = maps(spark, d).where(F.col("map")[0][0].isNotNull()).select("vec_id", F.posexplode(explain.resize_image(F.col("map"), 10, 10)).alias("r", "row"))
+    out = out.select("vec_id", F.col("r").cast("bigint").alias("r"), F.posexplode("row").alias("c", "v"))
+    return rounded(out.withColumn("c", F.col("c").cast("bigint")), 5)
+
+
+@query(MAP_SQL + "SELECT vec_id, c AS i, round(avg(v), 5) + 0.0 AS mean, round(max(v), 5) + 0.0 AS max FROM m WHERE v IS NOT NULL GROUP BY ALL")
+def activation_condensed(spark, d):
+    """Each map's importance by column, as a series is coloured with."""
+    both = F.arrays_zip(explain.condense(F.col("map")).alias("mean"), explain.condense(F.col("map"), "max").alias("max"))
+    out = maps(spark, d).where(F.col("map")[0][0].isNotNull()).select("vec_id", F.posexplode(both).alias("i", "z"))
+    return rounded(out.select("vec_id", F.col("i").cast("bigint").alias("i"), "z.mean", "z.max"), 5)
+
+
+def images(spark, d):
+    rows = spectra_of(spark, d).withColumn("cls", F.concat(F.lit("class "), F.col("user_id") % 4))
+    return spectra.image_table(rows, "user_id", "x", "cls", 4, 20, test_size=0.2, exclude=["class 2"])
+
+
+@query(
+    """WITH u AS (SELECT 'class ' || (user_id % 4) AS cls, count(DISTINCT user_id) AS n FROM events WHERE user_id % 4 <> 2 GROUP BY 1),
+t AS (SELECT cls, n, ceil(n * 0.2)::BIGINT AS test, row_number() OVER (ORDER BY cls) - 1 AS code FROM u)
+SELECT cls, code::INT AS code, 'test' AS split, test AS n FROM t UNION ALL SELECT cls, code::INT, 'train', n - test FROM t"""
+)
+def image_splits(spark, d):
+    """Images by class and split: a fifth of each class is held out, one class is left out."""
+    return images(spark, d).groupBy("cls", "code", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    V_SQL
+    + """, y AS (SELECT user_id, i, ln(greatest(v / sum(v) OVER (PARTITION BY user_id), 1e-7)) AS v FROM v WHERE i BETWEEN 4 AND 19 AND user_id % 4 <> 2),
+r AS (SELECT user_id, i, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM y WINDOW w AS (PARTITION BY user_id)),
+a AS (SELECT user_id, i, least(1, greatest(-1, (2 * v - lo - hi) / (hi - lo))) AS c FROM r WHERE hi > lo)
+SELECT user_id, count(*) ** 2 AS pixels, round(sum(c) ** 2 - sum(sqrt(1 - c * c)) ** 2, 3) + 0.0 AS total FROM a GROUP BY user_id"""
+)
+def image_sums(spark, d):
+    """Number and sum of the pixels of each image, from the clipped, renormalised, logarithmic spectrum to the field."""
+    flat = F.flatten("image")
+    out = images(spark, d).where("image is not null").select("user_id", F.size(flat).cast("double").alias("pixels"), F.aggregate(flat, F.lit(0.0), lambda s, v: s + v).alias("total"))
+    return rounded(out, 3)
