@@ -18,43 +18,47 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: Callable[[
     """name -> (n, {rank: value}) of each column's values that are not null; ``ranks`` gives the ranks (from 0) for n values.
 
     The first pass takes ends and numbers. A further pass counts, for each interval that
-    holds a wanted rank, the values below and inside by bin; the bin with the rank is the
-    next interval. An interval of at most ``few`` values is listed instead. What is shuffled
-    and collected in a pass is about ``bins`` small rows for each interval.
+    holds a wanted rank, its values by bin; the bin with the rank is the
+    next interval, and how many values lie below it is known by then. An interval of at most ``few`` values is listed
+    instead. What is shuffled and collected in a pass is about ``bins`` small rows for each interval; the values
+    are kept for the passes where executors have room, and worked out again where not.
     """
     x = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
-    x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in x.columns])
-    names = list(values)
+    x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in x.columns]).persist()
+    try:
+        return _narrowed(x, list(values), ranks, bins, few)
+    finally:
+        x.unpersist()
+
+
+def _narrowed(x: DataFrame, names: list[str], ranks: Callable[[int], set[int]], bins: int, few: int) -> dict[str, tuple[int, dict[int, float]]]:
     row = x.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
     found: dict[str, tuple[int, dict[int, float]]] = {name: (row[f"n{i}"], {}) for i, name in enumerate(names)}
-    open_: dict[tuple[int, float, float], tuple[int, set[int]]] = {}  # column, lo, hi -> values inside, wanted ranks
+    open_: dict[tuple[int, float, float], tuple[int, int, set[int]]] = {}  # column, lo, hi -> values below, values inside, wanted ranks
     for i in range(len(names)):
         if row[f"n{i}"]:
-            open_[i, row[f"lo{i}"], row[f"hi{i}"]] = (row[f"n{i}"], ranks(row[f"n{i}"]))
+            open_[i, row[f"lo{i}"], row[f"hi{i}"]] = (0, row[f"n{i}"], ranks(row[f"n{i}"]))
     while open_:
         parts = []
-        for at, ((i, lo, hi), (inside, _)) in enumerate(open_.items()):
+        for at, ((i, lo, hi), (_, inside, _)) in enumerate(open_.items()):
             v = F.col(f"v{i}")
             low, high = (min(max(e, -MOST), MOST) / 2 for e in (lo, hi))  # halves, so that no difference overflows
             half = F.least(F.greatest(v, F.lit(-MOST)), F.lit(MOST)) / 2
             place = F.least(F.lit(bins - 1), F.floor((half - low) / (high - low) * bins)).cast("double") if inside > few and high > low else v
-            inner = F.struct(F.lit(at).alias("at"), F.lit(False).alias("under"), place.alias("place"), v.alias("v"))
-            below = F.struct(F.lit(at).alias("at"), F.lit(True).alias("under"), F.lit(0.0).alias("place"), v.alias("v"))
-            parts.append(F.when(v < lo, below).when(v <= hi, inner))
+            parts.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(at).alias("at"), place.alias("place"), v.alias("v"))))
         each = x.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
         counts: dict[int, list] = {}
-        for r in each.groupBy("at", "under", "place").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+        for r in each.groupBy("at", "place").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
             counts.setdefault(r["at"], []).append(r)
-        after: dict[tuple[int, float, float], tuple[int, set[int]]] = {}
-        for at, ((i, _, _), (_, wanted)) in enumerate(open_.items()):
-            before = 0
-            for r in sorted(counts.get(at, []), key=lambda r: (not r["under"], r["place"])):
-                own = set() if r["under"] else {k for k in wanted if before <= k < before + r["n"]}
-                before += r["n"]
+        after: dict[tuple[int, float, float], tuple[int, int, set[int]]] = {}
+        for at, ((i, _, _), (before, _, wanted)) in enumerate(open_.items()):
+            for r in sorted(counts.get(at, []), key=lambda r: r["place"]):
+                own = {k for k in wanted if before <= k < before + r["n"]}
                 if own and r["lo"] == r["hi"]:
                     found[names[i]][1].update(dict.fromkeys(own, r["lo"]))
                 elif own:
-                    after.setdefault((i, r["lo"], r["hi"]), (r["n"], set()))[1].update(own)
+                    after.setdefault((i, r["lo"], r["hi"]), (before, r["n"], set()))[2].update(own)
+                before += r["n"]
         open_ = after
     return found
 

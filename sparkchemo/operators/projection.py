@@ -168,7 +168,8 @@ def extremes_table(df: DataFrame, distance: Column, first: Column, top: int, n:
     ``first`` is the least expected count whose cut-off a row passes, from the tail probability of its ``distance``, column c: so the rows are counted by
     it, and the counts added up, without a cut-off being worked out for any count.
     """
-    by = df.select(distance.alias("c")).select(F.greatest(F.lit(1), first).cast("bigint").alias("expected")).where(F.col("expected") <= top).groupBy("expected").agg(F.count(F.lit(1)).alias("m"))
+    # The generator keeps the planner from working the distance out anew wherever the tail uses it.
+    by = df.select(F.explode(F.array(distance)).alias("c")).select(F.greatest(F.lit(1), first).cast("bigint").alias("expected")).where(F.col("expected") <= top).groupBy("expected").agg(F.count(F.lit(1)).alias("m"))
     grid = df.sparkSession.range(1, top + 1).withColumnRenamed("id", "expected")
     each = grid.join(by, "expected", "left").select("expected", F.coalesce("m", F.lit(0)).alias("m"), F.floor(F.col("expected") / STEP).alias("part"))
     sums = each.groupBy("part").agg(F.sum("m").alias("m"))  # top / STEP rows

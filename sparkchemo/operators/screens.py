@@ -162,23 +162,39 @@ def js_pairs(df: DataFrame, columns: Sequence[str], label: str, bins: int = 25)
     return each.groupBy("a", "b").agg(F.max(F.struct("jsd", "feature")).alias("m")).select("a", "b", "m.feature", "m.jsd")
 
 
+#: Different values of a column up to which its ranks are broadcast.
+FEW = 10_000
+
+
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(_row, r_<column>...): ranks with ties averaged, for all columns in one long table.
+    """(r_<column>...): ranks with ties averaged, a row for each of ``df``; null is a value, the least.
 
-    Distinct values of all columns are counted and dealt by range; parts are numbered by
-    their sizes, so no task sees a whole column. Rows meet the ranks in one join, however
-    many columns there are, and come together again by their number.
+    Distinct values of all columns are counted. Ranks of columns with at most FEW of them are broadcast to the rows. Values of the
+    other columns are dealt by range and the parts numbered by their sizes, so no task sees a whole column, and each of
+    these columns is a join on its values, in which a frequent one can be split. Rows are never taken apart by column.
     """
     one = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
-    numbered = df.select(F.monotonically_increasing_id().alias("_row"), one.alias("x"))
-    long = numbered.select("_row", F.explode("x").alias("x")).select("_row", "x.f", "x.v")
-    values = cut_lineage(long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()))
-    sizes = values.groupBy("part", "f").agg(F.sum("n").alias("n"))
-    ahead = sizes.select("part", "f", (F.sum("n").over(Window.partitionBy("f").orderBy("part")) - F.col("n")).alias("ahead"))
-    inside = F.sum("n").over(Window.partitionBy("part", "f").orderBy("v"))
-    ranks = values.join(F.broadcast(ahead), ["part", "f"]).select("f", F.col("v").alias("w"), (F.col("ahead") + inside - (F.col("n") - 1) / 2).alias("r"))
-    met = long.join(ranks.withColumnRenamed("f", "g"), (F.col("f") == F.col("g")) & F.col("v").eqNullSafe(F.col("w")))
-    return met.groupBy("_row").agg(*[F.max(F.when(F.col("f") == i, F.col("r"))).alias(f"r_{c}") for i, c in enumerate(columns)])
+    long = df.select(F.explode(one).alias("x")).select("x.f", "x.v")
+    counts = cut_lineage(long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")))
+    different = {r["f"]: r["n"] for r in counts.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = [i for i in range(len(columns)) if different.get(i, 0) > FEW]
+    rows = df.select(*[F.col(c).cast("double").alias(f"r_{c}") for c in columns])
+    ranks = None
+    if many:
+        values = cut_lineage(counts.where(F.col("f").isin(many)).repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()))
+        sizes = values.groupBy("part", "f").agg(F.sum("n").alias("n"))
+        ahead = sizes.select("part", "f", (F.sum("n").over(Window.partitionBy("f").orderBy("part")) - F.col("n")).alias("ahead"))
+        inside = F.sum("n").over(Window.partitionBy("part", "f").orderBy("v"))
+        ranks = cut_lineage(values.join(F.broadcast(ahead), ["part", "f"]).select("f", "v", (F.col("ahead") + inside - (F.col("n") - 1) / 2).alias("r")))
+    for i in [*many, *(i for i in range(len(columns)) if i not in many)]:  # joins that shuffle come first
+        name = f"r_{columns[i]}"
+        if i in many:
+            own = ranks.where(F.col("f") == i).select(F.col("v").alias("_v"), F.col("r").alias("_r"))
+        else:
+            few = counts.where(F.col("f") == i)
+            own = F.broadcast(few.select(F.col("v").alias("_v"), (F.sum("n").over(Window.orderBy("v")) - (F.col("n") - 1) / 2).alias("_r")))  # FEW rows at most
+        rows = rows.join(own, F.col(name).eqNullSafe(F.col("_v"))).withColumn(name, F.col("_r")).drop("_v", "_r")
+    return rows
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
