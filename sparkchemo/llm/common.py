@@ -16,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only if it is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); unset on one machine, as in tests, a temporary one, on a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='scratch')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -40,6 +40,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("id")).distinct()
     alone = loops.distinct().join(found.select("id").union(roots), "id", "left_anti")

@@ -224,6 +224,7 @@ def score_quality(docs: DataFrame, net: ByteNet) -> DataFrame:
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from four fifths of the labels; null and empty texts have a score too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = fold(F.col("doc_id"), 5) == 0
     net = fit(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
