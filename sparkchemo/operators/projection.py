@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import chi2_tail, inlier_probability, linear, quadratic, total
@@ -143,6 +143,12 @@ class PCAModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"pc{k + 1}": t for k, t in enumerate(self.space.scores())})
 
+    def loadings(self, spark: SparkSession) -> DataFrame:
+        """(component, feature, loading, explained): the axes as a table; ``explained`` is the component's variance."""
+        space = self.space
+        rows = [(k + 1, c, float(space.axes[i, k]), float(space.variances[k])) for k in range(space.axes.shape[1]) for i, c in enumerate(space.columns)]
+        return spark.createDataFrame(rows, "component int, feature string, loading double, explained double")
+
     def extremes(self, df: DataFrame, upper_share: float = 0.25) -> DataFrame:
         """Expected against observed extremes: the fit stays, only the cut-off moves with alpha."""
         tail = chi2_tail(F.col("c"), self.dof_h[0] + self.dof_q[0])

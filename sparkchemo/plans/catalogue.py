@@ -543,21 +543,31 @@ def ddsimca_clean(spark, d):
     return m.score(df).groupBy("inlier", "outlier").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _simca_sql() -> str:
-    """Four columns and two axes leave two degrees above, where the F law has a closed form."""
+SIMCA_TABLE = "SELECT l_orderkey, l_linenumber, round(distance, 4) + 0.0 AS distance, distance < f AS inlier FROM r"
+
+
+def _simca_sql(keys: list[str], rest: str) -> str:
+    """Four columns and two axes leave two degrees above, where the F law has a closed form; ``rest`` reads ``r`` (keys, distance, f)."""
     left = lambda i: f"z{i} - " + " - ".join(f"({model_sql.cell('p1', i, j)} + {model_sql.cell('p2', i, j)}) * z{j}" for j in range(4))
     q = " + ".join(f"s.s{i} * s.s{i} * pow({left(i)}, 2)" for i in range(4))
-    parts = [model_sql.standardised("SELECT * FROM lineitem WHERE l_returnflag = 'N'", ALL, FEATURES, ROW, True), model_sql.axes(4, 2)]
-    parts += [f"t AS (SELECT sum({q}) AS total FROM zt, e, s)", f"r AS (SELECT l_orderkey, l_linenumber, ({q}) / 2 / (total / (2 * (s.n - 3))) AS distance, s.n AS n FROM z, e, s, t)"]
-    return "WITH RECURSIVE " + ", ".join(parts) + " SELECT l_orderkey, l_linenumber, round(distance, 4) + 0.0 AS distance, distance < (n - 3) * (pow(0.05, -1.0 / (n - 3)) - 1) AS inlier FROM r"
+    parts = [model_sql.standardised("SELECT * FROM lineitem WHERE l_returnflag = 'N'", ALL, FEATURES, keys, True), model_sql.axes(4, 2)]
+    parts += [f"t AS (SELECT sum({q}) AS total FROM zt, e, s)", f"r AS (SELECT {', '.join(keys)}, ({q}) / 2 / (total / (2 * (s.n - 3))) AS distance, (s.n - 3) * (pow(0.05, -1.0 / (s.n - 3)) - 1) AS f FROM z, e, s, t)"]
+    return "WITH RECURSIVE " + ", ".join(parts) + " " + rest
 
 
-@query(_simca_sql())
+@query(_simca_sql(ROW, SIMCA_TABLE))
 def simca_distance(spark, d):
     df = lines(spark, d)
     return rounded(SIMCA(FEATURES, 2).fit(df.where(F.col(LABEL) == "N")).score(df).select(*ROW, "distance", "inlier"))
 
 
+@query(_simca_sql([LABEL], _loss_sql(PROBABLE_SQL.format(crit="sqrt(f)", dist="sqrt(distance)"), "distance < f", "l_returnflag = 'N'") + " FROM r"))
+def simca_loss(spark, d):
+    """Log loss and accuracy of the decision, by the probabilities of its margin."""
+    df = lines(spark, d)
+    return rounded(SIMCA(FEATURES, 2).fit(df.where(F.col(LABEL) == "N")).loss(df.withColumn("truth", F.col(LABEL) == "N"), "truth"), 6)
+
+
 E8 = [f"e{i}" for i in range(8)]
 
 
@@ -929,19 +939,22 @@ def elbow(spark, d):
     return clusters.elbow(suppliers(spark, d), ["s_acctbal"], range(1, 5))
 
 
-@query("SELECT i AS step, round(0.001 + 0.005 * greatest(0, 1 - abs(i / 8.0 - 2 * floor(1 + i / 16.0) + 1)) / 2 ** (floor(1 + i / 16.0) - 1), 7) AS rate FROM (SELECT unnest(range(0, 50)) AS i)")
+@query("SELECT o_orderkey, round(0.001 + 0.005 * greatest(0, 1 - abs(i / 8.0 - 2 * floor(1 + i / 16.0) + 1)) / 2 ** (floor(1 + i / 16.0) - 1), 7) AS rate FROM (SELECT o_orderkey, o_orderkey % 100 AS i FROM orders)")
 def cyclical_rate(spark, d):
-    return rounded(spark.range(50).select(F.col("id").alias("step"), explain.cyclical_rate(F.col("id"), 0.001, 0.006, 8, "triangular2").alias("rate")), 7)
+    """The rate at the step that each order's key stands for, halved every cycle."""
+    step = F.col("o_orderkey") % 100
+    return rounded(table(spark, d, "orders").select("o_orderkey", explain.cyclical_rate(step, 0.001, 0.006, 8, "triangular2").alias("rate")), 7)
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT i, 1e-4 * 1.2 ** i AS rate, 0.2 + (i - 30) ** 2 / 500.0 AS loss FROM (SELECT unnest(range(0, 45)) AS i)),
+    """WITH RECURSIVE r AS (SELECT hour(ts) AS i, 1e-4 * 1.2 ** hour(ts) AS rate, 10 + avg(value) AS loss FROM events GROUP BY hour(ts)),
 m AS (SELECT -1::BIGINT AS i, 0::DOUBLE AS m, NULL::DOUBLE AS rate UNION ALL SELECT r.i, 0.98 * m.m + 0.02 * r.loss, r.rate FROM m JOIN r ON r.i = m.i + 1),
 l AS (SELECT i, rate, m / (1 - 0.98 ** (i + 1)) AS loss FROM m WHERE i >= 0), f AS (SELECT *, loss - lag(loss) OVER (ORDER BY i) AS fall FROM l), t AS (SELECT arg_min(i, loss) AS i FROM f)
 SELECT round(arg_min(rate, coalesce(fall, 0)), 7) AS base, round(max(rate), 7) AS top FROM f WHERE i <= (SELECT i FROM t)"""
 )
 def rate_pick(spark, d):
-    sweep = spark.range(45).select("id", (1e-4 * F.pow(F.lit(1.2), "id")).alias("rate"), (0.2 + F.pow(F.col("id") - 30, 2) / 500).alias("loss"))
+    """Ends of a cyclical rate from a sweep in which the hours of the day stand for the steps and the events' mean values for losses."""
+    sweep = table(spark, d, "events").groupBy(F.hour("ts").alias("id")).agg((10 + F.avg("value")).alias("loss")).withColumn("rate", 1e-4 * F.pow(F.lit(1.2), "id"))
     return rounded(explain.pick_rates(sweep, "id", "rate", "loss"), 7)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from sparkchemo.operators import attribution, explain, neighbours, rebalance, screens, search, spectra
 from sparkchemo.operators.mcd import minimum_covariance
-from sparkchemo.operators.projection import PLSDA, Ellipse, LatentRegression
+from sparkchemo.operators.projection import PCA, PLSDA, Authenticator, Ellipse, LatentRegression
 from sparkchemo.operators.scaling import CorrectedScaler
-from sparkchemo.plans.catalogue import FEATURES, LABEL, ROW, V_SQL, query, rounded, spectra_of
+from sparkchemo.plans.catalogue import ELLIPSE_SQL, FEATURES, LABEL, ROW, V_SQL, lines, query, rounded, spectra_of
 from sparkchemo.sources.tables import table
 
 PRICE = ["l_quantity", "l_discount", "l_tax"]
@@ -228,3 +230,52 @@ def image_sums(spark, d):
     flat = F.flatten("image")
     out = images(spark, d).where("image is not null").select("user_id", F.size(flat).cast("double").alias("pixels"), F.aggregate(flat, F.lit(0.0), lambda s, v: s + v).alias("total"))
     return rounded(out, 3)
+
+
+# --- models -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH k AS (SELECT * FROM lineitem WHERE l_returnflag = 'R'), "
+    + ELLIPSE_SQL
+    + """, i AS (SELECT l_returnflag = 'R' AS own, dist <= sqrt(-2 * ln(0.5)) AS inside FROM o),
+r AS (SELECT avg(inside::INT) FILTER (own) AS tsns, 1 - avg(inside::INT) FILTER (NOT own) AS tsps, avg((inside = own)::INT) AS acc FROM i)
+SELECT round(tsns, 6) AS tsns, round(tsps, 6) AS tsps, round(acc, 6) AS acc, round(sqrt(tsns * tsps), 6) AS teff, round(0 - (tsns - 0.5) ** 2, 6) + 0.0 AS score FROM r"""
+)
+def elliptic_authenticate(spark, d):
+    """An ellipse of one class as its authenticator, scored rigorously."""
+    df = lines(spark, d)
+    auth = Authenticator(Ellipse(["l_quantity", "l_discount"], alpha=0.5), LABEL, "R", "rigorous")
+    return rounded(auth.metrics(auth.fit(df), df), 6)
+
+
+#: Principal axes of two columns in closed form.
+TWO_SQL = """WITH x AS (SELECT l_quantity::DOUBLE AS x, 100 * l_tax AS y FROM lineitem),
+s AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM x),
+e AS (SELECT *, 0.5 * atan2(2 * b, a - c) AS w, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS v1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS v2 FROM s)
+"""
+
+
+def two(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (100 * F.col("l_tax")).alias("y"))
+
+
+@query(
+    TWO_SQL
+    + """, t AS (SELECT (x - mx) * cos(w) + (y - my) * sin(w) AS t1, (y - my) * cos(w) - (x - mx) * sin(w) AS t2 FROM x, e), g AS (SELECT sign(arg_max(t1, abs(t1))) AS g1, sign(arg_max(t2, abs(t2))) AS g2 FROM t)
+SELECT component, feature, round(loading, 5) + 0.0 AS loading, round(explained, 4) AS explained FROM (
+SELECT 1 AS component, 'x' AS feature, g1 * cos(w) AS loading, v1 AS explained FROM e, g UNION ALL SELECT 1, 'y', g1 * sin(w), v1 FROM e, g
+UNION ALL SELECT 2, 'x', -g2 * sin(w), v2 FROM e, g UNION ALL SELECT 2, 'y', g2 * cos(w), v2 FROM e, g)"""
+)
+def pca_loadings(spark, d):
+    """Both components of two columns as a table; the row farthest along an axis is on its positive side."""
+    df = two(spark, d)
+    out = PCA(["x", "y"], 2).fit(df).loadings(spark)
+    return out.select("component", "feature", (F.round("loading", 5) + 0.0).alias("loading"), F.round("explained", 4).alias("explained"))
+
+
+@query(TWO_SQL + "SELECT round(sqrt(v1 * -2 * ln(0.05)), 4) AS first, round(sqrt(v2 * -2 * ln(0.05)), 4) AS second, round(sin(w) ** 2, 5) AS tilt FROM e")
+def ellipse_shape(spark, d):
+    """Half axes of the 95 % boundary of two columns, and the squared sine of the first one's angle."""
+    (first, angle), (second, _) = Ellipse(["x", "y"]).fit(two(spark, d)).shape()
+    return spark.createDataFrame([(round(first, 4), round(second, 4), round(math.sin(angle) ** 2, 5))], "first double, second double, tilt double")

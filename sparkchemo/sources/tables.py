@@ -77,11 +77,11 @@ def keep_classes(df: DataFrame, label: str, include: Sequence[str] | None = None
     return df.where(wanted & ~F.col(label).isin(list(exclude)))
 
 
-def split_label(df: DataFrame, label: str, named: dict[str, str] | None = None, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(features, labels) of a table, each with ``keys``; ``named`` renames feature columns, as spectra's centres."""
-    names = named or {}
-    features = [c for c in df.columns if c != label and c not in keys]
-    return df.select(*keys, *[F.col(c).alias(names.get(c, c)) for c in features]), df.select(*keys, label)
+def split_label(df: DataFrame, label: str | Sequence[str], named: dict[str, str] | None = None, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(features, labels) of a table, each with ``keys``; one label or several; ``named`` renames feature columns, as spectra's centres."""
+    names, labels = named or {}, [label] if isinstance(label, str) else list(label)
+    features = [c for c in df.columns if c not in labels and c not in keys]
+    return df.select(*keys, *[F.col(c).alias(names.get(c, c)) for c in features]), df.select(*keys, *labels)
 
 
 def write_dataset(df: DataFrame, path: str, split: str | None = None, mode: str = "errorifexists") -> None:

@@ -61,6 +61,9 @@ def test_npy_round_trip_and_file_order(spark, tmp_path):
     assert tables.unpack_npy(spark.read.parquet(str(tmp_path / "npy"))).count() == 3
     x, y = tables.split_label(spark.createDataFrame([(1, 0.5, "a")], "id int, c0 double, y string"), "y", {"c0": "1460.8"}, ["id"])
     assert x.columns == ["id", "1460.8"] and y.columns == ["id", "y"]
+    several = spark.createDataFrame([(1, 0.5, "a", 2.0)], "id int, c0 double, y string, z double")
+    x, y = tables.split_label(several, ["y", "z"], keys=["id"])
+    assert x.columns == ["id", "c0"] and y.columns == ["id", "y", "z"]
 
 
 def test_turns_equal_a_choice_for_each_group():
