@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -529,6 +529,8 @@ class DiscriminantModel:
     alpha: float
     d_out: dict[str, float]
     not_assigned: str
+    #: Soft: mean, whitening coefficients and whitened way from the centre to the mean, by class (see ``_whitened``).
+    about_mean: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @property
     def d_crit(self) -> float:
@@ -539,8 +541,17 @@ class DiscriminantModel:
         return [linear(x, b) + F.lit(float(a)) for b, a in zip(self.coefficients.T, self.intercept, strict=True)]
 
     def distances(self) -> dict[str, Column]:
-        t = self.scores()
-        return {c: quadratic([a - F.lit(float(m)) for a, m in zip(t, self.centers[i], strict=True)], self.inverse[c]) for i, c in enumerate(self.classes)}
+        t, out = self.scores(), {}
+        for i, c in enumerate(self.classes):
+            if c in self.about_mean:
+                mean, white, way = self.about_mean[c]
+                x = [F.col(name) - F.lit(float(m)) for name, m in zip(self.columns, mean, strict=True)]
+                w = [linear(x, b) for b in white.T]
+                along = F.lit(1.0) - linear(w, way)
+                out[c] = total([v * v for v in w]) + (F.lit(1.0) - along * along / F.lit(float(1 + way @ way)))
+            else:
+                out[c] = quadratic([a - F.lit(float(m)) for a, m in zip(t, self.centers[i], strict=True)], self.inverse[c])
+        return out
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with d2 (by class), probability (by class) and predicted (all classes, nearest first)."""
@@ -561,10 +572,16 @@ class DiscriminantModel:
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """The nearest class of each row of a matrix of the columns, the first by name among equals."""
-        t = x @ self.coefficients + self.intercept
-        gaps = [t - self.centers[i] for i in range(len(self.classes))]
-        d = np.stack([np.einsum("ij,jk,ik->i", g, self.inverse[c], g) for g, c in zip(gaps, self.classes, strict=True)], 1)
-        return np.array(self.classes, object)[d.argmin(1)]
+        t, d = x @ self.coefficients + self.intercept, []
+        for i, c in enumerate(self.classes):
+            if c in self.about_mean:
+                mean, white, way = self.about_mean[c]
+                w = (x - mean) @ white
+                d.append((w * w).sum(1) + (1 - (1 - w @ way) ** 2 / (1 + way @ way)))
+            else:
+                g = t - self.centers[i]
+                d.append(np.einsum("ij,jk,ik->i", g, self.inverse[c], g))
+        return np.array(self.classes, object)[np.stack(d, 1).argmin(1)]
 
     def outliers(self, df: DataFrame, label: str) -> DataFrame:
         """Training rows farther from their own class than its outlier limit (soft only)."""
@@ -612,16 +629,30 @@ class PLSDA:
         # A score is the prediction less its mean (the class shares) along an axis.
         intercept = -coefficients.T @ whole.mean
         centers = (np.eye(len(classes)) - share) @ axes
-        inverse, det, out = {}, {}, {}
+        inverse, det, out, about = {}, {}, {}, {}
         for i, (c, part) in enumerate(zip(classes, parts, strict=True)):
             if self.style == "soft":
                 off = coefficients.T @ (part.mean - whole.mean) - centers[i]
-                scatter = positive_definite(coefficients.T @ part.products @ coefficients / part.n + np.outer(off, off))
+                spread = coefficients.T @ part.products @ coefficients / part.n
+                scatter = positive_definite(spread + np.outer(off, off))
+                white = _whitened(spread)
+                if white is not None:
+                    about[c] = (part.mean, coefficients @ white, white.T @ off)
             else:
                 scatter = np.diag(value)
-            inverse[c], det[c] = np.linalg.inv(scatter), float(np.linalg.det(scatter))
+            inverse[c], det[c] = np.linalg.inv(scatter), float(np.linalg.det(spread) * (1 + about[c][2] @ about[c][2]) if c in about else np.linalg.det(scatter))
             out[c] = chi2_ppf((1 - self.gamma) ** (1 / part.n), len(classes) - 1)
-        return DiscriminantModel(tuple(self.columns), classes, coefficients, intercept, centers, inverse, det, self.style, self.alpha, out, self.not_assigned)
+        return DiscriminantModel(tuple(self.columns), classes, coefficients, intercept, centers, inverse, det, self.style, self.alpha, out, self.not_assigned, about)
+
+
+def _whitened(spread: np.ndarray) -> np.ndarray | None:
+    """W with W'CW = 1 for the spread C of a class about its own mean; None if C has no inverse.
+
+    The second moments about a far centre are C + uu', u the way from there to the mean, all but singular if the
+    classes hardly differ. With w = W'(t - mean) and v = W'u the squared distance is 1 + w'w - (1 - v'w)^2 / (1 + v'v), in which nothing cancels.
+    """
+    value, vector = np.linalg.eigh((spread + spread.T) / 2)
+    return vector / np.sqrt(value) if value.min() > max(value.max(), 1e-300) * 1e-12 else None
 
 
 def positive_definite(m: np.ndarray) -> np.ndarray:
