@@ -65,8 +65,12 @@ def edited_neighbours(df: DataFrame, columns: Sequence[str], label: str, key: st
 def scaled_smote_enn(df: DataFrame, columns: Sequence[str], label: str, key: str, k_smote: int = 5, k_enn: int = 3, kind: str = "all", spare: str = "", seed: int = 0) -> DataFrame:
     """SMOTE, then edited neighbours, both in standardised columns; the result is in the original units.
 
-    Keys become text; made-up rows name their source. No class is spared unless ``spare`` names it.
+    The columns are brought to the first one's deviation, which is the same but for a common factor and leaves the first column as
+    it is: its rounding would order neighbours that are about as far. Keys become text; made-up rows name their source. No
+    class is spared unless ``spare`` names it.
     """
-    model = CorrectedScaler(columns).fit(df)
-    whole = cut_lineage(smote(model.transform(df.select(key, *columns, label)), columns, label, key, k_smote, seed, named=True))
-    return model.inverse_transform(edited_neighbours(whole, columns, label, key, k_enn, kind, spare))
+    first, *rest = CorrectedScaler(columns).fit(df).scale
+    factor = dict(zip(columns[1:], (first / s for s in rest), strict=True))
+    scaled = df.select(key, *columns, label).withColumns({c: F.col(c) * F.lit(f) for c, f in factor.items()})
+    whole = cut_lineage(smote(scaled, columns, label, key, k_smote, seed, named=True))
+    return edited_neighbours(whole, columns, label, key, k_enn, kind, spare).withColumns({c: F.col(c) / F.lit(f) for c, f in factor.items()})

@@ -65,3 +65,17 @@ def test_silhouettes_without_a_second_cluster_or_a_distance(spark):
     assert [r["silhouette"] for r in silhouettes(one, ["x"], "c", "id").collect()] == [None, None]
     same = spark.createDataFrame([(1, 2.0, 5), (2, 2.0, 5), (3, 2.0, 6)], "id int, x double, c int")
     assert {r["silhouette"] for r in silhouettes(same, ["x"], "c", "id").collect()} == {0.0}
+
+
+def test_scaled_neighbours_order_near_ties_as_unscaled_ones(spark):
+    """Values on a grid of cents: dividing by the deviation would order neighbours that are about as far otherwise."""
+    from sparkchemo.operators.rebalance import scaled_smote_enn
+
+    x = np.random.default_rng(20).integers(0, 3000, 200) / 100
+    df = spark.createDataFrame([(i, float(v), str(i % 2)) for i, v in enumerate(x)], "id long, x double, cls string")
+    kept = set()
+    for i in range(200):
+        near = sorted((abs(x[j] - x[i]), str(j), j) for j in range(200) if j != i)[:3]
+        if sum((j - i) % 2 == 0 for *_, j in near) >= 2:
+            kept.add(str(i))
+    assert {r["id"] for r in scaled_smote_enn(df, ["x"], "cls", "id", kind="mode").collect()} == kept
