@@ -149,11 +149,16 @@ class LowRankImputer:
         return float(np.sqrt(((d @ m.mean[:p] + e) ** 2 + np.einsum("ij,jk,ik->i", d, m.products[:p, :p], d) / m.n).max()))
 
     @staticmethod
-    def _largest(z: DataFrame, columns: list[str], turn: dict[str, tuple[np.ndarray, np.ndarray]]) -> float:
-        """The largest absolute value of d z + e over all rows, d and e by pattern."""
+    def _with_turns(z: DataFrame, columns: list[str], turn: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """(_pattern, x, d, e): the rows with what changes those of their pattern; no row is shuffled, patterns have all rows between a few."""
         rows = [(k, d.tolist(), e.tolist()) for k, (d, e) in turn.items()]
         table = z.sparkSession.createDataFrame(rows, "_pattern string, d array<array<double>>, e array<double>")
-        x = z.select("_pattern", F.array(*columns).alias("x")).join(table, "_pattern")
+        return z.select("_pattern", F.array(*columns).alias("x")).join(F.broadcast(table), "_pattern")
+
+    @classmethod
+    def _largest(cls, z: DataFrame, columns: list[str], turn: dict[str, tuple[np.ndarray, np.ndarray]]) -> float:
+        """The largest absolute value of d z + e over all rows, d and e by pattern."""
+        x = cls._with_turns(z, columns, turn)
         dot = lambda row: F.aggregate(F.zip_with(row, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return x.agg(F.max(F.array_max(F.zip_with("d", "e", lambda row, e: F.abs(dot(row) + e)))).alias("m")).first()["m"]
 

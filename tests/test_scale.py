@@ -181,3 +181,13 @@ def test_boruta_takes_what_tells_the_classes(spark):
     assert sorted(r["s_good"] for r in moved.collect()) == sorted(r[1] for r in rows) and moved.where("s_good = good").count() == 0
     got = {r["feature"]: r["status"] for r in screens.boruta(df, ["good", "n1", "n2"], "y", trials=7, trees=12).collect()}
     assert got["good"] == "accepted" and "accepted" not in (got["n1"], got["n2"])
+
+
+def test_patterns_of_gaps_shuffle_no_rows(spark):
+    from sparkchemo.operators.imputation import LowRankImputer
+
+    z = spark.range(100).selectExpr("if(id % 2 = 0, '01', '10') AS _pattern", "id * 1.0D AS x", "id * 2.0D AS y")
+    turn = {k: (np.ones((1, 2)), np.zeros(1)) for k in ("01", "10")}
+    joined = LowRankImputer._with_turns(z, ["x", "y"], turn)
+    assert "hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert LowRankImputer._largest(z, ["x", "y"], turn) == 297.0
