@@ -49,15 +49,18 @@ def _relevance(activation: Column, gradient: Column, elementwise: bool) -> Colum
 
     if elementwise:
         return F.zip_with(activation, gradient, dot)
-    channels = F.sequence(F.lit(0), F.size(gradient[0]) - 1)
-    mean = F.transform(channels, lambda c: F.aggregate(gradient, F.lit(0.0), lambda s, row: s + F.get(row, c)) / F.size(gradient))
-    return F.transform(activation, lambda row: dot(row, mean))
+
+    def means(g: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(g[0]) - 1), lambda c: F.aggregate(g, F.lit(0.0), lambda s, row: s + F.get(row, c)) / F.size(g))
+
+    # Named once: a lambda works out anew, for each element, what it reads from outside.
+    return _let(gradient, lambda g: _let(means(g), lambda mean: F.transform(activation, lambda row: dot(row, mean))))
 
 
 def activation_map(activation: Column, gradient: Column, elementwise: bool = False) -> Column:
     """Relevance by place from arrays [place][channel]: channels weighted by their mean gradient, or entry by entry."""
-    up = F.transform(_relevance(activation, gradient, elementwise), lambda v: F.greatest(v, F.lit(0.0)))
-    return F.transform(up, lambda v: F.try_divide(v, F.array_max(up)))
+    rise = F.transform(_relevance(activation, gradient, elementwise), lambda v: F.greatest(v, F.lit(0.0)))
+    return _let(rise, lambda up: _let(F.array_max(up), lambda top: F.transform(up, lambda v: F.try_divide(v, top))))
 
 
 def activation_map_2d(activation: Column, gradient: Column, elementwise: bool = True, symmetric: bool = True) -> Column:
@@ -66,17 +69,16 @@ def activation_map_2d(activation: Column, gradient: Column, elementwise: bool =
     With ``symmetric`` (square maps), entries (i, j) and (j, i) are averaged before negative ones become 0, so what
     speaks against the class on one side counts on the other.
     """
-    width = F.size(activation[0])
 
-    def whole(flat: Column) -> Column:
-        rows = F.transform(F.sequence(F.lit(0), F.size(activation) - 1), lambda i: F.slice(flat, i * width + 1, width))
+    def whole(flat: Column, height: Column, width: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(0), height - 1), lambda i: F.slice(flat, i * width + 1, width))
         if symmetric:
             at = lambda i, j: F.get(flat, i * width + j)
             places = F.sequence(F.lit(0), width - 1)
             rows = F.transform(places, lambda i: F.transform(places, lambda j: (at(i, j) + at(j, i)) / 2))
         return _let(F.transform(rows, lambda row: F.transform(row, lambda v: F.greatest(v, F.lit(0.0)))), lambda up: _let(F.array_max(F.flatten(up)), lambda top: F.transform(up, lambda row: F.transform(row, lambda v: F.try_divide(v, top)))))
 
-    return _let(_relevance(F.flatten(activation), F.flatten(gradient), elementwise), whole)
+    return _let(activation, lambda a: _let(_relevance(F.flatten(a), F.flatten(gradient), elementwise), lambda flat: whole(flat, F.size(a), F.size(a[0]))))
 
 
 def condense(image: Column, how: str = "mean") -> Column:

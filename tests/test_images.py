@@ -72,3 +72,9 @@ def test_image_table_equals_numpy(spark):
     assert {r["split"] for r in whole} == {"train"} and all(len(r["spectrum"]) == 12 for r in whole)
     with pytest.raises(ValueError):
         spectra.image_table(df, "id", "x", "cls", 5, 5)
+
+
+def test_a_map_works_out_its_arrays_once(spark):
+    for made in (explain.activation_map(F.col("act"), F.col("grad")), explain.activation_map(F.col("act"), F.col("grad"), True), explain.activation_map_2d(F.col("act"), F.col("grad"))):
+        text = made._jc.toString()
+        assert (text.count("act"), text.count("grad")) == (1, 1)
