@@ -14,8 +14,8 @@ from sparkchemo.functions.lineage import cut_lineage
 
 #: Clusters whose moments are broadcast at most.
 FEW = 10_000
-#: Rows of a block that meets other blocks.
-BLOCK = 2048
+#: Points of a block that meets other blocks, at least and at most; between, as many as make about BLOCKS blocks.
+BLOCK, WIDEST, BLOCKS = 2048, 65_536, 32
 
 
 def elbow(df: DataFrame, columns: Sequence[str], clusters: Sequence[int] = range(1, 11), seed: int = 0) -> DataFrame:
@@ -37,62 +37,82 @@ def elbow(df: DataFrame, columns: Sequence[str], clusters: Sequence[int] = range
     return df.sparkSession.createDataFrame(out, "k int, inertia double")
 
 
+def _weights(own: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """[cluster, point]: how many rows of each cluster a point stands for."""
+    out = np.zeros((n, len(own)))
+    out[own, np.arange(len(own))] = weight
+    return out
+
+
 def _distance_sums(table_a: pa.Table, table_b: pa.Table) -> pa.Table:
-    """For each row of either block the sums of its distances to each cluster of the other block; a block meets itself once."""
+    """For each point of either block the sums of its distances to the rows of each cluster of the other block; a block meets itself once."""
     a, b = table_a.combine_chunks(), table_b.combine_chunks()
-    kinds = [table_a.schema.field("_key").type, pa.int64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.float64()]
     parts: list[tuple] = []
     if a.num_rows and b.num_rows:
         x, y = (t.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (a, b))
-        ca, cb = (t.column("_c").to_numpy() for t in (a, b))
         once = a.column("_block")[0].as_py() == b.column("_block")[0].as_py()
-        (names_a, own_a), (names_b, own_b) = (np.unique(c, return_inverse=True) for c in (ca, cb))
+        (names_a, own_a), (names_b, own_b) = (np.unique(t.column("_c").to_numpy(), return_inverse=True) for t in (a, b))
+        weight_a, weight_b = (t.column("_w").to_numpy().astype(float) for t in (a, b))
         to_b, to_a = np.zeros((len(x), len(names_b))), np.zeros((len(names_a), len(y)))
-        order = np.argsort(own_b, kind="stable")
-        first = np.searchsorted(own_b[order], np.arange(len(names_b)))
-        for at in range(0, len(x), 256):
-            d = np.zeros((len(x[at : at + 256]), len(y)))
-            for p, q in zip(x[at : at + 256].T, y.T, strict=True):
-                d += (p[:, None] - q[None]) ** 2
-            d = np.sqrt(d)
-            to_b[at : at + 256] = np.add.reduceat(d[:, order], first, axis=1)
-            if not once:
-                np.add.at(to_a, own_a[at : at + 256], d)
-        for keys, sums, names in ((a.column("_key"), to_b, names_b), *([] if once else [(b.column("_key"), to_a.T, names_a)])):
+        # Tiles that stay in a core's cache.
+        for v in range(0, len(y), 2048):
+            part = np.ascontiguousarray(y[v : v + 2048].T)
+            (near, local_b) = np.unique(own_b[v : v + 2048], return_inverse=True)
+            of_b = np.ascontiguousarray(_weights(local_b, weight_b[v : v + 2048], len(near)).T)
+            for u in range(0, len(x), 64):
+                rows = x[u : u + 64]
+                d = np.subtract.outer(rows[:, 0], part[0])
+                d *= d
+                for k in range(1, len(part)):
+                    gap = np.subtract.outer(rows[:, k], part[k])
+                    gap *= gap
+                    d += gap
+                np.sqrt(d, out=d)
+                to_b[u : u + 64, near] += d @ of_b
+                if not once:
+                    far, local_a = np.unique(own_a[u : u + 64], return_inverse=True)
+                    to_a[far, v : v + 2048] += _weights(local_a, weight_a[u : u + 64], len(far)) @ d
+        for keys, sums, names in ((a.column("_id"), to_b, names_b), *([] if once else [(b.column("_id"), to_a.T, names_a)])):
             row, col = np.divmod(np.arange(sums.size), sums.shape[1])
-            parts.append((keys.take(pa.array(row)), pa.array(names[col]), pa.array(sums.ravel())))
-    columns = [pa.concat_arrays([c for p in parts for c in (p[k].chunks if isinstance(p[k], pa.ChunkedArray) else [p[k]])]) if parts else pa.array([], t) for k, t in enumerate(kinds)]
-    return pa.table(dict(zip(("_key", "_c", "_s"), columns, strict=True)))
+            parts.append((pa.array(keys.to_numpy()[row]), pa.array(names[col]), pa.array(sums.ravel())))
+    columns = [pa.concat_arrays([p[k] for p in parts]) if parts else pa.array([], t) for k, t in enumerate(kinds)]
+    return pa.table(dict(zip(("_id", "_c", "_s"), columns, strict=True)))
 
 
-def silhouettes(df: DataFrame, columns: Sequence[str], cluster: str, key: str, block: int = BLOCK) -> DataFrame:
+def silhouettes(df: DataFrame, columns: Sequence[str], cluster: str, key: str, block: int | None = None) -> DataFrame:
     """(key, cluster, silhouette) by Euclidean distances: (b - a) / max(a, b), a the mean distance to the own cluster's other rows, b to the next cluster.
 
-    All pairs of rows are needed, but none is shuffled: blocks of about ``block`` rows meet two by two, once, and
-    send a sum for each of their rows and each cluster of the other block. A row alone in its cluster, or with no distance to
+    All pairs of points are needed, but none is shuffled: blocks of about ``block`` points meet two by two, once, and
+    send a sum for each of their points and each cluster of the other block. Rows of a cluster that are alike in all columns are one point. A row alone in its cluster, or with no distance to
     any row, has 0; with one cluster only it is null. ``key`` is unique; rows with a null in a column or no cluster are left out.
     """
     rows = df.dropna(subset=[*columns, cluster])
     sizes = cut_lineage(rows.groupBy(F.col(cluster).alias("_name")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.monotonically_increasing_id()))
     few = sizes.count() <= FEW
     # Join keys make numbers of the clusters' names, which may be of any type.
-    blocks = max(1, -(-rows.count() // block))
     placed = rows.select(F.col(key).alias("_key"), F.col(cluster).alias("_name"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
-    placed = placed.join(F.broadcast(sizes) if few else sizes, "_name").withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
-    placed = cut_lineage(placed.select("_key", "_c", "_x", "_block"))
-    left = placed.withColumns({"_a": F.col("_block"), "_b": F.explode(F.sequence(F.col("_block"), F.lit(blocks - 1)))})
-    right = placed.withColumns({"_a": F.explode(F.sequence(F.lit(0), F.col("_block"))), "_b": F.col("_block")}).toDF("_key", "_c", "_x", "_block", "_a", "_b")
-    kinds = f"_key {df.schema[key].dataType.simpleString()}, _c bigint, _s double"
-    met = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(_distance_sums, kinds)
-    sums = met.groupBy("_key", "_c").agg(F.sum("_s").alias("_s"))
-    own = placed.select("_key", F.col("_c").alias("_own"))
-    each = sums.join(own, "_key").join(F.broadcast(sizes) if few else sizes, "_c")
+    placed = placed.join(F.broadcast(sizes) if few else sizes, "_name").select("_key", "_c", "_x")
+    points = cut_lineage(placed.groupBy("_c", "_x").agg(F.count(F.lit(1)).alias("_w")).withColumn("_id", F.monotonically_increasing_id()))
+    n = points.count()
+    blocks = max(1, -(-n // (block or min(WIDEST, max(BLOCK, n // BLOCKS)))))
+    dealt = points.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")).select("_id", "_c", "_x", "_w", "_block")
+    left = dealt.withColumns({"_a": F.col("_block"), "_b": F.explode(F.sequence(F.col("_block"), F.lit(blocks - 1)))})
+    right = dealt.withColumns({"_a": F.explode(F.sequence(F.lit(0), F.col("_block"))), "_b": F.col("_block")})
+    # A task for each pair of blocks, or nearly: pairs take long and have few bytes.
+    tasks = min(2000, blocks * (blocks + 1) // 2)
+    pair = lambda side: side.repartition(tasks, "_a", "_b").groupBy("_a", "_b")
+    met = pair(left).cogroup(pair(right)).applyInArrow(_distance_sums, "_id bigint, _c bigint, _s double")
+    sums = met.groupBy("_id", "_c").agg(F.sum("_s").alias("_s"))
+    own = points.select("_id", F.col("_c").alias("_own"))
+    each = sums.join(own, "_id").join(F.broadcast(sizes) if few else sizes, "_c")
     inside = F.col("_c") == F.col("_own")
     a = F.max(F.when(inside, F.try_divide(F.col("_s"), F.col("_n") - 1)))
     b = F.min(F.when(~inside, F.col("_s") / F.col("_n")))
-    got = each.groupBy("_key").agg(a.alias("a"), b.alias("b"), F.max(F.when(inside, F.col("_n"))).alias("n"), F.max(F.when(inside, F.col("_name"))).alias(cluster))
+    got = each.groupBy("_id").agg(a.alias("a"), b.alias("b"), F.max(F.when(inside, F.col("_n"))).alias("n"), F.max(F.when(inside, F.col("_name"))).alias(cluster))
     value = F.when(F.col("b").isNull(), None).when((F.col("n") == 1) | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return got.select(F.col("_key").alias(key), cluster, value.alias("silhouette"))
+    found = got.select("_id", F.col(cluster).alias("_name"), value.alias("silhouette")).join(points.select("_id", "_c", "_x"), "_id").drop("_id")
+    return placed.join(found, ["_c", "_x"]).select(F.col("_key").alias(key), F.col("_name").alias(cluster), "silhouette")
 
 
 def squared_silhouettes(df: DataFrame, columns: Sequence[str], cluster: str, key: str) -> DataFrame:

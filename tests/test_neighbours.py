@@ -79,3 +79,20 @@ def test_scaled_neighbours_order_near_ties_as_unscaled_ones(spark):
         if sum((j - i) % 2 == 0 for *_, j in near) >= 2:
             kept.add(str(i))
     assert {r["id"] for r in scaled_smote_enn(df, ["x"], "cls", "id", kind="mode").collect()} == kept
+
+
+def test_rows_that_are_alike_are_one_point():
+    """A block's sums count each point as often as it has rows, however many clusters a tile holds."""
+    import pyarrow as pa
+
+    from sparkchemo.operators.clusters import _distance_sums
+
+    rng = np.random.default_rng(1)
+    x, y, own, other = rng.normal(size=(150, 2)), rng.normal(size=(90, 2)), rng.integers(0, 4, 150), rng.integers(2, 6, 90)
+    w, v = rng.integers(1, 9, 150), rng.integers(1, 9, 90)
+    block = lambda z, c, n, b: pa.table({"_id": np.arange(len(z)) + 1000 * b, "_c": c, "_x": pa.array(z.tolist()), "_w": n, "_block": np.full(len(z), b)})
+    got = {(r["_id"], r["_c"]): r["_s"] for r in _distance_sums(block(x, own, w, 0), block(y, other, v, 1)).to_pylist()}
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    want = {(i, c): (d[i] * v)[other == c].sum() for i in range(150) for c in set(other.tolist())}
+    want |= {(1000 + j, c): (d[:, j] * w)[own == c].sum() for j in range(90) for c in set(own.tolist())}
+    assert got == {k: pytest.approx(s) for k, s in want.items()}
