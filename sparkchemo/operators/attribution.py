@@ -3,15 +3,16 @@
 A leaf is reached if the row passes every split on its path, so a leaf's part of the value of a
 feature set follows, for each feature of the path, from whether the row passes that feature's
 splits, and else from the share of training rows that do. A path of m features has 2**m such cases; their
-Shapley values are a small table for each leaf, made once. Scoring looks up a row's case in
-each leaf's table, in one pass over the rows, whatever their number.
+Shapley values are a small table for each leaf, made once. A tree's thresholds cut each feature into few intervals, so
+the sums over its leaves are a table too, by interval; scoring looks up a row in each tree's
+table (or, where that would be large, in each leaf's), in one pass over the rows, whatever their number.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,8 @@ from sparkchemo.functions.lineage import shared_folder
 
 #: Features on a path at most: a leaf's table has 2**DEEPEST rows.
 DEEPEST = 12
+#: Rows of a tree's table at most; a tree with more combinations of intervals is looked up leaf by leaf.
+MOST = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -53,24 +56,66 @@ class Leaf:
         return out
 
 
+def _by_leaves(leaves: Sequence[tuple[Leaf, np.ndarray]], x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``out`` [row, feature, output] with the values of the leaves added."""
+    for leaf, table in leaves:
+        case = np.zeros(len(x), np.int64)
+        for j, f in enumerate(leaf.features):
+            case |= ((x[:, f] > leaf.low[j]) & (x[:, f] <= leaf.high[j])).astype(np.int64) << j
+        for j, f in enumerate(leaf.features):
+            out[:, f] += table[case, j][:, None] * leaf.value
+    return out
+
+
 @dataclass(frozen=True)
 class Attribution:
-    """Leaves of all trees, each with its table and value; values are divided by the number of trees."""
+    """Leaves of all trees, each with its table and value; values are divided by the number of trees.
+
+    ``trees`` has for each tree its features' ascending thresholds and its leaves.
+    """
 
-    leaves: list[tuple[Leaf, np.ndarray]]
+    trees: list[tuple[dict[int, np.ndarray], list[tuple[Leaf, np.ndarray]]]]
     expected: np.ndarray
 
     def values(self, x: np.ndarray) -> np.ndarray:
         """[row, feature, output] of a matrix of features; NaN passes no upper bound, as in the trees."""
-        x = np.where(np.isnan(x), np.inf, x)
-        out = np.zeros((*x.shape, len(self.expected)))
-        for leaf, table in self.leaves:
-            case = np.zeros(len(x), np.int64)
-            for j, f in enumerate(leaf.features):
-                case |= ((x[:, f] > leaf.low[j]) & (x[:, f] <= leaf.high[j])).astype(np.int64) << j
-            for j, f in enumerate(leaf.features):
-                out[:, f] += table[case, j][:, None] * leaf.value
-        return out
+        return self.lookup(x.shape[1])(x)
+
+    def lookup(self, p: int) -> Callable[[np.ndarray], np.ndarray]:
+        """``values`` for matrices of ``p`` features, with the trees' tables made once."""
+        k = len(self.expected)
+        tables, rest = [], []
+        for cuts, leaves in self.trees:
+            size = math.prod(len(c) + 1 for c in cuts.values())
+            if size > MOST:
+                rest += leaves
+                continue
+            ends = np.meshgrid(*[np.append(c, np.inf) for c in cuts.values()], indexing="ij")  # each interval's upper end stands for it
+            rows = np.zeros((size, p))
+            for f, e in zip(cuts, ends, strict=True):
+                rows[:, f] = e.ravel()
+            tables.append((cuts, _by_leaves(leaves, rows, np.zeros((size, p, k))).reshape(size, -1)))
+        every = {f: np.unique(np.concatenate([c[f] for c, _ in tables if f in c])) for f in range(p) if any(f in c for c, _ in tables)}
+        steps = []
+        for cuts, table in tables:
+            stride, own = len(table), []
+            for f, c in cuts.items():
+                stride //= len(c) + 1
+                own.append((f, np.searchsorted(c, np.append(every[f], np.inf)) * stride))
+            steps.append((own, table))
+
+        def values(x: np.ndarray) -> np.ndarray:
+            x = np.where(np.isnan(x), np.inf, x)
+            out = np.zeros((len(x), p * k))
+            place = {f: np.searchsorted(c, x[:, f]) for f, c in every.items()}
+            for own, table in steps:
+                row = np.zeros(len(x), np.int64)
+                for f, code in own:
+                    row += code[place[f]]
+                out += table[row]
+            return _by_leaves(rest, x, out.reshape(len(x), p, k))
+
+        return values
 
 
 def node_table(model, spark) -> DataFrame:
@@ -92,8 +137,10 @@ def attribute(model, spark, classes: bool = True) -> Attribution:
     trees: dict[int, dict[int, object]] = {}
     for r in node_table(model, spark).collect():
         trees.setdefault(r["tree"], {})[r["id"]] = r
-    leaves, expected = [], 0.0
+    found, expected = [], 0.0
     for nodes in trees.values():
+        leaves: list[tuple[Leaf, np.ndarray]] = []
+        cuts: dict[int, set[float]] = {}
 
         def value(r) -> np.ndarray:
             return np.array(r["stats"]) / sum(r["stats"]) if classes else np.array([r["prediction"]])
@@ -113,11 +160,13 @@ def attribute(model, spark, classes: bool = True) -> Attribution:
                 continue
             if r["categories"] > 0:
                 raise ValueError("a split on categories")
+            cuts.setdefault(r["feature"], set()).add(r["threshold"])
             a, b, z = held.get(r["feature"], (-math.inf, math.inf, 1.0))
             left, right = nodes[r["left"]], nodes[r["right"]]
             paths.append((left, held | {r["feature"]: (a, min(b, r["threshold"]), z * left["cover"] / r["cover"])}))
             paths.append((right, held | {r["feature"]: (max(a, r["threshold"]), b, z * right["cover"] / r["cover"])}))
-    return Attribution(leaves, np.atleast_1d(expected))
+        found.append(({f: np.array(sorted(c)) for f, c in cuts.items()}, leaves))
+    return Attribution(found, np.atleast_1d(expected))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -135,8 +184,9 @@ def shap_values(found: Attribution, df: DataFrame, columns: Sequence[str], key:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = found.lookup(len(columns))
         for batch in batches:
-            v = found.values(_matrix(batch)).transpose(0, 2, 1)
+            v = values(_matrix(batch)).transpose(0, 2, 1)
             n, k, p = v.shape
             row = pa.array(np.repeat(np.arange(n), k))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k * p + 1, p, dtype=np.int32)), pa.array(v.ravel()))
@@ -150,9 +200,9 @@ def shap_importance(found: Attribution, df: DataFrame, columns: Sequence[str]) -
     names = list(columns)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(names)), 0
+        values, total, n = found.lookup(len(names)), np.zeros(len(names)), 0
         for batch in batches:
-            total += np.abs(found.values(_matrix(batch))).sum((0, 2))
+            total += np.abs(values(_matrix(batch))).sum((0, 2))
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array([n] * len(names))], ["feature", "s", "n"])
 

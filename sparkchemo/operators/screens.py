@@ -365,13 +365,17 @@ def boruta(
     assembler = VectorAssembler(inputCols=features, outputCol="_x")
     hits = dict.fromkeys(columns, 0)
     for t in range(trials):
-        mixed = shadows(rows, columns, seed + 2 * t)
-        forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed + t).fit(assembler.transform(mixed))
-        if importance == "shap":
-            by = {r["feature"]: r["importance"] for r in shap_importance(attribute(forest, df.sparkSession), mixed, features).collect()}
-            found = np.array([by[c] for c in features])
-        else:
-            found = forest.featureImportances.toArray()
+        # The forest and the values read the mixed rows several times; they are mixed once.
+        mixed = shadows(rows, columns, seed + 2 * t).persist()
+        try:
+            forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed + t).fit(assembler.transform(mixed))
+            if importance == "shap":
+                by = {r["feature"]: r["importance"] for r in shap_importance(attribute(forest, df.sparkSession), mixed, features).collect()}
+                found = np.array([by[c] for c in features])
+            else:
+                found = forest.featureImportances.toArray()
+        finally:
+            mixed.unpersist()
         limit = np.percentile(found[len(columns) :], percentile)
         for c, v in zip(columns, found, strict=False):
             hits[c] += int(v > limit)

@@ -84,3 +84,24 @@ def test_boruta_percentiles_and_importances(rows):
         assert got["a"] == 2
     with pytest.raises(ValueError):
         screens.boruta(df, X, "y", importance="gain")
+
+
+def test_tables_by_tree_equal_those_by_leaf(spark, rows, monkeypatch):
+    x, df = rows
+    found = attribution.attribute(RandomForestClassifier(labelCol="y", featuresCol="v", numTrees=3, maxDepth=4, seed=2).fit(df), spark)
+    one = found.values(x)
+    by_leaves, visited = attribution._by_leaves, []
+    monkeypatch.setattr(attribution, "_by_leaves", lambda leaves, rows, out: (visited.append(len(leaves) * len(rows)), by_leaves(leaves, rows, out))[1])
+    found.values(np.tile(x, (1000, 1)))
+    # Leaves are visited for the tables, not for the rows.
+    assert sum(visited) < 1000 * len(x)
+    monkeypatch.setattr(attribution, "MOST", 0)
+    np.testing.assert_allclose(one, found.values(x), atol=1e-14)
+
+
+def test_boruta_mixes_once_a_trial(spark, rows, monkeypatch):
+    _, df = rows
+    kept, values = [], screens.shap_importance
+    monkeypatch.setattr(screens, "shap_importance", lambda found, mixed, columns: (kept.append(mixed.is_cached), values(found, mixed, columns))[1])
+    screens.boruta(df.select(*X, "y"), X, "y", trials=2, trees=2, depth=2)
+    assert kept == [True, True]
