@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.expr import chi2_tail, inlier_probability, linear, quadratic, total
-from sparkchemo.functions.quantiles import quantiles
+from sparkchemo.functions.quantiles import order_statistics, quantiles
 from sparkchemo.functions.special import chi2_ppf, f_ppf, minimise_1d
 from sparkchemo.operators.mcd import minimum_covariance
 from sparkchemo.operators.moments import Moments, grouped_moments, moments
@@ -371,21 +371,56 @@ class Ellipse:
         model = EllipseModel(tuple(self.columns), m.mean, m.covariance, self.alpha)
         if not self.robust:
             return model
-        med = quantiles(df, {c: F.col(c) for c in self.columns}, [0.5])
-        model = replace(model, center=np.array([med[c][0] for c in self.columns], float))
-        last = math.inf
-        for _ in range(self.rounds):
-            cut = quantiles(df, {"d": model.distance()}, [0.5])["d"][0]
-            m = moments(df.where(model.distance() <= cut), self.columns)
-            model = replace(model, center=m.mean, covariance=m.covariance)
-            size = float(np.linalg.det(m.covariance))
-            if size >= last * (1 - 1e-12):
-                break
-            last = size
-        mid = quantiles(df, {"d": model.distance()}, [0.5])["d"][0]
+        x = df.select(*self.columns).persist()
+        try:
+            med = quantiles(x, {c: F.col(c) for c in self.columns}, [0.5])
+            model = replace(model, center=np.array([med[c][0] for c in self.columns], float))
+            last = math.inf
+            for _ in range(self.rounds):
+                _, m = nearest_half(x, model)
+                model = replace(model, center=m.mean, covariance=m.covariance)
+                size = float(np.linalg.det(m.covariance))
+                if size >= last * (1 - 1e-12):
+                    break
+                last = size
+            mid, _ = nearest_half(x, model)
+        finally:
+            x.unpersist()
         return replace(model, covariance=model.covariance * (mid * mid / chi2_ppf(0.5, len(self.columns))))
 
 
+def nearest_half(x: DataFrame, model: EllipseModel, bins: int = 4096) -> tuple[float, Moments]:
+    """The median distance of the rows, and the moments of those that are no farther: two scans.
+
+    The first takes number and sums by bin of the distance (of d / (1 + d), so that no ends are needed); the bins below the
+    median's count whole. The second reads the rows of the median's bin, which is searched by itself.
+    """
+    columns, p = model.columns, len(model.columns)
+    c = [F.col(name) - F.lit(float(m)) for name, m in zip(columns, model.center, strict=True)]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    far = x.withColumn("_d", model.distance()).where(~F.isnan("_d"))
+    placed = far.withColumn("_bin", F.when(F.col("_d") < 1e15, F.floor(F.col("_d") / (1 + F.col("_d")) * bins)).otherwise(bins))
+    aggregates = [F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(c)], *[F.sum(c[i] * c[j]).alias(f"p{i}_{j}") for i, j in pairs]]
+    table = sorted(placed.groupBy("_bin").agg(*aggregates).collect(), key=lambda r: r["_bin"])
+    n = sum(r["n"] for r in table)
+    low, high = (n - 1) // 2, n // 2
+    ends = np.cumsum([r["n"] for r in table])
+    first, final = (int(np.searchsorted(ends, k, "right")) for k in (low, high))
+    before = int(ends[first] - table[first]["n"])
+    inner = placed.where(F.col("_bin").between(table[first]["_bin"], table[final]["_bin"])).persist()
+    try:
+        at = order_statistics(inner, {"d": F.col("_d")}, lambda _: {low - before, high - before})["d"][1]
+        cut = at[low - before] + (at[high - before] - at[low - before]) * ((n - 1) * 0.5 - low)
+        kept = [*table[:first], inner.where(F.col("_d") <= F.lit(cut)).agg(*aggregates).first()]
+    finally:
+        inner.unpersist()
+    rows = sum(r["n"] for r in kept)
+    s, m = np.array([math.fsum(r[f"s{i}"] or 0.0 for r in kept) for i in range(p)]), np.zeros((p, p))
+    for i, j in pairs:
+        m[i, j] = m[j, i] = math.fsum(r[f"p{i}_{j}"] or 0.0 for r in kept)
+    return cut, Moments(tuple(columns), rows, model.center + s / rows, m - np.outer(s, s) / rows)
+
+
 @dataclass(frozen=True)
 class RegressionModel:
     """A latent-variable regression with limits on x alone (f) and on x and y (g)."""

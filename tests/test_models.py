@@ -296,3 +296,18 @@ def test_plsda_distances_of_classes_that_hardly_differ():
         mean, white, way = model.about_mean[c]
         w = (rows - mean) @ white
         np.testing.assert_allclose((w * w).sum(1) + 1 - (1 - w @ way) ** 2 / (1 + way @ way), d[i], rtol=1e-7)
+
+
+def test_nearest_half_equals_numpy(spark):
+    from sparkchemo.operators.projection import EllipseModel, nearest_half
+
+    for n in (401, 400):
+        x = np.random.default_rng(n).normal(size=(n, 2)) * [1, 30]
+        x[:60] = x[0]
+        df = spark.createDataFrame([tuple(map(float, r)) for r in x], "x double, y double").repartition(3)
+        d = np.sqrt((x[:, 0] - 0.1) ** 2 + (x[:, 1] / 30) ** 2)
+        for bins in (4096, 3):
+            cut, m = nearest_half(df, EllipseModel(("x", "y"), np.array([0.1, 0.0]), np.diag([1.0, 900.0]), 0.05), bins)
+            own = x[d <= np.median(d) + 1e-12]
+            assert (cut, m.n) == (pytest.approx(np.median(d)), len(own))
+            np.testing.assert_allclose(m.covariance, np.cov(own.T), atol=1e-9)
