@@ -1,6 +1,6 @@
 """Class rebalancing: SMOTE and edited nearest neighbours over scaled columns.
 
-Neighbours are exact, from a join over Voronoi cells that looks only where a neighbour can be.
+Neighbours are exact, from a join over boxes of a tree that looks only where a neighbour can be.
 Distances are in the columns that the caller passes, scaled or not.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkchemo.functions.expr import uniform
 from sparkchemo.functions.lineage import cut_lineage
 from sparkchemo.operators.comparison import in_random_order
-from sparkchemo.operators.neighbours import neighbours
+from sparkchemo.operators.neighbours import nearest, neighbours, rows_of
 from sparkchemo.operators.scaling import CorrectedScaler
 
 
@@ -55,10 +55,10 @@ def edited_neighbours(df: DataFrame, columns: Sequence[str], label: str, key: st
     """
     if spare is None:
         spare = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy("n", label).first()[label]
-    near = neighbours(df.where(F.col(label) != spare), df, columns, key, k, label)
-    agree = F.sum((F.col("label") == F.col("q_label")).cast("int"))
-    bad = (agree < k) if kind == "all" else (2 * agree < k)
-    gone = near.groupBy("q").agg(bad.alias("bad")).where("bad").select(F.col("q").alias(key))
+    rows = rows_of(df, columns, key, label, F.coalesce(F.col(label) != spare, F.lit(False)), True)
+    agree = lambda near, own: F.size(F.filter(near, lambda n: n["label"] == own))
+    bad = lambda near, own: (F.size(near) > 0) & (agree(near, own) < k if kind == "all" else 2 * agree(near, own) < k)
+    gone = nearest(rows, k, bad, places=False).where("value").select(F.col("q").alias(key))
     return df.join(gone, key, "left_anti")
 
 

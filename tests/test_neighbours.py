@@ -96,3 +96,49 @@ def test_rows_that_are_alike_are_one_point():
     want = {(i, c): (d[i] * v)[other == c].sum() for i in range(150) for c in set(other.tolist())}
     want |= {(1000 + j, c): (d[:, j] * w)[own == c].sum() for j in range(90) for c in set(own.tolist())}
     assert got == {k: pytest.approx(s) for k, s in want.items()}
+
+
+def test_pairs_compared_grow_as_the_points(monkeypatch):
+    """Four columns of few values but one: a query meets a few leaves, however many points its box has."""
+    pairs, gaps = [], neighbours._gaps
+    monkeypatch.setattr(neighbours, "_gaps", lambda x, y: pairs.append(len(x) * len(y)) or gaps(x, y))
+    rng, each = np.random.default_rng(3), {}
+    for n in (4000, 16000):
+        x = np.stack([rng.integers(0, 50, n) / 14, rng.normal(size=n), rng.integers(0, 11, n) / 3, rng.integers(0, 9, n) / 2.6], 1)
+        rank, asked = rng.permutation(n), rng.choice(n, 60, replace=False)
+        pairs.clear()
+        query, point, _ = neighbours._search(x, rank, x, rank, np.full(n, np.inf), 3)
+        each[n] = sum(pairs) / n
+        for i in asked:
+            d = ((x - x[i]) ** 2 * 1.0).sum(1)
+            d[i] = np.inf
+            assert point[query == i].tolist() == np.lexsort((rank, d))[:3].tolist()
+    assert each[16000] < 1000 and each[16000] < 1.5 * each[4000]
+
+
+@pytest.mark.parametrize(("within", "boxes", "part"), [(False, 12, 40), (True, 12, 40), (True, 1, 10**6)])
+def test_queries_apart_from_points_ties_and_rare_labels(spark, within, boxes, part):
+    """A grid full of ties, frequent and rare labels and none, a crowd of points and one of queries far from all points."""
+    rng = np.random.default_rng(11)
+    label = lambda i: "ab"[i % 2] if i % 10 else f"r{i % 70}" if i % 20 else None
+    points = [(i, *(float(v) for v in rng.integers(0, 9, 3)), label(i)) for i in range(900)] + [(1000 + i, 4.0, 4.0, 4.0, label(i)) for i in range(400)]
+    asked = points[::9] + [(5000 + i, 30.0, 30.0, float(i % 2), label(i)) for i in range(200)]
+    kinds = "id int, x double, y double, z double, cls string"
+    got = neighbours.neighbours(spark.createDataFrame(asked, kinds), spark.createDataFrame(points, kinds).repartition(3), ["x", "y", "z"], "id", 3, "cls", within, boxes, part)
+    found: dict = {}
+    for r in got.orderBy("q", "rank").collect():
+        found.setdefault(r["q"], []).append((r["d"], r["id"], r["label"], *r["x"]))
+    for i, *at, c in asked:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(at, to, strict=True)), j, e or "", *to) for j, *to, e in points if j != i and (not within or e == c))[:3]
+        assert [(d, j, e or "", *to) for d, j, e, *to in found.get(i, [])] == near
+
+
+def test_edited_neighbours_of_odd_rows(spark):
+    """A row that occurs twice votes once on itself; a neighbour without a label does not agree; nobody is edited without neighbours."""
+    from sparkchemo.operators.rebalance import edited_neighbours
+
+    kinds = "id string, x double, cls string"
+    rows = [("p", 0.0, "b"), ("p", 0.0, "b"), ("q", 0.1, "b"), ("r", 0.2, "b"), ("s", 0.3, "a"), ("t", 9.0, "b"), ("u", 9.1, None), ("v", 9.2, None), ("w", 9.3, None)]
+    left = edited_neighbours(spark.createDataFrame(rows, kinds), ["x"], "cls", "id", kind="mode")
+    assert sorted(r["id"] for r in left.collect()) == ["p", "p", "q", "r", "s", "u", "v", "w"]
+    assert edited_neighbours(spark.createDataFrame(rows[:1], kinds), ["x"], "cls", "id", spare="z").count() == 1
