@@ -107,6 +107,8 @@ class _Tree:
 
     def reach(self, x: np.ndarray, limit: np.ndarray, home: int) -> tuple[np.ndarray, np.ndarray]:
         """Row and leaf wherever a leaf's region, other than ``home``, is within the row's limit."""
+        if not len(x):  # a label that has points in a box need not have queries there
+            return np.zeros(0, int), np.zeros(0, int)
         rows, leaves, todo = [], [], [(0 if len(self.column) else -1, np.arange(len(x)))]
         while todo:
             node, at = todo.pop()

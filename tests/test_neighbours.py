@@ -142,3 +142,8 @@ def test_edited_neighbours_of_odd_rows(spark):
     left = edited_neighbours(spark.createDataFrame(rows, kinds), ["x"], "cls", "id", kind="mode")
     assert sorted(r["id"] for r in left.collect()) == ["p", "p", "q", "r", "s", "u", "v", "w"]
     assert edited_neighbours(spark.createDataFrame(rows[:1], kinds), ["x"], "cls", "id", spare="z").count() == 1
+
+
+def test_points_of_a_label_without_queries_reach_nothing():
+    tree = neighbours._Tree(np.random.default_rng(0).normal(size=(50, 2)), 8)
+    assert [len(a) for a in tree.reach(np.zeros((0, 2)), np.zeros(0), 3)] == [0, 0]
