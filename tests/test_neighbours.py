@@ -147,3 +147,37 @@ def test_edited_neighbours_of_odd_rows(spark):
 def test_points_of_a_label_without_queries_reach_nothing():
     tree = neighbours._Tree(np.random.default_rng(0).normal(size=(50, 2)), 8)
     assert [len(a) for a in tree.reach(np.zeros((0, 2)), np.zeros(0), 3)] == [0, 0]
+
+
+@pytest.mark.parametrize("kind", ["one column", "few lines", "three columns", "few points at large offsets"])
+def test_points_on_few_lines_do_not_meet_in_pairs(spark, monkeypatch, kind):
+    """Sums along the lines equal brute force, with rows alike, a cluster of one row and several parts of a line."""
+    from sparkchemo.operators import clusters
+
+    def fail(*_):
+        raise AssertionError("pairs of points met")
+
+    monkeypatch.setattr(clusters, "_distance_sums", fail)
+    monkeypatch.setattr(clusters, "HELD", 700)
+    rng, n = np.random.default_rng(5), 3000
+    t = np.round(rng.uniform(-50, 950, n) ** 2 / 1000, 2)
+    x = {
+        "one column": t[:, None],
+        "few lines": np.stack([t, rng.choice([0.0, 300.0, 900.0, 1000.0], n)], 1),
+        "three columns": np.stack([rng.integers(0, 2, n) * 300.0, t, rng.integers(0, 3, n) * 400.0], 1),
+        "few points at large offsets": np.stack([t + 1e9, rng.integers(0, 3, n) * 500.0 - 1e9], 1),
+    }[kind]
+    x[2900:] = x[:100]
+    c = rng.integers(0, 4, n)
+    c[17] = 7
+    df = spark.createDataFrame([(i, *map(float, v), f"c{k}") for i, (v, k) in enumerate(zip(x, c, strict=True))], "id int, " + "".join(f"x{j} double, " for j in range(x.shape[1])) + "c string")
+    got = {r["id"]: (r["c"], r["silhouette"]) for r in clusters.silhouettes(df, [f"x{j}" for j in range(x.shape[1])], "c", "id").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    names, size = np.unique(c, return_counts=True)
+    sums = np.stack([d[:, c == k].sum(1) for k in names], 1)
+    assert len(got) == n
+    for i in range(n):
+        own = int(np.searchsorted(names, c[i]))
+        a = sums[i, own] / max(1, size[own] - 1)
+        b = min(sums[i, k] / size[k] for k in range(len(names)) if k != own)
+        assert got[i] == (f"c{c[i]}", pytest.approx(0.0 if size[own] == 1 else (b - a) / max(a, b), abs=1e-12))
