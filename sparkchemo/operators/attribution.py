@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkchemo.functions.lineage import shared_folder
+from sparkchemo.operators import forest
 
 #: Features on a path at most: a leaf's table has 2**DEEPEST rows.
 DEEPEST = 12
@@ -81,6 +82,13 @@ class Attribution:
         """[row, feature, output] of a matrix of features; NaN passes no upper bound, as in the trees."""
         return self.lookup(x.shape[1])(x)
 
+    def halved(self) -> tuple[Attribution, int]:
+        """What has the same values but for their signs, and how often: the first of two classes, whose probabilities sum to 1."""
+        leaves = [leaf for _, own in self.trees for leaf, _ in own]
+        if len(self.expected) != 2 or not np.allclose([leaf.value.sum() for leaf in leaves], 1 / len(self.trees), rtol=1e-12, atol=0):
+            return self, 1
+        return Attribution([(cuts, [(replace(leaf, value=leaf.value[:1]), table) for leaf, table in own]) for cuts, own in self.trees], self.expected[:1]), 2
+
     def lookup(self, p: int) -> Callable[[np.ndarray], np.ndarray]:
         """``values`` for matrices of ``p`` features, with the trees' tables made once."""
         k = len(self.expected)
@@ -104,10 +112,15 @@ class Attribution:
                 own.append((f, np.searchsorted(c, np.append(every[f], np.inf)) * stride))
             steps.append((own, table))
 
+        codes = {f: np.searchsorted(c, np.arange(256)) for f, c in every.items()}
+
         def values(x: np.ndarray) -> np.ndarray:
-            x = np.where(np.isnan(x), np.inf, x)
             out = np.zeros((len(x), p * k))
-            place = {f: np.searchsorted(c, x[:, f]) for f, c in every.items()}
+            if x.dtype == np.uint8:
+                place = {f: c[x[:, f]] for f, c in codes.items()}
+            else:
+                x = np.where(np.isnan(x), np.inf, x)
+                place = {f: np.searchsorted(c, x[:, f]) for f, c in every.items()}
             for own, table in steps:
                 row = np.zeros(len(x), np.int64)
                 for f, code in own:
@@ -137,6 +150,11 @@ def attribute(model, spark, classes: bool = True) -> Attribution:
     trees: dict[int, dict[int, object]] = {}
     for r in node_table(model, spark).collect():
         trees.setdefault(r["tree"], {})[r["id"]] = r
+    return attribute_nodes(trees, classes)
+
+
+def attribute_nodes(trees: dict[int, dict], classes: bool = True) -> Attribution:
+    """``attribute`` of nodes by tree and number, each with the columns of a node table; 0 is the root."""
     found, expected = [], 0.0
     for nodes in trees.values():
         leaves: list[tuple[Leaf, np.ndarray]] = []
@@ -196,15 +214,22 @@ def shap_values(found: Attribution, df: DataFrame, columns: Sequence[str], key:
 
 
 def shap_importance(found: Attribution, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, importance): the mean absolute value over the rows, summed over the outputs; a task sends a row a feature."""
+    """(feature, importance): the mean absolute value over the rows, summed over the outputs; a task sends a row a feature.
+
+    ``df`` has the columns, or is mixed blocks of codes (``forest.mixed``) of a forest over these.
+    """
     names = list(columns)
+    coded = "_codes" in df.columns
+    found, times = found.halved()
+    split = forest.matrices if coded else lambda batch: [_matrix(batch)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, total, n = found.lookup(len(names)), np.zeros(len(names)), 0
         for batch in batches:
-            total += np.abs(values(_matrix(batch))).sum((0, 2))
-            n += batch.num_rows
+            for x in split(batch):
+                total += times * np.abs(values(x)).sum((0, 2))
+                n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array([n] * len(names))], ["feature", "s", "n"])
 
-    sums = df.select(_features(columns)).mapInArrow(task, "feature string, s double, n bigint")
+    sums = (df.select("_n", "_codes") if coded else df.select(_features(columns))).mapInArrow(task, "feature string, s double, n bigint")
     return sums.groupBy("feature").agg((F.sum("s") / F.sum("n")).alias("importance"))

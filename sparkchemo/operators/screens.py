@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sparkchemo.functions.expr import total
 from sparkchemo.functions.lineage import cut_lineage
 from sparkchemo.functions.quantiles import ordered_quantile
-from sparkchemo.operators.attribution import attribute, shap_importance
+from sparkchemo.operators import forest
+from sparkchemo.operators.attribution import attribute_nodes, shap_importance
 
 EPSILON = 1e-12
 
@@ -346,7 +347,7 @@ def boruta(
 ) -> DataFrame:
     """(feature, hits, trials, status): columns whose importance in a random forest beats that of the shadows.
 
-    In each trial a forest of ml sees the columns and their shadows, which cannot tell the
+    In each trial a random forest sees the columns and their shadows, which cannot tell the
     classes; a hit is an importance above the ``percentile`` of the shadows' (100: above all). ``importance`` is 'shap', the mean
     absolute SHAP value over all rows, or 'impurity', the forest's own. Too many hits to be a fair
     coin's make a column 'accepted', too few 'rejected' (binomial, corrected for the number of
@@ -354,26 +355,25 @@ def boruta(
     """
     from math import comb
 
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import StringIndexer
 
     if importance not in ("shap", "impurity"):
         raise ValueError("importance is 'shap' or 'impurity'")
     rows = df.select(label, *columns).dropna()
-    rows = StringIndexer(inputCol=label, outputCol="_y").fit(rows).transform(rows)
+    named = StringIndexer(inputCol=label, outputCol="_y").fit(rows)
+    # Rows are read and coded once; a trial reads its blocks once a level and for the values.
+    coded = forest.code(named.transform(rows), columns, "_y", len(named.labels))
     features = [*columns, *[f"s_{c}" for c in columns]]
-    assembler = VectorAssembler(inputCols=features, outputCol="_x")
     hits = dict.fromkeys(columns, 0)
     for t in range(trials):
-        # The forest and the values read the mixed rows several times; they are mixed once.
-        mixed = shadows(rows, columns, seed + 2 * t).persist()
+        mixed = forest.mixed(coded, seed + 2 * t, trees).persist()
         try:
-            forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed + t).fit(assembler.transform(mixed))
+            grown = forest.grow(mixed, coded, trees, depth, seed + t)
             if importance == "shap":
-                by = {r["feature"]: r["importance"] for r in shap_importance(attribute(forest, df.sparkSession), mixed, features).collect()}
+                by = {r["feature"]: r["importance"] for r in shap_importance(attribute_nodes(forest.node_rows(grown)), mixed, features).collect()}
                 found = np.array([by[c] for c in features])
             else:
-                found = forest.featureImportances.toArray()
+                found = forest.impurity_importance(grown, len(features))
         finally:
             mixed.unpersist()
         limit = np.percentile(found[len(columns) :], percentile)
